@@ -11,8 +11,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import packing, token_counts, token_index
-from tallywright.llm.common import BYTE_BPE, table
+from tallywright.llm import packing, sharding, simhash, token_counts, token_index, toxicity
+from tallywright.llm.common import BYTE_BPE, crc_of_id, table, text_or_empty
+
+SHARDS = 16
 
 
 def tokenizer_path() -> str:
@@ -24,6 +26,21 @@ def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.documents_of(store)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(crc_of_id("doc_id"), F.lit(3)) == 1
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score_texts(docs, model).select("doc_id", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = text_or_empty("text").cast("binary")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    dealt = sharding.shuffle_into_shards(docs, SHARDS, ["doc_id", "size", "text_crc32"])
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
@@ -32,10 +49,18 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_limits(token_counts.length_histogram(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
+    "op2_toxicity": op2_toxicity,
+    "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op6_token_counts": op6_token_counts,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
