@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import posixpath
 import re
 import tempfile
@@ -94,7 +95,7 @@ class CachedEncoder:
     UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
     OTHER_SPACE = re.compile("[^\\S \\t\\n\\r]|[\\u180e\\u200b\\ufeff]")
 
-    def __init__(self, path: str, most_units: int = 300_000) -> None:
+    def __init__(self, path: str, most_units: int = 400_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -103,60 +104,106 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most_units = most_units
+        self.widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes of each id
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.widths[i] = len(piece)
         self._reset()
 
     def _reset(self) -> None:
-        self.units, self.flat, self.ends = _Units(), np.zeros(1 << 16, np.uint32), np.zeros(1 << 15, np.int64)
-        self.used = 0
+        self.units, self.flat, self.used = _Units(), np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.odd: list[int] = []  # units with other white space: their texts go to the library whole
+
+    def _ids_of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where each distinct unit's begin in it and how many they are. Units that start with a blank are
+        encoded joined, in groups: a blank starts a token, so the bytes of the tokens tell where each unit ends. A group whose
+        tokens don't end there is encoded unit by unit."""
+        begin, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        joined = [k for k, u in enumerate(units) if u[0] in " \t\n\r" and u[-1] not in " \t\n\r"]
+        groups = [joined[k : k + 256] for k in range(0, len(joined), 256)]
+        alone, pool, used = set(range(len(units))).difference(joined), [], 0
+        texts = ["".join([units[k] for k in g]) for g in groups]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else (), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            stops, want = np.cumsum(self.widths[ids]), np.cumsum([len(units[k].encode()) for k in g])
+            at = np.searchsorted(stops, want)
+            if len(stops) and at[-1] == len(stops) - 1 and (stops[at] == want).all():
+                begin[g] = used + np.concatenate([[0], at[:-1] + 1])
+                size[g] = np.diff(at, prepend=-1)
+                pool.append(ids)
+                used += len(ids)
+            else:
+                alone.update(g)
+        rest = sorted(alone)
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([units[k] for k in rest], add_special_tokens=False) if rest else (), strict=True):
+            begin[k], size[k] = used, len(e.ids)
+            pool.append(np.array(e.ids, np.uint32))
+            used += len(e.ids)
+        return np.concatenate(pool), begin, size
 
     def _learn(self) -> None:
         units = self.units
         if not (new := units.pending):
             return
-        first, parts = len(units) - len(new), []
-        for k in range(0, len(new), 20_000):
-            parts += [e.ids for e in self.tokenizer.encode_batch_fast(new[k : k + 20_000], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        ids = np.fromiter((i for p in parts for i in p), np.uint32, int(sizes.sum()))
+        first = len(units) - len(new)
+        ids, begin, size = self._ids_of(new)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(units) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while len(units) > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.ends[first + 1 : len(units) + 1] = self.used + np.cumsum(sizes)
+        self.begin[first : len(units)] = self.used + begin
+        self.size[first : len(units)] = size
         self.used += len(ids)
+        if self.OTHER_SPACE.search("".join(new)):
+            self.odd += [first + k for k, u in enumerate(new) if self.OTHER_SPACE.search(u)]
+
+    def _forget(self, seen: int, used: int) -> None:
+        """Once full, keep the units known so far (the frequent ones come early) and drop the newest; start anew if too few hit."""
+        units = self.units
+        if len(units) > self.most_units and units.pending:
+            if len(units.pending) > 0.4 * seen:
+                self._reset()
+                return
+            for u in units.pending:
+                del units[u]
+            self.used, self.odd = used, [k for k in self.odd if k < len(units)]
         units.pending = []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after the other as uint32, ids of each text)."""
-        if len(self.units) > self.most_units:
-            self._reset()
-        find, at = self.UNIT.findall, self.units.__getitem__
-        per_text, numbers, whole = [], [], {}
-        for k, t in enumerate(texts):
-            if self.OTHER_SPACE.search(t):
-                whole[k] = t
-                per_text.append(0)
-                continue
+        find, at, used = self.UNIT.findall, self.units.__getitem__, self.used
+        numbers = []
+        for t in texts:
             units = find(t)
-            per_text.append(len(units))
             numbers.append(np.fromiter(map(at, units), np.int64, len(units)))
         self._learn()
+        per_text = np.fromiter(map(len, numbers), np.int64, len(numbers))
         rows = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        begin, sizes = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
-        stop = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.arange(stop[-1]) - np.repeat(stop[:-1] - begin, sizes)]
-        bounds = stop[np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64)]
+        begin, sizes = self.begin[rows], self.size[rows]
+        stop = np.zeros(len(rows) + 1, np.int64)
+        np.cumsum(sizes, out=stop[1:])
+        begin -= stop[:-1]
+        ids = self.flat[np.arange(stop[-1]) + np.repeat(begin, sizes)]
+        bounds = stop[np.concatenate([[0], np.cumsum(per_text)])]
         counts = np.diff(bounds)
-        if whole:
+        if self.odd and (hit := np.isin(rows, self.odd)).any():
+            whole = np.unique(np.repeat(np.arange(len(texts)), per_text)[hit]).tolist()
             pieces = [ids[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
-            for k, t in whole.items():
-                pieces[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+            for k in whole:
+                pieces[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
                 counts[k] = len(pieces[k])
             ids = np.concatenate(pieces)
+        self._forget(len(rows), used)
         return ids, counts
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> CachedEncoder:
+    """The worker's encoder: what one task has learnt serves the next."""
+    return CachedEncoder(path)
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The ids of each text followed by ``end_id``."""
     stops = np.cumsum(counts)

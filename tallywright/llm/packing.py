@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import CachedEncoder, sliced, text_or_empty
+from tallywright.llm.common import encoder_of, sliced, text_or_empty
 
 STRIDE, CHUNK = 64, 1 << 20
 SENTENCE_PENALTY, MIDDLE_PENALTY = 2.0, 16.0
@@ -136,7 +136,7 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, encoder = TaskContext.get().partitionId() << 40, CachedEncoder(tokenizer)
+        base, encoder = TaskContext.get().partitionId() << 40, encoder_of(tokenizer)
 
         def chunks():
             for batch in batches:

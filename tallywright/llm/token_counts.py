@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import CachedEncoder, sliced, text_or_empty
+from tallywright.llm.common import encoder_of, sliced, text_or_empty
 
 BLOCK = 4096  # lengths per block of the two-level running sums
 
@@ -29,7 +29,7 @@ def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text", ex
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in sliced(texts):
-                encoder = encoder or CachedEncoder(tokenizer)
+                encoder = encoder or encoder_of(tokenizer)
                 lengths.update((encoder.encode(texts[a:b])[1] + extra).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(list(lengths), pa.int64()), pa.array(list(lengths.values()), pa.int64())], names=["length", "n"])
 

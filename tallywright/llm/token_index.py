@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import CachedEncoder, materialize, open_store, shared_folder, sliced, text_or_empty, with_end
+from tallywright.llm.common import encoder_of, materialize, open_store, shared_folder, sliced, text_or_empty, with_end
 
 KEYS_PER_BUCKET = 1 << 16
 RECORD = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n_tokens", "<u8")])
@@ -130,7 +130,7 @@ def _write_shards(folder: str, tokenizer: str, width: int, end_id: int):
                     if out is None:
                         store, path = open_store(folder)
                         store.create_dir(path, recursive=True)
-                        encoder, out = CachedEncoder(tokenizer), store.open_output_stream(f"{path}/{name}")
+                        encoder, out = encoder_of(tokenizer), store.open_output_stream(f"{path}/{name}")
                     flat, counts = with_end(*encoder.encode(texts[a:b]), end_id)
                     out.write(flat.astype(f"<u{width}").tobytes())
                     occurrence = []
