@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import packing, sharding, simhash, token_counts, token_index, toxicity
+from tallywright.llm import decontam, language_id, packing, sharding, simhash, token_counts, token_index, toxicity
 from tallywright.llm.common import BYTE_BPE, crc_of_id, table, text_or_empty
 
 SHARDS = 16
@@ -54,6 +54,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(crc_of_id("doc_id"), F.lit(4)) == 2
+    model = language_id.fit(docs.where(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    return language_id.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
     "op2_toxicity": op2_toxicity,
@@ -61,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
+    "op8_language_id": op8_language_id,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
