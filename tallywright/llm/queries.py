@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import decontam, language_id, packing, sharding, simhash, token_counts, token_index, toxicity
+from tallywright.llm import decontam, language_id, packing, sharding, simhash, suffix_dedup, token_counts, token_index, toxicity
 from tallywright.llm.common import BYTE_BPE, crc_of_id, table, text_or_empty
 
 SHARDS = 16
@@ -45,6 +45,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), digest_only=True)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_limits(token_counts.length_histogram(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
     "op8_language_id": op8_language_id,
