@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import decontam, language_id, packing, sharding, simhash, suffix_dedup, token_counts, token_index, toxicity
+from tallywright.llm import ann, decontam, language_id, packing, sharding, simhash, suffix_dedup, token_counts, token_index, toxicity
 from tallywright.llm.common import BYTE_BPE, crc_of_id, table, text_or_empty
 
 SHARDS = 16
@@ -69,6 +69,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
     "op2_toxicity": op2_toxicity,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -184,3 +184,25 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     member = materialize(rooted.join(named, "root").select("fp", "component_id"), "members")
     return prints.join(member, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that of the smallest id (a null id last), of equal ids the one with the
+    smallest text hash, of equal rows any one. Rows of groups with one member stay as they are."""
+    hashed = docs.withColumn("__th", F.xxhash64(F.lit(5), text_or_empty(text_col)))
+    prints = materialize(with_fingerprints(hashed.select(F.col(id_col).cast("long").alias("doc_id"), "__th", F.col(text_col).alias("text"))), "prints")
+    classes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__th")).alias("one"), F.count(F.lit(1)).alias("n"))
+    links = materialize(near_links(classes, radius), "links")
+    roots = connected_components(links).withColumnRenamed("node", "fp")
+    groups = classes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("one").alias("one"), F.sum("n").alias("n"))
+    keepers = materialize(groups.select(F.col("one.doc_id").alias("__id"), F.col("one.__th").alias("__t")).distinct(), "keepers")
+    match = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t"))
+    # a kept row that is repeated stays once: its copies are told apart by a number within the key
+    several = prints.groupBy("doc_id", "__th").count().where(F.col("count") > 1).select(F.col("doc_id").alias("__id"), F.col("__th").alias("__t"))
+    several = materialize(several, "several")
+    once = hashed.join(keepers, match, "left_semi")
+    if several.limit(1).count() == 0:
+        return once.drop("__th")
+    single = once.join(several, match, "left_anti")
+    again = once.join(several, match, "left_semi").dropDuplicates([id_col, "__th"])
+    return single.unionByName(again).drop("__th")

@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.common import materialize, text_or_empty
@@ -398,3 +398,13 @@ def deduplicate(docs: DataFrame, text_col: str = "text", digest_only: bool = Fal
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
     ready = joined.select(*[F.col(f"`{f.name}`") for f in others], "__text", "__spans")
     return ready.mapInArrow(cut, f"{kinds}n_bytes long, n_removed long, n_spans long, {new[3]} {'string' if digest_only else 'binary'}")
+
+
+def as_text(column: str) -> Column:
+    """Bytes as text, without the halves of characters that a cut has left."""
+
+    @F.pandas_udf("string")
+    def decode(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return decode(F.col(column))
