@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallywright.operators import metrics as M
 from tallywright.operators import selection, splits
-from tallywright.plans.register import query, read
+from tallywright.plans.register import ORACLE_SQL, query, read
 
 _PRED = "(SELECT l_orderkey, l_linenumber, l_returnflag, l_shipdate, l_extendedprice AS actual, 1500.0 * l_quantity AS predicted, l_orderkey % 5 AS unit FROM lineitem)"
 
@@ -238,3 +238,6 @@ def confirmation_decision(spark, sf):
     pairs = one("good", "candidate_value").join(one("base", "baseline_value"), "unit_id")
     total = whole("good", "candidate_value").join(whole("base", "baseline_value"), F.lit(True))
     return _rounded(selection.confirmation_gate(pairs, total, "mae", "min", 1e6))
+
+
+ORACLE_DECISION, ORACLE_CONFIRMATION, ORACLE_HOLDOUT = (ORACLE_SQL[k] for k in ("selection_decision", "confirmation_decision", "holdout_counts"))
