@@ -13,20 +13,20 @@ def monthly(df: DataFrame, date: str, value: str, how: str, keys: list[str] | No
     """keys, month, value: sum or mean of a month's values."""
     keys = keys or []
     combine = {"sum": F.sum, "mean": F.avg}[how]
-    return df.groupBy(*keys, month_start(F.col(date).cast("date")).alias("month")).agg(combine(as_number(F.col(value))).alias("value"))
+    return df.groupBy(*keys, month_start(F.col(date).try_cast("date")).alias("month")).agg(combine(as_number(F.col(value))).alias("value"))
 
 
 def calendar(df: DataFrame, date: str, keys: list[str] | None = None) -> DataFrame:
     """keys, month: every month from a series' first to its last."""
     keys = keys or []
-    m = month_start(F.col(date).cast("date"))
+    m = month_start(F.col(date).try_cast("date"))
     return df.groupBy(*keys).agg(F.min(m).alias("a"), F.max(m).alias("b")).where(F.col("a").isNotNull()).select(*keys, F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
 
 
 def missing_months(df: DataFrame, date: str, keys: list[str] | None = None) -> DataFrame:
     """keys, month: months of the calendar without a row."""
     keys = keys or []
-    seen = df.select(*keys, month_start(F.col(date).cast("date")).alias("month")).distinct()
+    seen = df.select(*keys, month_start(F.col(date).try_cast("date")).alias("month")).distinct()
     return calendar(df, date, keys).join(seen, [*keys, "month"], "left_anti")
 
 
