@@ -1,7 +1,7 @@
 """Exact substring removal by a sparse, distributed suffix sort.
 
-A byte is removed when it lies in a string of ``LENGTH`` bytes that starts anywhere else too, in any document. Sorting the suffixes of
-all positions would do; most can be left out. Each window of LENGTH bytes picks the least hash among its ``GRAM``-byte substrings,
+A byte is removed when it lies in a string of ``length`` bytes (LENGTH unless stated) that starts anywhere else too, in any document. Sorting the suffixes of
+all positions would do; most can be left out. Each window of that length picks the least hash among its ``GRAM``-byte substrings,
 leftmost first: an anchor that depends on the window's content alone, so equal windows have equal anchors at equal offsets. The
 windows of one anchor are neighbours, a cell. Then:
 
@@ -13,7 +13,7 @@ windows of one anchor are neighbours, a cell. Then:
    exactly which windows of a cell occur in another.
 3. An anchor with over ``HOT`` differing cells is not gathered: its windows are counted one by one, each task combining its own first.
 
-Spans return to documents by content (hash and length of the text). Defined results: null and empty texts have no bytes; matches never
+Spans return to documents by content (hash and length bits of the text). Defined results: null and empty texts have no bytes; matches never
 cross documents; repeated rows are each other's repeats; strings are judged on the input; lengths are bytes of UTF-8.
 """
 
@@ -35,13 +35,14 @@ from tallywright.llm.common import materialize, text_or_empty
 LENGTH, GRAM = 400, 64
 SEGMENT = 1 << 18  # windows worked on at once
 HOT, CELLS_PER_BUCKET = 2048, 20_000
+MOST_SENT = 1_000_000  # text hashes sent to every task; beyond it all texts are shuffled
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(1).integers(1 << 63, size=256, dtype=_U)
 
 
 def _power_tables() -> tuple[np.ndarray, np.ndarray]:
-    n, inverse = SEGMENT + LENGTH + 1, pow(_BASE, -1, 1 << 64)
+    n, inverse = SEGMENT + 1025, pow(_BASE, -1, 1 << 64)
     up, down = np.full(n, _BASE, _U), np.full(n, inverse, _U)
     up[0] = down[0] = 1
     with np.errstate(over="ignore"):
@@ -95,22 +96,41 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["anchor", "cell", "text_hash", "n_bytes", "at", "first", "last"]
-    digest = xxhash.xxh3_64_intdigest
-    for b in batches:
-        columns: list[list[int]] = [[] for _ in names]
-        for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            raw = text.encode("utf-8")
-            for anchor, at, first, last in cells_of(raw):
-                # the cell's text, and where its anchor and windows lie in it
-                cell = _signed(digest(raw[first : last + LENGTH], (at - first) * 65536 + last - first))
-                for c, v in zip(columns, (anchor, cell, h, len(raw), at, first, last), strict=True):
-                    c.append(v)
-            if len(columns[0]) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-                columns = [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+# A cell's place is one long: anchor (32 bits), bytes from first window to anchor (10), from first to last window (10), and 12 bits of the
+# text's length, which tell texts apart beside their 64-bit hash.
+
+
+def _place(at: int, first: int, last: int, n_bytes: int) -> int:
+    return _signed((at << 32 | (at - first) << 22 | (last - first) << 12 | n_bytes * 2654435761 >> 7 & 4095) & (1 << 64) - 1)
+
+
+def _read_place(place: int) -> tuple[int, int, int]:
+    """(anchor, first window, last window)."""
+    place &= (1 << 64) - 1
+    at = place >> 32
+    first = at - (place >> 22 & 1023)
+    return at, first, first + (place >> 12 & 1023)
+
+
+def _cells(length: int):
+    """Texts → their cells; a cell is known by the hash of its bytes and of where anchor and windows lie in them."""
+    names, digest = ["anchor", "cell", "text_hash", "place"], xxhash.xxh3_64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns: list[list[int]] = [[] for _ in names]
+            for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw = text.encode("utf-8")
+                for anchor, at, first, last in cells_of(raw, length):
+                    cell = _signed(digest(raw[first : last + length], (at - first) * 65536 + last - first))
+                    for c, v in zip(columns, (anchor, cell, h, _place(at, first, last, len(raw))), strict=True):
+                        c.append(v)
+                if len(columns[0]) > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+                    columns = [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    return run
 
 
 # --- sorted runs ---------------------------------------------------------------------------------------------------------------
@@ -204,7 +224,7 @@ def merge_runs(runs: list[bytes]) -> Iterator[tuple[int, tuple]]:
         winner = player
 
 
-def repeated_offsets(entries: list[tuple], shared: list[int], length: int = LENGTH) -> list[tuple[int, int, int]]:
+def repeated_offsets(entries: list[tuple], shared: list[int], length: int) -> list[tuple[int, int, int]]:
     """Among one anchor's different cells, sorted, with the prefixes shared by neighbours: (cell, from offset, to offset) of each
     run of windows that another cell has too."""
     n = len(entries)
@@ -244,35 +264,38 @@ def repeated_offsets(entries: list[tuple], shared: list[int], length: int = LENG
     return out
 
 
-def _merge_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    out: list[tuple[int, int, int, int]] = []
-    group: list[tuple] = []
-    shared: list[int] = []
-
-    def close() -> None:
-        if len(group) > 1:
-            anchor = struct.unpack(">q", group[0][0][:8])[0]
-            out.extend((anchor, *r) for r in repeated_offsets(group, shared))
-
-    cells: set[int] = set()
-    least = 0  # shared with the last kept entry, over entries dropped since
-    for h, entry in merge_runs(list(pdf["run"])):
-        if h < 8:
-            close()
-            group, shared, cells = [entry], [0], {entry[2]}
-            least = 1 << 30
-            continue
-        least = min(least, h)
-        if entry[2] not in cells:
-            cells.add(entry[2])
-            group.append(entry)
-            shared.append(least)
-            least = 1 << 30
-    close()
-    return pd.DataFrame(out, columns=["anchor", "cell", "from_offset", "to_offset"])
-
-
-def _runs(n_buckets: int):
+def _merge_bucket(length: int):
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int, int, int]] = []
+        group: list[tuple] = []
+        shared: list[int] = []
+
+        def close() -> None:
+            if len(group) > 1:
+                anchor = struct.unpack(">q", group[0][0][:8])[0]
+                out.extend((anchor, *r) for r in repeated_offsets(group, shared, length))
+
+        cells: set[int] = set()
+        least = 0  # shared with the last kept entry, over entries dropped since
+        for h, entry in merge_runs(list(pdf["run"])):
+            if h < 8:
+                close()
+                group, shared, cells = [entry], [0], {entry[2]}
+                least = 1 << 30
+                continue
+            least = min(least, h)
+            if entry[2] not in cells:
+                cells.add(entry[2])
+                group.append(entry)
+                shared.append(least)
+                least = 1 << 30
+        close()
+        return pd.DataFrame(out, columns=["anchor", "cell", "from_offset", "to_offset"])
+
+    return merge
+
+
+def _runs(n_buckets: int, length: int):
     """Documents' texts with their cells → front-coded sorted runs, one per bucket and task batch."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +304,8 @@ def _runs(n_buckets: int):
             for text, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = text.encode("utf-8")
                 for c in cells:
-                    at, first, last = c["at"], c["first"], c["last"]
-                    key = struct.pack(">q", c["anchor"]) + raw[at : last + LENGTH]
+                    at, first, last = _read_place(c["place"])
+                    key = struct.pack(">q", c["anchor"]) + raw[at : last + length]
                     entries.setdefault(c["anchor"] % n_buckets, []).append((key, raw[first:at][::-1], c["cell"], at - last if at > last else 0, at - first))
             names, runs = [], []
             for k, found in sorted(entries.items()):
@@ -294,63 +317,89 @@ def _runs(n_buckets: int):
     return make
 
 
-def _window_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_counts(length: int):
     """Windows of hot anchors' cells: (anchor, window hash), how many cells of the task hold it."""
-    digest = xxhash.xxh3_64_intdigest
-    for b in batches:
-        counts: dict[tuple[int, int], int] = {}
-        for text, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            raw = text.encode("utf-8")
-            for c in cells:
-                for p in range(c["first"], c["last"] + 1):
-                    key = (c["anchor"], _signed(digest(raw[p : p + LENGTH], c["at"] - p)))
-                    counts[key] = counts.get(key, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int64()), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["anchor", "window", "n"])
-
-
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh3_64_intdigest
-    for b in batches:
-        out: list[tuple[int, int, int, int]] = []
-        for text, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            raw = text.encode("utf-8")
-            out += [(c["anchor"], _signed(digest(raw[p : p + LENGTH], c["at"] - p)), c["cell"], c["at"] - p) for c in cells for p in range(c["first"], c["last"] + 1)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["anchor", "window", "cell", "offset"])
-
-
-def repeated_spans(texts: DataFrame) -> DataFrame:
-    """texts (text_hash, text; a row per document) → (text_hash, n_bytes, start, stop): byte spans to remove, which may overlap."""
-    cells = materialize(texts.where(F.octet_length("text") >= LENGTH).select("text_hash", "text").mapInArrow(_cells, "anchor long, cell long, text_hash long, n_bytes long, at long, first long, last long"), "cells")
-    anchors = cells.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("cell").alias("c0"), F.max("cell").alias("c1"))
-    shared = anchors.where(F.col("n") > 1).select("anchor", (F.col("c0") != F.col("c1")).alias("mixed"))
-    repeated = materialize(cells.join(shared, "anchor"), "repeated")
-    whole = repeated.where(~F.col("mixed"))
-    mixed = repeated.where("mixed")
-    distinct = materialize(mixed.groupBy("anchor", "cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_hash", "n_bytes", "at", "first", "last")).alias("one")), "distinct")
-    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("cells"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for b in batches:
+            counts: dict[tuple[int, int], int] = {}
+            for text, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw = text.encode("utf-8")
+                for c in cells:
+                    at, first, last = _read_place(c["place"])
+                    for p in range(first, last + 1):
+                        key = (c["anchor"], _signed(digest(raw[p : p + length], at - p)))
+                        counts[key] = counts.get(key, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int64()), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["anchor", "window", "n"])
+
+    return run
+
+
+def _window_rows(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for b in batches:
+            out: list[tuple[int, int, int, int]] = []
+            for text, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw = text.encode("utf-8")
+                for c in cells:
+                    at, first, last = _read_place(c["place"])
+                    out += [(c["anchor"], _signed(digest(raw[p : p + length], at - p)), c["cell"], at - p) for p in range(first, last + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["anchor", "window", "cell", "offset"])
+
+    return run
+
+
+def _extra(text: str = "text") -> Column:
+    """The 12 bits of a text's length that its cells' places hold."""
+    return F.shiftright(F.octet_length(text).cast("long") * 2654435761, 7).bitwiseAND(F.lit(4095).cast("long"))
+
+
+def _holding(texts: DataFrame, keys: DataFrame, hash_col: str, how: str = "left_semi") -> DataFrame | None:
+    """The texts whose hash is among the keys (a column h), or not: told before the shuffle where the keys are at most MOST_SENT;
+    None where they are more."""
+    return texts.join(F.broadcast(keys), texts[hash_col] == keys["h"], how) if keys.count() <= MOST_SENT else None
+
+
+def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """texts (text_hash, text; a row per document) → (text_hash, extra, start, stop): byte spans to remove, which may overlap."""
+    cells = materialize(texts.where(F.octet_length("text") >= length).select("text_hash", "text").mapInArrow(_cells(length), "anchor long, cell long, text_hash long, place long"), "cells")
+    shared = materialize(cells.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("anchor"), "shared")
+    repeated = materialize(cells.join(shared, "anchor", "left_semi"), "repeated")
+    distinct = materialize(repeated.groupBy("anchor", "cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_hash", "place")).alias("one")), "distinct")
+    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") > 1)
     hot = materialize(sizes.where(F.col("cells") > HOT).select("anchor"), "hot")
-    n_cells, any_hot = distinct.count(), hot.limit(1).count() > 0
-    n_buckets = max(16, -(-n_cells // CELLS_PER_BUCKET))
-    known = distinct.where(F.col("n") > 1).select("anchor", "cell")
+    mixed = distinct.join(materialize(sizes.where(F.col("cells") <= HOT).select("anchor"), "mixed"), "anchor", "left_semi")
+    any_hot = hot.limit(1).count() > 0
+    n_buckets = max(16, -(-distinct.count() // CELLS_PER_BUCKET))
+    once = texts.withColumn("e", _extra())
 
     def with_text(which: DataFrame) -> DataFrame:
-        """One copy of each text that a cell is taken from, with those cells."""
-        per_text = which.groupBy(F.col("one.text_hash").alias("th"), F.col("one.n_bytes").alias("nb")).agg(F.collect_list(F.struct("anchor", "cell", "one.at", "one.first", "one.last")).alias("cells"))
-        return texts.join(per_text, (F.col("text_hash") == F.col("th")) & (F.octet_length("text") == F.col("nb"))).select("text", "cells")
-
-    calm = distinct.join(hot, "anchor", "left_anti") if any_hot else distinct
-    runs = with_text(calm).mapInArrow(_runs(n_buckets), "bucket long, run binary")
-    found = runs.groupBy("bucket").applyInPandas(_merge_bucket, "anchor long, cell long, from_offset long, to_offset long")
+        """Each text that a cell is taken from, with those cells."""
+        per_text = which.groupBy(F.col("one.text_hash").alias("h"), F.col("one.place").bitwiseAND(F.lit(4095).cast("long")).alias("e0")).agg(F.collect_list(F.struct("anchor", "cell", "one.place")).alias("cells"))
+        per_text = materialize(per_text, "per_text")
+        held = _holding(once, per_text.select("h").distinct(), "text_hash")
+        return (once if held is None else held).join(per_text, (F.col("text_hash") == per_text["h"]) & (F.col("e") == F.col("e0"))).select("text", "cells")
+
+    runs = with_text(mixed).mapInArrow(_runs(n_buckets, length), "bucket long, run binary")
+    found = runs.groupBy("bucket").applyInPandas(_merge_bucket(length), "anchor long, cell long, from_offset long, to_offset long")
     found = materialize(found, "found")
     if any_hot:
         crowded = materialize(with_text(distinct.join(hot, "anchor", "left_semi")), "crowded")
-        counts = crowded.mapInArrow(_window_counts, "anchor long, window long, n long").groupBy("anchor", "window").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("anchor", "window")
-        offsets = crowded.mapInArrow(_window_rows, "anchor long, window long, cell long, offset long").join(counts, ["anchor", "window"], "left_semi")
+        counts = crowded.mapInArrow(_window_counts(length), "anchor long, window long, n long").groupBy("anchor", "window").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("anchor", "window")
+        offsets = crowded.mapInArrow(_window_rows(length), "anchor long, window long, cell long, offset long").join(counts, ["anchor", "window"], "left_semi")
         found = found.unionByName(materialize(offsets.select("anchor", "cell", F.col("offset").alias("from_offset"), F.col("offset").alias("to_offset")).distinct(), "hot_found"))
-    place = ["text_hash", "n_bytes"]
-    spans = whole.select(*place, F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop"))
-    spans = spans.unionByName(mixed.join(known, ["anchor", "cell"], "left_semi").select(*place, F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop")))
-    return spans.unionByName(mixed.join(found, ["anchor", "cell"]).select(*place, (F.col("at") - F.col("to_offset")).alias("start"), (F.col("at") - F.col("from_offset") + LENGTH).alias("stop")))
+    at = F.shiftrightunsigned("place", 32)
+    before = F.shiftrightunsigned("place", 22).bitwiseAND(F.lit(1023).cast("long"))
+    span = F.shiftrightunsigned("place", 12).bitwiseAND(F.lit(1023).cast("long"))
+    # of a cell that occurs twice or more every window repeats: its offsets are all those from its last window to its first
+    whole = distinct.where(F.col("n") > 1).select("anchor", "cell", F.lit(None).cast("long").alias("from_offset"), F.lit(None).cast("long").alias("to_offset"))
+    known = materialize(whole.unionByName(found.join(whole.select("anchor", "cell"), ["anchor", "cell"], "left_anti")), "known")
+    spans = repeated.join(known, ["anchor", "cell"])
+    first = F.coalesce(at - F.col("to_offset"), at - before)
+    last = F.coalesce(at - F.col("from_offset"), at - before + span)
+    return spans.select("text_hash", F.col("place").bitwiseAND(F.lit(4095).cast("long")).alias("extra"), first.alias("start"), (last + length).alias("stop"))
 
 
 def _union(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
@@ -374,16 +423,24 @@ def _merge_spans(pairs: list[tuple[int, int]], raw: bytes) -> tuple[bytes, int,
     return b"".join(kept), sum(b - a for a, b in runs), len(runs)
 
 
-def deduplicate(docs: DataFrame, text_col: str = "text", digest_only: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, text_col: str = "text", digest_only: bool = False, length: int = LENGTH) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the bytes left; with ``digest_only`` their SHA-256 in hex
-    as ``kept_sha256``, and no text). Existing columns of those names are replaced."""
+    as ``kept_sha256``, and no text). Existing columns of those names are replaced. Strings of ``length`` bytes count (GRAM to 1,023)."""
+    if not GRAM <= length < 1024:
+        raise ValueError(f"length {length} is out of range")
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256" if digest_only else "kept"]
     others = [f for f in docs.schema if f.name not in (*new, text_col)]
     hashed = docs.select(*[F.col(f"`{f.name}`") for f in others], text_or_empty(text_col).alias("__text")).withColumn("__hash", F.xxhash64(F.lit(3), "__text"))
-    spans = repeated_spans(hashed.select(F.col("__hash").alias("text_hash"), F.col("__text").alias("text")))
-    per_text = spans.distinct().groupBy("text_hash", "n_bytes").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
-    per_text = materialize(per_text.withColumnsRenamed({"text_hash": "__th", "n_bytes": "__nb"}), "spans")
-    joined = hashed.join(per_text, (F.col("__hash") == F.col("__th")) & (F.octet_length("__text") == F.col("__nb")), "left")
+    spans = repeated_spans(hashed.select(F.col("__hash").alias("text_hash"), F.col("__text").alias("text")), length)
+    per_text = spans.distinct().groupBy(F.col("text_hash").alias("h"), F.col("extra").alias("e0")).agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
+    per_text = materialize(per_text, "spans")
+    keys = per_text.select("h").distinct()
+    match = (F.col("__hash") == per_text["h"]) & (_extra("__text") == F.col("e0"))
+    held = _holding(hashed, keys, "__hash")
+    if held is None:
+        joined = hashed.join(per_text, match, "left").drop("h", "e0")
+    else:  # texts without spans need no shuffle
+        joined = held.join(per_text, match, "left").drop("h", "e0").unionByName(_holding(hashed, keys, "__hash", "left_anti").withColumn("__spans", F.lit(None).cast(per_text.schema["__spans"].dataType)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
