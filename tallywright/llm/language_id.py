@@ -160,7 +160,7 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         score, n = m.word_scores(), len(m.languages)
-        table, index = np.zeros((1024, n)), {}
+        table = np.zeros((1024, n))
 
         class Known(dict):
             def __missing__(self, word: str) -> int:
@@ -179,8 +179,9 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                if len(index) > MOST_WORDS:
-                    index.clear()
+                if len(index) > MOST_WORDS:  # the words met first are the frequent ones: they stay
+                    for word in list(index)[MOST_WORDS // 2 :]:
+                        del index[word]
                 words = words_of(t)
                 rows = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
                 total = table[rows].sum(0)
