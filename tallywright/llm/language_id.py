@@ -44,6 +44,8 @@ class LanguageModel:
         pieces, longest, n = self.pieces, self.longest, len(self.languages)
         nothing = (UNSEEN,) * n
         ks = range(n)
+        known: dict[str, tuple[float, ...] | None] = {p[:k]: None for p in pieces for k in range(1, len(p))}
+        known.update(pieces)  # every start of a piece; None where it is no piece itself
 
         def score(word: str) -> list[float]:
             s = MARK + word
@@ -53,9 +55,11 @@ class LanguageModel:
             for i in range(m):
                 a = alpha[i]
                 for j in range(i + 1, min(m, i + longest) + 1):
-                    p = pieces.get(s[i:j])
-                    if p is None:
+                    p = known.get(s[i:j], 0)
+                    if not p:
                         if j > i + 1:
+                            if p == 0:
+                                break  # no piece starts so
                             continue
                         p = nothing
                     b = alpha[j]
