@@ -19,7 +19,7 @@ fingerprint and component; a component's id is its smallest non-null doc_id (nul
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,10 +189,21 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest id (a null id last), of equal ids the one with the
     smallest text hash, of equal rows any one. Rows of groups with one member stay as they are."""
+
+    def linked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        prints = materialize(with_fingerprints(rows), "prints")
+        return prints, near_links(prints.select("fp").distinct(), radius)
+
+    return one_of_each_group(docs, linked, id_col, text_col)
+
+
+def one_of_each_group(docs: DataFrame, linked: Callable[[DataFrame], tuple[DataFrame, DataFrame]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``keep_one`` keeps, for any fingerprint: ``linked`` turns rows (doc_id, __th, text) into prints (doc_id, __th, fp) and
+    links (a, b) of fingerprints."""
     hashed = docs.withColumn("__th", F.xxhash64(F.lit(5), text_or_empty(text_col)))
-    prints = materialize(with_fingerprints(hashed.select(F.col(id_col).cast("long").alias("doc_id"), "__th", F.col(text_col).alias("text"))), "prints")
+    prints, links = linked(hashed.select(F.col(id_col).cast("long").alias("doc_id"), "__th", F.col(text_col).alias("text")))
     classes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__th")).alias("one"), F.count(F.lit(1)).alias("n"))
-    links = materialize(near_links(classes, radius), "links")
+    links = materialize(links, "links")
     roots = connected_components(links).withColumnRenamed("node", "fp")
     groups = classes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("one").alias("one"), F.sum("n").alias("n"))
     keepers = materialize(groups.select(F.col("one.doc_id").alias("__id"), F.col("one.__th").alias("__t")).distinct(), "keepers")
