@@ -20,6 +20,7 @@ cross documents; repeated rows are each other's repeats; strings are judged on t
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -36,6 +37,8 @@ LENGTH, GRAM = 400, 64
 SEGMENT = 1 << 18  # windows worked on at once
 HOT, CELLS_PER_BUCKET = 2048, 20_000
 MOST_SENT = 1_000_000  # text hashes sent to every task; beyond it all texts are shuffled
+_BLANKS = b" \t\n\r\x0b\x0c"
+_WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(1).integers(1 << 63, size=256, dtype=_U)
@@ -423,15 +426,55 @@ def _merge_spans(pairs: list[tuple[int, int]], raw: bytes) -> tuple[bytes, int,
     return b"".join(kept), sum(b - a for a, b in runs), len(runs)
 
 
-def deduplicate(docs: DataFrame, text_col: str = "text", digest_only: bool = False, length: int = LENGTH) -> DataFrame:
+def _word_windows(raw: bytes, pairs: list[tuple[int, int]], words: int) -> list[tuple[int, int, int]]:
+    """(hash, start, stop) of each string of so many whole words within the union of the spans."""
+    found = []
+    for a, b in _union([p[0] for p in pairs], [p[1] for p in pairs]):
+        at = [(m.start() + a, m.end() + a) for m in _WORD.finditer(raw[a:b])]
+        if at and a and at[0][0] == a and raw[a - 1] not in _BLANKS:
+            at = at[1:]  # the end of a word
+        if at and b < len(raw) and at[-1][1] == b and raw[b] not in _BLANKS:
+            at = at[:-1]
+        for (x, _), (_, y) in zip(at, at[words - 1 :], strict=False):
+            found.append((_signed(xxhash.xxh3_64_intdigest(raw[x:y], 11)), x, y))
+    return found
+
+
+def repeated_word_spans(texts: DataFrame, words: int) -> DataFrame:
+    """As ``repeated_spans``, for strings of ``words`` whole words, words being parted by ASCII white space: those that occur at two
+    or more places, byte by byte. Such a string is ``2 * words - 1`` bytes at least, so it lies within repeated strings of that length."""
+    spans = repeated_spans(texts, 2 * words - 1).distinct().groupBy(F.col("text_hash").alias("h"), F.col("extra").alias("e0")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = materialize(spans, "byte_spans")
+    several = texts.select("text_hash", "text").withColumn("e", _extra())
+    held = _holding(several, spans.select("h").distinct(), "text_hash")
+    several = (several if held is None else held).groupBy("text_hash", "e").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    joined = several.join(spans, (F.col("text_hash") == spans["h"]) & (F.col("e") == F.col("e0"))).select("text_hash", "e", "copies", "text", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, (text, pairs) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+                found = _word_windows(text.encode("utf-8"), [(p["start"], p["stop"]) for p in pairs], words)
+                if found:
+                    base = b.select([0, 1, 2]).take(pa.array([k] * len(found), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*base.columns, *(pa.array([f[c] for f in found], pa.int64()) for c in range(3))], names=["text_hash", "extra", "copies", "window", "start", "stop"])
+
+    windows = materialize(joined.mapInArrow(run, "text_hash long, extra long, copies long, window long, start long, stop long"), "word_windows")
+    twice = windows.groupBy("window").agg(F.sum("copies").alias("n")).where(F.col("n") > 1).select("window")
+    return windows.join(twice, "window", "left_semi").select("text_hash", "extra", "start", "stop")
+
+
+def deduplicate(docs: DataFrame, text_col: str = "text", digest_only: bool = False, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the bytes left; with ``digest_only`` their SHA-256 in hex
-    as ``kept_sha256``, and no text). Existing columns of those names are replaced. Strings of ``length`` bytes count (GRAM to 1,023)."""
+    as ``kept_sha256``, and no text). Existing columns of those names are replaced. Strings of ``length`` bytes count (GRAM to 1,023),
+    or strings of ``words`` words where that is given."""
+    length = length if words is None else 2 * words - 1
     if not GRAM <= length < 1024:
         raise ValueError(f"length {length} is out of range")
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256" if digest_only else "kept"]
     others = [f for f in docs.schema if f.name not in (*new, text_col)]
     hashed = docs.select(*[F.col(f"`{f.name}`") for f in others], text_or_empty(text_col).alias("__text")).withColumn("__hash", F.xxhash64(F.lit(3), "__text"))
-    spans = repeated_spans(hashed.select(F.col("__hash").alias("text_hash"), F.col("__text").alias("text")), length)
+    texts = hashed.select(F.col("__hash").alias("text_hash"), F.col("__text").alias("text"))
+    spans = repeated_spans(texts, length) if words is None else repeated_word_spans(texts, words)
     per_text = spans.distinct().groupBy(F.col("text_hash").alias("h"), F.col("extra").alias("e0")).agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
     per_text = materialize(per_text, "spans")
     keys = per_text.select("h").distinct()

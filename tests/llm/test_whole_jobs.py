@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 
 import corpus_pipeline
@@ -45,3 +47,32 @@ def test_pipeline_keeps_one_of_texts_that_share_most_shingles(spark):
                 root[b] = a
     got = corpus_pipeline.keep_one_of_near_copies(spark, documents(spark, rows), "").select("doc_id").collect()
     assert sorted(r.doc_id for r in got) == sorted({find(i) for i in sets})
+
+
+def brute_word_cut(texts, n):
+    found = [[(m.start(), m.end()) for m in re.finditer(rb"\S+", t)] for t in texts]
+    count = Counter(t[w[k][0] : w[k + n - 1][1]] for t, w in zip(texts, found, strict=True) for k in range(len(w) - n + 1))
+    out = []
+    for t, w in zip(texts, found, strict=True):
+        gone = [False] * len(t)
+        for k in range(len(w) - n + 1):
+            a, b = w[k][0], w[k + n - 1][1]
+            if count[t[a:b]] > 1:
+                gone[a:b] = [True] * (b - a)
+        out.append(bytes(c for c, g in zip(t, gone, strict=True) if not g).decode())
+    return out
+
+
+def test_pipeline_cuts_short_worded_passages_of_over_fifty_words(spark):
+    rng = random.Random(4)
+    words = lambda n, size: " ".join("".join(rng.choice("abcdefgé") for _ in range(rng.randint(1, size))) for _ in range(n))
+    short, longer, fifty = words(60, 3), words(80, 9), words(50, 9)
+    left, right = words(30, 9), words(30, 9)
+    assert 101 <= len(short.encode()) < 256
+    texts = [f"{words(20, 7)} {short} {words(20, 7)}", f"{words(9, 7)} {short} {words(30, 7)}", f"x{longer} {words(5, 7)}", f"{words(5, 7)} {longer}y"]
+    texts += [f"{words(20, 7)} {fifty} {words(20, 7)}", f"{words(20, 7)} {fifty} {words(20, 7)}"]  # repeated, not long enough
+    texts += [f"{words(9, 7)} {left} {words(9, 7)}", f"{words(9, 7)} {right} {words(9, 7)}", f"{left} {right}"]  # two short repeats side by side
+    texts += [" ".join("a" * 51), " ".join("a" * 51), "copy " + words(70, 5), ""]
+    texts.append(texts[-2])
+    got = corpus_pipeline.cut_repeats(spark, documents(spark, list(enumerate(texts))), "").orderBy("doc_id").collect()
+    assert [r.text for r in got] == brute_word_cut([t.encode() for t in texts], 51)
