@@ -7,7 +7,10 @@ import re
 from collections import Counter
 
 
+import pytest
+
 import corpus_pipeline
+from tallywright.llm import decontam
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -76,3 +79,23 @@ def test_pipeline_cuts_short_worded_passages_of_over_fifty_words(spark):
     texts.append(texts[-2])
     got = corpus_pipeline.cut_repeats(spark, documents(spark, list(enumerate(texts))), "").orderBy("doc_id").collect()
     assert [r.text for r in got] == brute_word_cut([t.encode() for t in texts], 51)
+
+
+@pytest.mark.parametrize("n", [5, 10])
+def test_op9_decontamination_finds_every_document_at_exactly_the_cover(spark, n):
+    """One end word differs for each missing window: of n windows, a fifth may be missing, wherever the seeds are."""
+    words = [f"w{n}x{k}" for k in range(n + 4)]
+    missing = n // 5
+    docs = []
+    for left in range(missing + 1):
+        t = list(words)
+        for k in range(left):
+            t[k] = f"other{k}"
+        for k in range(missing - left):
+            t[-1 - k] = f"else{k}"
+        docs.append((left, " ".join(t)))
+    items = [(k, " ".join([*words[: n + 4 - 5 * k], *[f"v{k}y{j}" for j in range(5 * k)]])) for k in range(2)]
+    items += [(10 + k, " ".join(words[k : k + 5])) for k in range(1, n - 1)]  # makes the inner windows frequent, the end ones rare
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    hit = {r.doc_id for r in got.where(f"n_windows = {n} and item_id = 0").collect()}
+    assert hit == set(range(missing + 1))
