@@ -99,3 +99,18 @@ def test_op9_decontamination_finds_every_document_at_exactly_the_cover(spark, n)
     got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     hit = {r.doc_id for r in got.where(f"n_windows = {n} and item_id = 0").collect()}
     assert hit == set(range(missing + 1))
+
+
+def test_op9_decontamination_reads_words_that_open_sentences_as_names_too(spark):
+    item = "Tom has 12 apples in a basket. Tom gives 5 of them to Anna. Tom then buys 3 more apples at the market. How many apples does he have now?"
+    inside = "Yesterday Tom has 12 apples in a basket. Tom gives 5 of them to Anna. Tom then buys 3 more apples at the market. How many apples does he have now?"
+    docs = [(0, item), (1, item.replace("Tom", "Jerry")), (2, "It was so. " + item.replace("Tom", "Jerry").replace("12", "40")), (3, inside.replace("Tom", "Mia")), (4, item.replace("Tom", "Jerry", 1).replace("Tom", "Mia", 1).replace("Tom", "Leo", 1)), (5, item.replace("apples", "pears").replace("gives", "hands"))]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.kind) for r in got} == {(0, "exact"), (1, "reparameterised"), (2, "reparameterised"), (3, "reparameterised")}
+
+
+def test_op9_decontamination_finds_short_items_inside_longer_texts(spark):
+    items = [(1, "Seven blue herons sing"), (2, "Zanzibar"), (3, "")]
+    docs = [(0, "In the marsh, seven blue herons sing at dawn, and seven blue herons sing at dusk."), (1, "seven blue herons sleep at dawn"), (2, "we went to Zanzibar by boat last year"), (3, "zanzibar"), (4, "seven blue herons")]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.kind) for r in got} == {(0, 1, "exact"), (2, 2, "exact"), (3, 2, "exact")}
