@@ -383,7 +383,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         per_text = which.groupBy(F.col("one.text_hash").alias("h"), F.col("one.place").bitwiseAND(F.lit(4095).cast("long")).alias("e0")).agg(F.collect_list(F.struct("anchor", "cell", "one.place")).alias("cells"))
         per_text = materialize(per_text, "per_text")
         held = _holding(once, per_text.select("h").distinct(), "text_hash")
-        return (once if held is None else held).join(per_text, (F.col("text_hash") == per_text["h"]) & (F.col("e") == F.col("e0"))).select("text", "cells")
+        # a text that many documents hold is read and coded once
+        one_each = (once if held is None else held).dropDuplicates(["text_hash", "e"])
+        return one_each.join(per_text, (F.col("text_hash") == per_text["h"]) & (F.col("e") == F.col("e0"))).select("text", "cells")
 
     runs = with_text(mixed).mapInArrow(_runs(n_buckets, length), "bucket long, run binary")
     found = runs.groupBy("bucket").applyInPandas(_merge_bucket(length), "anchor long, cell long, from_offset long, to_offset long")

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tallywright.llm import decontam
+from tallywright.llm import decontam, suffix_dedup
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -114,3 +114,34 @@ def test_op9_decontamination_finds_short_items_inside_longer_texts(spark):
     docs = [(0, "In the marsh, seven blue herons sing at dawn, and seven blue herons sing at dusk."), (1, "seven blue herons sleep at dawn"), (2, "we went to Zanzibar by boat last year"), (3, "zanzibar"), (4, "seven blue herons")]
     got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id, r.kind) for r in got} == {(0, 1, "exact"), (2, 2, "exact"), (3, 2, "exact")}
+
+
+@pytest.mark.parametrize("hot", [1, 2048])
+def test_op5_suffix_dedup_codes_each_text_once(spark, hot, monkeypatch):
+    """A text of many copies that shares a passage with a differing one enters the runs, and the counts of crowded anchors, once."""
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common = some(600)
+    copied, other = some(300) + common + some(200), some(250) + common + some(100)
+    texts = [copied] * 40 + [other]
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    for name in ("_runs", "_window_counts"):
+        made = getattr(suffix_dedup, name)
+
+        def counted(*args, made=made):
+            run = made(*args)
+
+            def rows(batches):
+                def tally():
+                    for b in batches:
+                        seen.add(b.num_rows)
+                        yield b
+
+                return run(tally())
+
+            return rows
+
+        monkeypatch.setattr(suffix_dedup, name, counted)
+    got = suffix_dedup.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_removed for r in got] == [len(copied)] * 40 + [600] and seen.value == 2
