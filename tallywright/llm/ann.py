@@ -6,7 +6,9 @@
    the score of its k-th best so far.
 2. Windows alone find too little where data have no low-dimensional structure (isotropic 64-dimensional vectors need windows of over
    half of all rows for a recall of 0.9). So the rows, grouped along the first curve, are scanned for each block of queries,
-   except groups whose centre and radius prove that no row of theirs reaches the query's floor. The result is exact.
+   except groups whose centre and radius prove that no row of theirs reaches the query's floor. Queries are numbered into blocks along
+   the first curve; the pairs of group and block that may hold anything are told from a row per group, and only those are shuffled,
+   a task's call holding one group and one block. The result is exact.
 
 Inner products are computed in double precision on the original vectors, each in one fixed order, so equal vectors score equally; ties
 go to the smaller id. Defined results: rows whose vector is null, zero, of another length than most, or holds a null or non-finite
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from tallywright.llm.common import materialize
 
 CURVES, AXES, BITS, WINDOW = 3, 8, 7, 256
-GROUP_ROWS, BLOCK_QUERIES = 8192, 512
+GROUP_ROWS, BLOCK_QUERIES, STEP = 8192, 4096, 512
 MARGIN = 1e-9
 
 
@@ -142,21 +144,73 @@ def _windows(k: int, window: int):
     return run
 
 
+def _spheres(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of whole groups, each group's together → centre and radius of each."""
+
+    def sphere(parts: list[np.ndarray]) -> tuple[bytes, float]:
+        n = sum(len(m) for m in parts)
+        centre = sum(m.sum(0) for m in parts) / n
+        return centre.tobytes(), float(np.sqrt(max(((m - centre) ** 2).sum(1).max() for m in parts)))
+
+    at, parts = None, []
+    for b in batches:
+        for g, part in b.groupby("g"):
+            if g != at and parts:
+                yield pd.DataFrame([(at, *sphere(parts))], columns=["g", "centre", "radius"])
+                parts = []
+            at = int(g)
+            parts.append(_matrix(list(part["vec"])))
+    if parts:
+        yield pd.DataFrame([(at, *sphere(parts))], columns=["g", "centre", "radius"])
+
+
+def _numbered(most: int):
+    """Queries of one range → the same with the number of their block, of at most ``most``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for b in batches:
+            block = (b.column(0).to_numpy() << 32) + (seen + np.arange(b.num_rows)) // most
+            seen += b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), b.column(1), b.column(2), b.column(3)], names=["block", "query_id", "vec", "floor"])
+
+    return run
+
+
+def _live(centres: np.ndarray, radii: np.ndarray, groups: np.ndarray):
+    """Queries → the pairs of their block with groups that may hold a row for them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block, q, floor = b.column(0).to_numpy(), _matrix(b.column(1).to_pylist()), b.column(2).to_numpy()
+            found: set[tuple[int, int]] = set()
+            for a in range(0, len(block), STEP):
+                part = q[a : a + STEP]
+                reach = part @ centres.T + np.linalg.norm(part, axis=1)[:, None] * radii
+                live = reach + np.abs(reach) * 1e-12 + MARGIN >= floor[a : a + STEP, None]
+                for x in np.unique(block[a : a + STEP]):
+                    found.update((int(x), int(g)) for g in groups[live[block[a : a + STEP] == x].any(0)])
+            pairs = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["block", "g"])
+
+    return run
+
+
 def _scan(k: int):
-    """One group of rows with blocks of queries → each query's best in the group, where the group may hold any."""
+    """One group of rows with one block of queries → each query's best in the group, where the group may hold any."""
 
-    def run(rows: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
-        if len(rows) and len(blocks):
+        if len(rows) and len(block):
             rows = rows.sort_values("vec_id")
             ids, m = rows["vec_id"].to_numpy(), _matrix(list(rows["vec"]))
             centre = m.mean(0)
             radius = float(np.sqrt(((m - centre) ** 2).sum(1).max()))
-            for a in range(0, len(blocks), BLOCK_QUERIES):
-                part = blocks.iloc[a : a + BLOCK_QUERIES]
+            for a in range(0, len(block), STEP):
+                part = block.iloc[a : a + STEP]
                 q, floor = _matrix(list(part["vec"])), part["floor"].to_numpy()
                 reach = q @ centre + np.linalg.norm(q, axis=1) * radius
-                live = np.flatnonzero(reach * (1 + 1e-12) + MARGIN >= floor)
+                live = np.flatnonzero(reach + np.abs(reach) * 1e-12 + MARGIN >= floor)
                 rough = q[live] @ m.T
                 for j, i in enumerate(live):
                     got, value = best(q[i], int(part["query_id"].iloc[i]), ids, m, rough[j], k, float(floor[i]))
@@ -171,7 +225,7 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", window: int = WINDOW, group_rows: int = GROUP_ROWS) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", window: int = WINDOW, group_rows: int = GROUP_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product for each row where ``is_query`` holds."""
     rows = materialize(clean(vectors, is_query, id_col, vector_col), "vectors")
     n = rows.count()
@@ -182,10 +236,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         part = ordered.select("vec_id", "is_query", "vec").mapInArrow(_windows(k, window), schema)
         near = part if near is None else near.unionByName(part)
     floors = _top(near.distinct(), k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("floor"))
-    queries = rows.where("is_query").select(F.col("vec_id").alias("query_id"), "vec").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    queries = rows.where("is_query").select(F.col("vec_id").alias("query_id"), "vec", "key0").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
     groups = max(1, -(-n // group_rows))
     grouped = rows.select("vec_id", "vec", "key0").repartitionByRange(groups, "key0", "vec_id").select(F.spark_partition_id().alias("g"), "vec_id", "vec")
     grouped = materialize(grouped, "groups")
-    asked = materialize(queries, "queries").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    found = grouped.groupBy("g").cogroup(asked.groupBy("g")).applyInPandas(_scan(k), schema)
+    spheres = grouped.select("g", "vec").repartition("g").sortWithinPartitions("g").mapInPandas(_spheres, "g long, centre binary, radius double").orderBy("g").collect()
+    queries = materialize(queries, "queries")
+    # blocks: ranges of the first curve, cut where they are too long
+    asked = queries.repartitionByRange(max(1, -(-queries.count() // block_queries)), "key0", "query_id").select(F.spark_partition_id().cast("long").alias("range"), "query_id", "vec", "floor", "key0")
+    asked = materialize(asked.sortWithinPartitions("key0", "query_id").mapInArrow(_numbered(block_queries), "block long, query_id long, vec binary, floor double"), "asked")
+    if not spheres:
+        return _top(near, k).select("query_id", "rank", "vec_id", "score")
+    live = _live(_matrix([r["centre"] for r in spheres]), np.array([r["radius"] for r in spheres]), np.array([r["g"] for r in spheres], np.int64))
+    pairs = materialize(asked.select("block", "vec", "floor").mapInArrow(live, "block long, g long").distinct(), "pairs")
+    found = grouped.join(pairs, "g").groupBy("g", "block").cogroup(asked.join(pairs, "block").groupBy("g", "block")).applyInPandas(_scan(k), schema)
     return _top(found, k).select("query_id", "rank", "vec_id", "score")

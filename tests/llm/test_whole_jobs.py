@@ -7,10 +7,12 @@ import re
 from collections import Counter
 
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallywright.llm import decontam, suffix_dedup
+from tallywright.llm import ann, decontam, suffix_dedup
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -145,3 +147,29 @@ def test_op5_suffix_dedup_codes_each_text_once(spark, hot, monkeypatch):
         monkeypatch.setattr(suffix_dedup, name, counted)
     got = suffix_dedup.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.n_removed for r in got] == [len(copied)] * 40 + [600] and seen.value == 2
+
+
+def test_op10_nearest_neighbours_holds_one_block_of_queries_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 12)) * 4
+    x = np.concatenate([c + rng.normal(size=(60, 12)) * 0.05 for c in centres])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    most, made = spark.sparkContext.accumulator(0), ann._scan
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(k):
+        run = made(k)
+
+        def scan(rows, block):
+            calls.add(1)
+            most.add(int(len(block) > 25))
+            return run(rows, block)
+
+        return scan
+
+    monkeypatch.setattr(ann, "_scan", counted)
+    got = ann.search(df, F.col("vec_id") % 2 == 0, k=5, window=16, group_rows=40, block_queries=25).collect()
+    for q in range(0, len(x), 2):
+        s = ann.scores(x[q], x)
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:5]
+    assert most.value == 0 and 0 < calls.value < 9 * 8  # groups and blocks are about 9 and 8: far pairs are left out
