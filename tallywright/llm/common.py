@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,20 @@ def empty_batch(schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
 
 
+def narrow(batches: Iterator[pa.RecordBatch], most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices whose last column (texts) holds at most ``most_bytes`` together; one longer text stands alone."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+        a, total = 0, 0
+        for k, n in enumerate(sizes.tolist()):
+            if k > a and total + n > most_bytes:
+                yield b.slice(a, k - a)
+                a, total = k, 0
+            total += n
+        if b.num_rows:
+            yield b.slice(a)
+
+
 def sliced(texts: list[str], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of texts of at most ``most_chars`` characters together (one longer text stands alone)."""
     a, total = 0, 0

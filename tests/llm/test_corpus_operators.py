@@ -274,12 +274,76 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict(asked, nothing).collect()} == {"und"}
 
 
-def test_forward_sums_all_segmentations():
-    p = {"▁": (0.1,), "a": (0.2,), "b": (0.3,), "▁a": (0.05,), "ab": (0.07,), "▁ab": (0.01,)}
-    model = language_id.LanguageModel(["x"], p, 3)
-    want = 0.1 * 0.2 * 0.3 + 0.05 * 0.3 + 0.1 * 0.07 + 0.01
-    assert np.exp(model.word_scores()("ab")[0]) == pytest.approx(want)
-    assert sum(language_id.expected_counts("ab", {k: v[0] for k, v in p.items()}, 3).values()) == pytest.approx((3 * 0.006 + 2 * 0.015 + 2 * 0.007 + 0.01) / want)
+def segmentations(word):
+    return [[word[:k], *rest] for k in range(1, len(word) + 1) for rest in segmentations(word[k:])] if word else [[]]
+
+
+def brute_likelihood(word, p):
+    """Every segmentation written out; single characters that are no piece have the least probability."""
+    total = 0.0
+    for cut in segmentations(language_id.MARK + word):
+        total += np.prod([p.get(x, language_id.UNSEEN if len(x) == 1 else 0.0) for x in cut])
+    return total
+
+
+def slow_likelihood(word, p, longest=16):
+    """Log likelihood by an exact dynamic program over fractions of any size."""
+    from fractions import Fraction
+    from math import log
+
+    x = language_id.MARK + word
+    alpha = [Fraction(1)]
+    for j in range(1, len(x) + 1):
+        alpha.append(sum((alpha[i] * Fraction(q) for i in range(max(0, j - longest), j) if (q := p.get(x[i:j], language_id.UNSEEN if j == i + 1 else 0.0))), Fraction(0)))
+    return log(alpha[-1].numerator) - log(alpha[-1].denominator)
+
+
+PIECES = {"▁": 0.1, "a": 0.2, "b": 0.3, "▁a": 0.05, "ab": 0.07, "▁ab": 0.01, "bab": 0.02, "é": 0.004}
+
+
+def test_forward_sums_all_segmentations(monkeypatch):
+    pieces, probs = language_id.Pieces(list(PIECES)), language_id.with_fallback(np.array([[q, q / 2] for q in PIECES.values()]))
+    words = ["ab", "a", "b", "babab", "aébz", "日本ab", "abababab", "ab", "zzzz", "\U0001f600a"]
+    got = language_id.word_likelihoods(words, pieces, probs)
+    assert np.allclose(np.exp(got[:, 0]), [brute_likelihood(w, PIECES) for w in words], rtol=1e-12)
+    assert np.allclose(np.exp(got[:, 1]), [brute_likelihood(w, {k: q / 2 for k, q in PIECES.items()}) for w in words], rtol=1e-12)
+    for stretch in (7, 4096):  # long words: whole, and handed on from stretch to stretch
+        monkeypatch.setattr(language_id, "STRETCH", stretch)
+        for w in ("z" * 300, "bab" * 100, "ab日" * 70):
+            assert language_id.word_likelihoods([w], pieces, probs)[0, 0] == pytest.approx(slow_likelihood(w, PIECES), rel=1e-12)
+    assert language_id.word_likelihoods([], pieces, probs).shape == (0, 2)
+
+
+def test_expected_counts_are_those_of_all_segmentations():
+    pieces = language_id.Pieces(list(PIECES))
+    words, n = ["ab", "babab", "aébz", "ab"], np.array([2.0, 1.0, 3.0, 1.0])
+    got = language_id.expected_counts(words, n, pieces, language_id.with_fallback(np.array(list(PIECES.values()))[:, None])[:, 0])
+    want = Counter()
+    for w, times in zip(words, n, strict=True):
+        for cut in segmentations(language_id.MARK + w):
+            share = np.prod([PIECES.get(x, language_id.UNSEEN if len(x) == 1 else 0.0) for x in cut]) / brute_likelihood(w, PIECES)
+            for x in cut:
+                want[x] += times * share
+    assert np.allclose(got, [want[x] for x in PIECES], rtol=1e-9)
+
+
+@pytest.mark.parametrize("remembered", [4, 150_000])
+def test_language_id_equals_brute_force(spark, remembered, monkeypatch):
+    """Each text's language and score from sums over the written-out segmentations of its words; ties go to the first language."""
+    monkeypatch.setattr(language_id, "MOST_WORDS", remembered)
+    model = language_id.LanguageModel(["x", "y", "z"], list(PIECES), language_id.with_fallback(np.array([[q, q * (0.5 if len(k) > 1 else 1.2), q] for k, q in PIECES.items()])))
+    by_lang = [{k: model.probs[i, n] for i, k in enumerate(PIECES)} for n in range(3)]
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abébz") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    texts += [texts[0], texts[0], "A B", " \n\t", "12", None, "", "ab " * 2000]
+    got = {r.doc_id: r for r in language_id.predict(frame(spark, list(enumerate(texts))), model).collect()}
+    for k, t in enumerate(texts):
+        if t is None or not any(map(str.isalpha, t)):
+            assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
+            continue
+        total = [sum(np.log(brute_likelihood(w, p)) for w in t.lower().split()) for p in by_lang]
+        assert got[k].lang_pred == ("x" if total[0] >= total[1] - 1e-9 else "y")
+        assert got[k].score == pytest.approx(1 / sum(np.exp(v - max(total)) for v in total), rel=1e-6)
 
 
 def test_decontamination(spark):
