@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 import posixpath
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BYTE_BPE = "byte_bpe_50k.json"
+T = TypeVar("T")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,6 +58,18 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), uri
 
 
+_kept: dict = {}
+
+
+def kept(name: Hashable, make: Callable[[], T]) -> T:
+    """What a Python worker keeps for the next task of the same kind. A worker holds one such thing: a task of another kind drops it,
+    so that the stages of a session don't add up in memory."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def empty_batch(schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
 
@@ -75,18 +88,6 @@ def narrow(batches: Iterator[pa.RecordBatch], most_bytes: int = 4_000_000) -> It
             yield b.slice(a)
 
 
-def sliced(texts: list[str], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Runs [a, b) of texts of at most ``most_chars`` characters together (one longer text stands alone)."""
-    a, total = 0, 0
-    for b, t in enumerate(texts):
-        if b > a and total + len(t) > most_chars:
-            yield a, b
-            a, total = b, 0
-        total += len(t)
-    if texts:
-        yield a, len(texts)
-
-
 class _Units(dict):
     """Number of each distinct unit; units not seen before are noted in ``pending``."""
 
@@ -122,6 +123,7 @@ class CachedEncoder:
         self.widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes of each id
         for piece, i in self.tokenizer.get_vocab().items():
             self.widths[i] = len(piece)
+        self.tables: dict[str, np.ndarray] = {}  # what users derive from the vocabulary
         self._reset()
 
     def _reset(self) -> None:
@@ -213,10 +215,9 @@ class CachedEncoder:
         return ids, counts
 
 
-@functools.lru_cache(maxsize=2)
 def encoder_of(path: str) -> CachedEncoder:
     """The worker's encoder: what one task has learnt serves the next."""
-    return CachedEncoder(path)
+    return kept(("encoder", path), lambda: CachedEncoder(path))
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import materialize, narrow
+from tallywright.llm.common import kept, materialize, narrow
 
 SAMPLE, ROUNDS = 1000, 3
 MOST_WORDS, MOST_CHARS = 150_000, 2_000_000  # remembered by a task
@@ -261,10 +261,11 @@ class _Memory:
 
 def predict(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``df`` without its text, with ``lang_pred`` and ``score``; columns of those names are replaced."""
-    kept = [f for f in df.schema if f.name not in (text_col, "lang_pred", "score")]
+    others = [f for f in df.schema if f.name not in (text_col, "lang_pred", "score")]
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("language", dict)
         m = shared.value
         memory = _Memory(m) if m.languages else None
         for b in narrow(batches):
@@ -276,7 +277,7 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
                 total = memory.table[r].sum(0)
                 best = int(total.argmax())
                 langs[k], scores[k] = m.languages[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*[f.name for f in kept], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*[f.name for f in others], "lang_pred", "score"])
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text_col).alias("__text")).mapInArrow(run, f"{kinds}lang_pred string, score double")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
+    return df.select(*[F.col(f"`{f.name}`") for f in others], F.col(text_col).alias("__text")).mapInArrow(run, f"{kinds}lang_pred string, score double")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import encoder_of, sliced, text_or_empty
+from tallywright.llm.common import encoder_of, narrow, text_or_empty
 
 STRIDE, CHUNK = 64, 1 << 20
 SENTENCE_PENALTY, MIDDLE_PENALTY = 2.0, 16.0
@@ -139,14 +139,13 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_
         base, encoder = TaskContext.get().partitionId() << 40, encoder_of(tokenizer)
 
         def chunks():
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for a, b in sliced(texts):
-                    flat, counts = encoder.encode(texts[a:b])
-                    stops = np.cumsum(counts)
-                    yield ids[a:b], np.insert(flat, stops, end_id), counts + 1
-
-        for key, start, length, total, window, offset, pieces in pack_stream(chunks(), sentence_end_table(encoder.tokenizer), limit):
+            for batch in narrow(batches):
+                flat, counts = encoder.encode(batch.column(1).to_pylist())
+                yield batch.column(0).to_pylist(), np.insert(flat, np.cumsum(counts), end_id), counts + 1
+
+        if "sentence ends" not in encoder.tables:
+            encoder.tables["sentence ends"] = sentence_end_table(encoder.tokenizer)
+        for key, start, length, total, window, offset, pieces in pack_stream(chunks(), encoder.tables["sentence ends"], limit):
             raw = [p.astype("<u4").tobytes() for p in pieces]
             columns = [pa.array(key, pa.int64()), pa.array(start), pa.array(length), pa.array(list(map(zlib.crc32, raw)), pa.int64()), pa.array(total), pa.array(base + window), pa.array(offset), *([pa.array(raw, pa.binary())] if with_ids else [])]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

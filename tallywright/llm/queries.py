@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import ann, decontam, language_id, packing, sharding, simhash, suffix_dedup, token_counts, token_index, toxicity
-from tallywright.llm.common import BYTE_BPE, crc_of_id, table, text_or_empty
+from tallywright.llm.common import BYTE_BPE, crc_of_id, materialize, table, text_or_empty
 
 SHARDS = 16
 
@@ -46,11 +46,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), digest_only=True)
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), result="digest")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.context_limits(token_counts.length_histogram(table(spark, sf_dir, "documents"), tokenizer_path()))
+    # two branches read the histogram: written once, or all texts would be encoded twice
+    histogram = materialize(token_counts.length_histogram(table(spark, sf_dir, "documents"), tokenizer_path()), "lengths")
+    return token_counts.context_limits(histogram)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import materialize, text_or_empty
+from tallywright.llm.common import kept, materialize, narrow, text_or_empty
 from tallywright.llm.components import connected_components
 
 RADIUS = 3
@@ -56,15 +56,16 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 def with_fingerprints(df: DataFrame, text_col: str = "text", out: str = "fp") -> DataFrame:
     """All columns but the text, and the fingerprint as a signed long named ``out``."""
-    kept = [f for f in df.schema if f.name not in (out, text_col)]
+    others = [f for f in df.schema if f.name not in (out, text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        kept("simhash", dict)
+        for b in narrow(batches):
             prints = np.array([fingerprint(t) for t in b.column(b.num_columns - 1).to_pylist()], _U).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(prints, pa.int64())], names=[*[f.name for f in kept], out])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(prints, pa.int64())], names=[*[f.name for f in others], out])
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    return df.select(*[F.col(f"`{f.name}`") for f in kept], text_or_empty(text_col).alias("__text")).mapInArrow(run, f"{kinds}`{out}` long")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
+    return df.select(*[F.col(f"`{f.name}`") for f in others], text_or_empty(text_col).alias("__text")).mapInArrow(run, f"{kinds}`{out}` long")
 
 
 def covering_masks(free: list[int], radius: int = RADIUS) -> list[int]:

@@ -465,14 +465,14 @@ def repeated_word_spans(texts: DataFrame, words: int) -> DataFrame:
     return windows.join(twice, "window", "left_semi").select("text_hash", "extra", "start", "stop")
 
 
-def deduplicate(docs: DataFrame, text_col: str = "text", digest_only: bool = False, length: int = LENGTH, words: int | None = None) -> DataFrame:
-    """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the bytes left; with ``digest_only`` their SHA-256 in hex
-    as ``kept_sha256``, and no text). Existing columns of those names are replaced. Strings of ``length`` bytes count (GRAM to 1,023),
+def deduplicate(docs: DataFrame, text_col: str = "text", result: str = "bytes", length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and what is left: ``kept``, as ``result`` says bytes or text (without
+    the halves of characters that a cut has left), or for ``digest`` the SHA-256 of the bytes in hex as ``kept_sha256``. Existing columns of those names are replaced. Strings of ``length`` bytes count (GRAM to 1,023),
     or strings of ``words`` words where that is given."""
     length = length if words is None else 2 * words - 1
     if not GRAM <= length < 1024:
         raise ValueError(f"length {length} is out of range")
-    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256" if digest_only else "kept"]
+    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256" if result == "digest" else "kept"]
     others = [f for f in docs.schema if f.name not in (*new, text_col)]
     hashed = docs.select(*[F.col(f"`{f.name}`") for f in others], text_or_empty(text_col).alias("__text")).withColumn("__hash", F.xxhash64(F.lit(3), "__text"))
     texts = hashed.select(F.col("__hash").alias("text_hash"), F.col("__text").alias("text"))
@@ -493,20 +493,11 @@ def deduplicate(docs: DataFrame, text_col: str = "text", digest_only: bool = Fal
             for text, pairs in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 raw = text.encode("utf-8")
                 kept, removed, runs = _merge_spans([(p["start"], p["stop"]) for p in pairs or ()], raw)
-                rows.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest() if digest_only else kept))
-            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)] + [pa.array([r[3] for r in rows], pa.string() if digest_only else pa.binary())]
+                rows.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest() if result == "digest" else kept.decode("utf-8", "ignore") if result == "text" else kept))
+            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)] + [pa.array([r[3] for r in rows], pa.binary() if result == "bytes" else pa.string())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], *columns], names=[*[f.name for f in others], *new])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
     ready = joined.select(*[F.col(f"`{f.name}`") for f in others], "__text", "__spans")
-    return ready.mapInArrow(cut, f"{kinds}n_bytes long, n_removed long, n_spans long, {new[3]} {'string' if digest_only else 'binary'}")
+    return ready.mapInArrow(cut, f"{kinds}n_bytes long, n_removed long, n_spans long, {new[3]} {'binary' if result == 'bytes' else 'string'}")
 
-
-def as_text(column: str) -> Column:
-    """Bytes as text, without the halves of characters that a cut has left."""
-
-    @F.pandas_udf("string")
-    def decode(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return decode(F.col(column))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import encoder_of, materialize, open_store, shared_folder, sliced, text_or_empty, with_end
+from tallywright.llm.common import encoder_of, materialize, narrow, open_store, shared_folder, text_or_empty, with_end
 
 KEYS_PER_BUCKET = 1 << 16
 RECORD = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n_tokens", "<u8")])
@@ -124,24 +124,23 @@ def _write_shards(folder: str, tokenizer: str, width: int, end_id: int):
         shard, encoder, out, offset, last, seen = TaskContext.get().partitionId(), None, None, 0, None, 0
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.bin"
         try:
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for a, b in sliced(texts):
-                    if out is None:
-                        store, path = open_store(folder)
-                        store.create_dir(path, recursive=True)
-                        encoder, out = encoder_of(tokenizer), store.open_output_stream(f"{path}/{name}")
-                    flat, counts = with_end(*encoder.encode(texts[a:b]), end_id)
-                    out.write(flat.astype(f"<u{width}").tobytes())
-                    occurrence = []
-                    for i in ids[a:b]:
-                        seen = seen + 1 if (i, True) == last else 0
-                        last = (i, True)
-                        occurrence.append(seen if i is not None else -1 - seen)
-                    offsets = offset + np.concatenate([[0], np.cumsum(counts)])
-                    offset = int(offsets[-1])
-                    n = b - a
-                    yield pa.RecordBatch.from_arrays([pa.array([NULL_ID if i is None else i for i in ids[a:b]], pa.int64()), pa.array(occurrence, pa.int64()), pa.array([shard] * n, pa.int32()), pa.array([name] * n), pa.array(offsets[:-1]), pa.array(counts.astype(np.int64))], schema=schema)
+            for batch in narrow(batches):
+                if out is None:
+                    store, path = open_store(folder)
+                    store.create_dir(path, recursive=True)
+                    encoder, out = encoder_of(tokenizer), store.open_output_stream(f"{path}/{name}")
+                ids = batch.column(0).to_pylist()
+                flat, counts = with_end(*encoder.encode(batch.column(1).to_pylist()), end_id)
+                out.write(flat.astype(f"<u{width}").tobytes())
+                occurrence = []
+                for i in ids:
+                    seen = seen + 1 if (i, True) == last else 0
+                    last = (i, True)
+                    occurrence.append(seen if i is not None else -1 - seen)
+                offsets = offset + np.concatenate([[0], np.cumsum(counts)])
+                offset = int(offsets[-1])
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array([NULL_ID if i is None else i for i in ids], pa.int64()), pa.array(occurrence, pa.int64()), pa.array([shard] * n, pa.int32()), pa.array([name] * n), pa.array(offsets[:-1]), pa.array(counts.astype(np.int64))], schema=schema)
         finally:
             if out is not None:
                 out.close()

@@ -113,8 +113,13 @@ def test_token_counts(spark, reference):
     n = np.array([len(reference.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows])
     for r in token_counts.context_limits(hist).collect():
         assert (r.docs_cut, r.tokens_kept, r.tokens_lost) == ((n > r.length).sum(), np.minimum(n, r.length).sum(), np.maximum(0, n - r.length).sum())
-    for r in token_counts.answer(hist, [1, 7, 1024]).collect():
+    for r in token_counts.answer(hist, [1, 7, 1024, 100_000]).collect():
         assert r.tokens_kept == np.minimum(n, r.context_limit).sum() and r.docs_fit == (n <= r.context_limit).sum()
+    assert token_counts.answer(hist, [1, 7, 1024, 7]).count() == 3
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0]
+    got = {r.share: r.length for r in token_counts.quantiles(hist, shares).collect()}
+    assert got == {q: int(min(x for x in n if (n <= x).sum() >= q * len(n))) for q in shares}
+    assert token_counts.quantiles(hist.where("false"), shares).count() == 0
     assert token_counts.context_limits(token_counts.length_histogram(empty(spark), PATH)).count() == 0
 
 
@@ -221,7 +226,7 @@ def test_suffix_dedup(spark, hot, monkeypatch):
     for _ in range(30):
         t = some(rng.randint(0, 500)) + rng.choice([common, common[: rng.randint(380, 800)], common[rng.randint(0, 350) :], line, ""]) + some(rng.randint(0, 400))
         texts += [t[: len(t) // 2] + "é" + t[len(t) // 2 + 1 :] if rng.random() < 0.3 else t] * (1 + (rng.random() < 0.2))
-    got = suffix_dedup.deduplicate(frame(spark, list(enumerate(texts))), digest_only=True).orderBy("doc_id").collect()
+    got = suffix_dedup.deduplicate(frame(spark, list(enumerate(texts))), result="digest").orderBy("doc_id").collect()
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_repeats(texts)
     assert suffix_dedup.deduplicate(empty(spark)).count() == 0
 
