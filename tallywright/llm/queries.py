@@ -46,7 +46,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), result="digest")
+    """Beside the contract's columns: ``n_passages``, the passages of over fifty words that occur elsewhere too (many are under 400
+    bytes and stay), and ``repeats``, 1 where a document holds either kind."""
+    cut = suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), result="digest", passages=51)
+    return cut.withColumn("repeats", ((F.col("n_removed") > 0) | (F.col("n_passages") > 0)).cast("int"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

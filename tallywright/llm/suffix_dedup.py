@@ -1,47 +1,48 @@
 """Exact substring removal by a sparse, distributed suffix sort.
 
-A byte is removed when it lies in a string of ``length`` bytes (LENGTH unless stated) that starts anywhere else too, in any document. Sorting the suffixes of
-all positions would do; most can be left out. Each window of that length picks the least hash among its ``GRAM``-byte substrings,
-leftmost first: an anchor that depends on the window's content alone, so equal windows have equal anchors at equal offsets. The
-windows of one anchor are neighbours, a cell. Then:
-
-1. Anchors whose hash occurs once hold no repeat. Where all cells of an anchor are alike and there are two or more, all of their
-   windows repeat. Both are told by counts.
-2. Anchors with differing cells remain. Their suffixes are sorted in each task into runs, front-coded (the prefix shared with the one
-   before is not sent again), exchanged by anchor and merged by loser trees that carry common-prefix lengths, so that no known prefix is
-   compared again. The merged order and its prefix lengths, with the same for the reversed text left of the anchors, say
-   exactly which windows of a cell occur in another.
-3. An anchor with over ``HOT`` differing cells is not gathered: its windows are counted one by one, each task combining its own first.
-
-Spans return to documents by content (hash and length bits of the text). Defined results: null and empty texts have no bytes; matches never
-cross documents; repeated rows are each other's repeats; strings are judged on the input; lengths are bytes of UTF-8.
+What lies in a window that starts anywhere else too, in any document, is removed. A window is a string of ``length`` bytes, or a run
+of so many whole words with the white space between them. Sorting the suffixes of all positions would do; most can be left out. Each
+window picks the least hash among its grams (64 bytes, or 8 words), leftmost first: an anchor that depends on the window's content
+alone, so equal windows have equal anchors at equal offsets. The windows of one anchor are neighbours, a cell. Then:
+
+1. Anchors whose hash occurs once hold no repeat and go. Equal cells become one, with their number (told by 128-bit hashes).
+2. The suffixes that start at the anchors of the cells left are sorted in each task into runs, front-coded (the prefix shared with the
+   one before is not sent again), exchanged by anchor and merged by loser trees that carry common-prefix lengths, so that no known
+   prefix is compared again. The merged order and its prefix lengths, with the same for the reversed text left of the anchors, say
+   exactly which windows of a cell occur in another; of a cell that occurs twice all do.
+3. Cells that crowd at one anchor (over ``HOT`` different ones) are not gathered. Their texts go through the same steps with longer
+   grams, which part them by the bytes next to the anchor; the last gram is a whole window, at which no two different cells meet.
+
+Spans return to documents by content (a 128-bit hash of the text). Defined results: null and empty texts have no bytes; matches never
+cross documents; repeated rows are each other's repeats; windows are judged on the input; lengths are bytes of UTF-8; words are parted
+by ASCII white space.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import materialize, text_or_empty
+from tallywright.llm.common import kept, materialize, narrow, text_or_empty
 
-LENGTH, GRAM = 400, 64
+LENGTH = 400
 SEGMENT = 1 << 18  # windows worked on at once
 HOT, CELLS_PER_BUCKET = 2048, 20_000
 MOST_SENT = 1_000_000  # text hashes sent to every task; beyond it all texts are shuffled
-_BLANKS = b" \t\n\r\x0b\x0c"
-_WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
+MOST_WORDS = 200_000  # whose hashes a worker keeps
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(1).integers(1 << 63, size=256, dtype=_U)
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
 def _power_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -52,21 +53,41 @@ def _power_tables() -> tuple[np.ndarray, np.ndarray]:
         return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-_TABLES: list[tuple[np.ndarray, np.ndarray]] = []
+class _Words(dict):
+    """Hash of each word met."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word, 23)
+        return h
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    return h ^ (h >> _U(32))
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of each ``gram``-byte substring: sum of byte values times powers, shifted to a common power, then mixed."""
-    if not _TABLES:
-        _TABLES.append(_power_tables())
-    up, down = _TABLES[0]
+    up, down = kept("powers", _power_tables)
     n = len(data)
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, _U)
         np.cumsum(_BYTES[data] * up[:n], out=sums[1:])
-        h = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
-        h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
-        return h ^ (h >> _U(32))
+        return _mixed((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+
+
+def _word_hashes(raw: bytes) -> np.ndarray:
+    known, words = kept("words", _Words), raw.split()
+    if len(known) > MOST_WORDS:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, words), _U, len(words))
+
+
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts and where it stops."""
+    inside = np.concatenate([[False], ~_BLANK[np.frombuffer(raw, np.uint8)], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
 
 
 def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -81,54 +102,84 @@ def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def cells_of(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
-    """(hash of the anchor's substring, anchor, first window, last window) of each cell."""
-    width, low = length - gram + 1, _U((1 << 24) - 1)
-    windows = len(text) - length + 1
-    for s in range(0, windows, SEGMENT):
-        n = min(SEGMENT, windows - s)
-        h = _gram_hashes(np.frombuffer(text, np.uint8, n + length - 1, s), gram)
-        keys = (h & ~low) | np.arange(len(h), dtype=_U)
-        at = (_sliding_least(keys, width) & low).astype(np.int64)
-        edges = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
-        anchors = at[edges[:-1]]
-        yield from zip(h[anchors].view(np.int64).tolist(), (anchors + s).tolist(), (edges[:-1] + s).tolist(), (edges[1:] - 1 + s).tolist(), strict=True)
+def _anchored(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each run of windows (of ``width`` grams) with one anchor: the anchor's place, the first and the last window."""
+    low = _U((1 << 24) - 1)
+    at = (_sliding_least((hashes & ~low) | np.arange(len(hashes), dtype=_U), width) & low).astype(np.int64)
+    edges = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
+    return at[edges[:-1]], edges[:-1], edges[1:] - 1
+
+
+@dataclass(frozen=True)
+class Windows:
+    """Strings of ``size`` bytes, or of ``size`` words."""
+
+    size: int
+    words: bool = False
+
+    def grams(self) -> list[int]:
+        least = min(8 if self.words else 64, self.size)
+        return sorted({least, (least + self.size) // 2, self.size - (self.size - least) // 16, self.size})
+
+    @property
+    def least_bytes(self) -> int:
+        return 2 * self.size - 1 if self.words else self.size
+
+    def cells(self, raw: bytes, gram: int) -> Iterator[tuple[int, int, int, int]]:
+        """(hash of the anchor's gram, where the anchor, the first window and the end of the last window are) of each cell."""
+        width = self.size - gram + 1
+        if self.words:
+            h, (starts, stops) = _word_hashes(raw), word_bounds(raw)
+            if len(h) < self.size:
+                return
+            with np.errstate(over="ignore"):
+                total = np.zeros(len(h) - gram + 1, _U)
+                for k in range(gram):
+                    total += h[k : k + len(total)] * _U(pow(_BASE, k + 1, 1 << 64))
+                hashes = _mixed(total)
+        windows = (len(h) if self.words else len(raw)) - self.size + 1
+        for s in range(0, windows, SEGMENT):
+            n = min(SEGMENT, windows - s)
+            here = hashes[s : s + n + width - 1] if self.words else _gram_hashes(np.frombuffer(raw, np.uint8, n + self.size - 1, s), gram)
+            at, first, last = _anchored(here, width)
+            found = here[at].view(np.int64)
+            at, first, last = at + s, first + s, last + s
+            if self.words:
+                at, first, last = starts[at], starts[first], stops[last + self.size - 1]
+            else:
+                last = last + self.size
+            yield from zip(found.tolist(), at.tolist(), first.tolist(), last.tolist(), strict=True)
+
+    def reaches(self, left: bytes, right: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+        """Of the windows of a cell, by their offset (units left of the anchor): the least offset, bytes left and bytes right of the
+        anchor. ``left`` is the cell's text before the anchor, reversed; ``right`` that from the anchor on."""
+        if not self.words:
+            offsets = np.arange(self.size - len(right), len(left) + 1)
+            return self.size - len(right), offsets, self.size - offsets
+        stops = word_bounds(right)[1]
+        starts = np.concatenate([[0], word_bounds(left)[1]])
+        least = self.size - len(stops)
+        return least, starts[least:], stops[::-1][: len(starts) - least]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-# A cell's place is one long: anchor (32 bits), bytes from first window to anchor (10), from first to last window (10), and 12 bits of the
-# text's length, which tell texts apart beside their 64-bit hash.
-
-
-def _place(at: int, first: int, last: int, n_bytes: int) -> int:
-    return _signed((at << 32 | (at - first) << 22 | (last - first) << 12 | n_bytes * 2654435761 >> 7 & 4095) & (1 << 64) - 1)
-
-
-def _read_place(place: int) -> tuple[int, int, int]:
-    """(anchor, first window, last window)."""
-    place &= (1 << 64) - 1
-    at = place >> 32
-    first = at - (place >> 22 & 1023)
-    return at, first, first + (place >> 12 & 1023)
-
-
-def _cells(length: int):
-    """Texts → their cells; a cell is known by the hash of its bytes and of where anchor and windows lie in them."""
-    names, digest = ["anchor", "cell", "text_hash", "place"], xxhash.xxh3_64_intdigest
+def _cells(windows: Windows, gram: int):
+    """Texts → their cells, told by a hash of their bytes and of where the anchor lies in them."""
+    names, digest = ["anchor", "c0", "c1", "u0", "u1", "at", "before", "after", "copies"], xxhash.xxh3_128_intdigest
+    low = (1 << 64) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in narrow(batches):
             columns: list[list[int]] = [[] for _ in names]
-            for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = text.encode("utf-8")
-                for anchor, at, first, last in cells_of(raw, length):
-                    cell = _signed(digest(raw[first : last + length], (at - first) * 65536 + last - first))
-                    for c, v in zip(columns, (anchor, cell, h, _place(at, first, last, len(raw))), strict=True):
+            for u0, u1, copies, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                for anchor, at, first, stop in windows.cells(raw, gram):
+                    cell = digest(raw[first:stop], at - first)
+                    for c, v in zip(columns, (anchor, _signed(cell >> 64), _signed(cell & low), u0, u1, at, at - first, stop - at, copies), strict=True):
                         c.append(v)
-                if len(columns[0]) > 200_000:
+                if len(columns[0]) > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
                     columns = [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
@@ -137,10 +188,10 @@ def _cells(length: int):
 
 
 # --- sorted runs ---------------------------------------------------------------------------------------------------------------
-# An entry is (key, left, cell, least offset, most offset): key = anchor hash (8 bytes, big-endian) + text from the anchor on,
-# left = text before the anchor, reversed; an offset is the anchor's place in a window.
+# An entry is (key, left, cell, many): key = anchor hash (8 bytes, big-endian) + text from the anchor on, left = text before the
+# anchor, reversed, cell = its hash, many = whether it occurs twice or more.
 
-_HEAD = struct.Struct("<HHHHHq")
+_HEAD = struct.Struct("<IIIqq?")
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -155,10 +206,10 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
 def front_code(entries: list[tuple]) -> bytes:
     """Sorted entries as one run; each key without the prefix it shares with the key before."""
     out, before = [], b""
-    for key, left, cell, least, most in entries:
+    for key, left, cell, many in entries:
         h = common_prefix(before, key)
         tail = key[h:]
-        out += [_HEAD.pack(h, len(tail), len(left), least, most, cell), tail, left]
+        out += [_HEAD.pack(h, len(tail), len(left), *cell, many), tail, left]
         before = key
     return b"".join(out)
 
@@ -167,11 +218,11 @@ def read_run(run: bytes) -> Iterator[tuple[int, tuple]]:
     """(prefix shared with the entry before, entry)."""
     at, key, size = 0, b"", _HEAD.size
     while at < len(run):
-        h, tail, left, least, most, cell = _HEAD.unpack_from(run, at)
+        h, tail, left, c0, c1, many = _HEAD.unpack_from(run, at)
         at += size
         key = key[:h] + run[at : at + tail]
         at += tail
-        yield h, (key, run[at : at + left], cell, least, most)
+        yield h, (key, run[at : at + left], (c0, c1), many)
         at += left
 
 
@@ -227,89 +278,93 @@ def merge_runs(runs: list[bytes]) -> Iterator[tuple[int, tuple]]:
         winner = player
 
 
-def repeated_offsets(entries: list[tuple], shared: list[int], length: int) -> list[tuple[int, int, int]]:
-    """Among one anchor's different cells, sorted, with the prefixes shared by neighbours: (cell, from offset, to offset) of each
-    run of windows that another cell has too."""
-    n = len(entries)
-    if n == 2:
-        right, left = shared[1] - 8, common_prefix(entries[0][1], entries[1][1])
-        out = []
-        for _, _, cell, least, most in entries:
-            a, b = max(least, length - right), min(most, left)
-            if a <= b:
-                out.append((cell, a, b))
+def _neighbours(shared: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Numbers [entry, offset], equal where two entries reach equally far (``reach``, -1 for not at all) and have the same text so
+    far. ``shared``: prefix that each has in common with the one before, in sorted order."""
+    inside = reach >= 0
+    most = reach.max(0)
+    out = np.cumsum(shared[:, None] < most[None, :], axis=0)
+    odd = (inside & (reach != most)).any(0)
+    for o in np.flatnonzero(odd):  # word windows of different lengths: each length has its own order of classes
+        for k, r in enumerate(np.unique(reach[inside[:, o], o])):
+            at = reach[:, o] == r
+            out[at, o] = (np.cumsum(shared < r) + k * (len(shared) + 1))[at]
+    return np.where(inside, out, -1)
+
+
+def repeated_windows(entries: list[tuple], shared: list[int], windows: Windows) -> list[tuple[int, int, int, int]]:
+    """Of one anchor's different cells, sorted, with the prefixes shared by neighbours: (cell, bytes left and right of the anchor) of each
+    run of windows that occurs elsewhere too."""
+    n, out = len(entries), []
+    if n == 1 and not entries[0][3]:
+        return out
+    reaches = [windows.reaches(left, key[8:]) for key, left, _, _ in entries]
+    for (_, _, cell, many), (_, left, right) in zip(entries, reaches, strict=True):
+        if many:
+            out.append((*cell, int(left[-1]), int(right[0])))
+    if n == 1 or len(out) == n:
+        return out
+    least, stop = min(r[0] for r in reaches), max(r[0] + len(r[1]) for r in reaches)
+    lefts, rights = np.full((n, stop - least), -1), np.full((n, stop - least), -1)
+    for i, (first, left, right) in enumerate(reaches):
+        lefts[i, first - least : first - least + len(left)] = left
+        rights[i, first - least : first - least + len(left)] = right
+    possible = np.where(rights < 0, 1 << 40, rights).min(0) <= max(shared[1:]) - 8  # offsets at which some two may agree
+    if not possible.any():
         return out
-    offsets = np.arange(max(0, length - max(shared[1:]) + 8), max(e[4] for e in entries) + 1)
-    if n < 2 or not len(offsets):
-        return []
-    # at each offset, number the classes of equal text right of the anchor, and left of it
-    right = np.array([0, *[s - 8 for s in shared[1:]]])
-    right_class = np.cumsum(right[:, None] < length - offsets[None, :], axis=0)
+    base = int(possible.argmax())
+    lefts, rights = lefts[:, base:], rights[:, base:]
+    right_class = _neighbours(np.array([0, *[s - 8 for s in shared[1:]]]), rights)
     order = sorted(range(n), key=lambda i: entries[i][1])
-    lefts = [0, *[common_prefix(entries[i][1], entries[j][1]) for i, j in zip(order[:-1], order[1:], strict=True)]]
+    before = [0, *[common_prefix(entries[i][1], entries[j][1]) for i, j in zip(order[:-1], order[1:], strict=True)]]
     left_class = np.empty_like(right_class)
-    left_class[order] = np.cumsum(np.array(lefts)[:, None] < offsets[None, :], axis=0)
-    least, most = np.array([e[3] for e in entries]), np.array([e[4] for e in entries])
-    inside = (offsets[None, :] >= least[:, None]) & (offsets[None, :] <= most[:, None])
-    both = np.where(inside, right_class.astype(np.int64) * (n + 1) + left_class, -1 - np.arange(n)[:, None])
+    left_class[order] = _neighbours(np.array(before), lefts[order])
+    # number the classes of both sides together, offset by offset
+    both = np.where(rights >= 0, right_class.astype(np.int64) * (int(left_class.max()) + 2) + left_class, -1 - np.arange(n)[:, None])
     rank = np.argsort(both, axis=0, kind="stable")
     ordered = np.take_along_axis(both, rank, 0)
     same = ordered[1:] == ordered[:-1]
-    again = np.zeros_like(inside)
+    again = np.zeros(both.shape, bool)
     again[1:] |= same
     again[:-1] |= same
     hit = np.empty_like(again)
     np.put_along_axis(hit, rank, again, 0)
-    out = []
     for i in np.flatnonzero(hit.any(1)):
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], hit[i].astype(np.int8), [0]])))
-        out += [(entries[i][2], int(offsets[a]), int(offsets[b - 1])) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        if not entries[i][3]:
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], hit[i].astype(np.int8), [0]])))
+            out += [(*entries[i][2], int(lefts[i, b - 1]), int(rights[i, a])) for a, b in zip(edges[::2], edges[1::2], strict=True)]
     return out
 
 
-def _merge_bucket(length: int):
+def _merge_bucket(windows: Windows):
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int, int]] = []
         group: list[tuple] = []
         shared: list[int] = []
-
-        def close() -> None:
-            if len(group) > 1:
-                anchor = struct.unpack(">q", group[0][0][:8])[0]
-                out.extend((anchor, *r) for r in repeated_offsets(group, shared, length))
-
-        cells: set[int] = set()
-        least = 0  # shared with the last kept entry, over entries dropped since
         for h, entry in merge_runs(list(pdf["run"])):
-            if h < 8:
-                close()
-                group, shared, cells = [entry], [0], {entry[2]}
-                least = 1 << 30
-                continue
-            least = min(least, h)
-            if entry[2] not in cells:
-                cells.add(entry[2])
-                group.append(entry)
-                shared.append(least)
-                least = 1 << 30
-        close()
-        return pd.DataFrame(out, columns=["anchor", "cell", "from_offset", "to_offset"])
+            if h < 8 and group:
+                out += repeated_windows(group, shared, windows)
+                group, shared = [], []
+            group.append(entry)
+            shared.append(h)
+        if group:
+            out += repeated_windows(group, shared, windows)
+        return pd.DataFrame(out, columns=["c0", "c1", "left", "right"], dtype="int64")
 
     return merge
 
 
-def _runs(n_buckets: int, length: int):
-    """Documents' texts with their cells → front-coded sorted runs, one per bucket and task batch."""
+def _runs(n_buckets: int):
+    """Texts with their cells → front-coded sorted runs, one per bucket and slice of a batch."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in narrow(batches):
             entries: dict[int, list[tuple]] = {}
-            for text, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = text.encode("utf-8")
+            for cells, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for c in cells:
-                    at, first, last = _read_place(c["place"])
-                    key = struct.pack(">q", c["anchor"]) + raw[at : last + length]
-                    entries.setdefault(c["anchor"] % n_buckets, []).append((key, raw[first:at][::-1], c["cell"], at - last if at > last else 0, at - first))
+                    at = c["at"]
+                    key = struct.pack(">q", c["anchor"]) + raw[at : at + c["after"]]
+                    entries.setdefault(c["anchor"] % n_buckets, []).append((key, raw[at - c["before"] : at][::-1], (c["c0"], c["c1"]), c["n"] > 1))
             names, runs = [], []
             for k, found in sorted(entries.items()):
                 found.sort()
@@ -320,184 +375,112 @@ def _runs(n_buckets: int, length: int):
     return make
 
 
-def _window_counts(length: int):
-    """Windows of hot anchors' cells: (anchor, window hash), how many cells of the task hold it."""
+def _cell_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their cells → each cell as a text of its own."""
+    for b in narrow(batches):
+        out = [(c["c0"], c["c1"], c["n"], raw[c["at"] - c["before"] : c["at"] + c["after"]]) for cells, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for c in cells]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["u0", "u1", "copies", "raw"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        for b in batches:
-            counts: dict[tuple[int, int], int] = {}
-            for text, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = text.encode("utf-8")
-                for c in cells:
-                    at, first, last = _read_place(c["place"])
-                    for p in range(first, last + 1):
-                        key = (c["anchor"], _signed(digest(raw[p : p + length], at - p)))
-                        counts[key] = counts.get(key, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int64()), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["anchor", "window", "n"])
 
-    return run
-
-
-def _window_rows(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        for b in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for text, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = text.encode("utf-8")
-                for c in cells:
-                    at, first, last = _read_place(c["place"])
-                    out += [(c["anchor"], _signed(digest(raw[p : p + length], at - p)), c["cell"], at - p) for p in range(first, last + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["anchor", "window", "cell", "offset"])
-
-    return run
-
-
-def _extra(text: str = "text") -> Column:
-    """The 12 bits of a text's length that its cells' places hold."""
-    return F.shiftright(F.octet_length(text).cast("long") * 2654435761, 7).bitwiseAND(F.lit(4095).cast("long"))
-
-
-def _holding(texts: DataFrame, keys: DataFrame, hash_col: str, how: str = "left_semi") -> DataFrame | None:
-    """The texts whose hash is among the keys (a column h), or not: told before the shuffle where the keys are at most MOST_SENT;
+def _holding(texts: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame | None:
+    """The texts whose hash is among the keys (a column u0), or not: told before the shuffle where the keys are at most MOST_SENT;
     None where they are more."""
-    return texts.join(F.broadcast(keys), texts[hash_col] == keys["h"], how) if keys.count() <= MOST_SENT else None
-
-
-def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """texts (text_hash, text; a row per document) → (text_hash, extra, start, stop): byte spans to remove, which may overlap."""
-    cells = materialize(texts.where(F.octet_length("text") >= length).select("text_hash", "text").mapInArrow(_cells(length), "anchor long, cell long, text_hash long, place long"), "cells")
-    shared = materialize(cells.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("anchor"), "shared")
-    repeated = materialize(cells.join(shared, "anchor", "left_semi"), "repeated")
-    distinct = materialize(repeated.groupBy("anchor", "cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_hash", "place")).alias("one")), "distinct")
-    sizes = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") > 1)
-    hot = materialize(sizes.where(F.col("cells") > HOT).select("anchor"), "hot")
-    mixed = distinct.join(materialize(sizes.where(F.col("cells") <= HOT).select("anchor"), "mixed"), "anchor", "left_semi")
-    any_hot = hot.limit(1).count() > 0
-    n_buckets = max(16, -(-distinct.count() // CELLS_PER_BUCKET))
-    once = texts.withColumn("e", _extra())
-
-    def with_text(which: DataFrame) -> DataFrame:
-        """Each text that a cell is taken from, with those cells."""
-        per_text = which.groupBy(F.col("one.text_hash").alias("h"), F.col("one.place").bitwiseAND(F.lit(4095).cast("long")).alias("e0")).agg(F.collect_list(F.struct("anchor", "cell", "one.place")).alias("cells"))
-        per_text = materialize(per_text, "per_text")
-        held = _holding(once, per_text.select("h").distinct(), "text_hash")
-        # a text that many documents hold is read and coded once
-        one_each = (once if held is None else held).dropDuplicates(["text_hash", "e"])
-        return one_each.join(per_text, (F.col("text_hash") == per_text["h"]) & (F.col("e") == F.col("e0"))).select("text", "cells")
-
-    runs = with_text(mixed).mapInArrow(_runs(n_buckets, length), "bucket long, run binary")
-    found = runs.groupBy("bucket").applyInPandas(_merge_bucket(length), "anchor long, cell long, from_offset long, to_offset long")
+    return texts.join(F.broadcast(keys), "u0", how) if keys.count() <= MOST_SENT else None
+
+
+def _with_cells(texts: DataFrame, which: DataFrame) -> DataFrame:
+    """(cells, raw): each text that a cell is taken from, read once however many documents hold it, with those cells."""
+    per_text = which.groupBy("u0", "u1").agg(F.collect_list(F.struct("anchor", "c0", "c1", "at", "before", "after", "n")).alias("cells"))
+    per_text = materialize(per_text, "per_text")
+    held = _holding(texts, per_text.select("u0").distinct())
+    one_each = (texts if held is None else held).select("u0", "u1", "raw").dropDuplicates(["u0", "u1"])
+    return one_each.join(per_text, ["u0", "u1"]).select("cells", "raw")
+
+
+def repeated_spans(texts: DataFrame, windows: Windows, grams: list[int] | None = None) -> DataFrame:
+    """texts (u0, u1: hash; copies; raw) → (u0, u1, start, stop): spans of bytes to remove, which may overlap."""
+    gram, *longer = grams or windows.grams()
+    kinds = ", ".join(f"{c} long" for c in ("anchor", "c0", "c1", "u0", "u1", "at", "before", "after", "copies"))
+    long_enough = texts.where(F.octet_length("raw") >= windows.least_bytes).select("u0", "u1", "copies", "raw")
+    cells = materialize(long_enough.mapInArrow(_cells(windows, gram), kinds), "cells")
+    shared = materialize(cells.groupBy("anchor").agg(F.sum("copies").alias("n")).where(F.col("n") > 1).select("anchor"), "shared")
+    place = ["u0", "u1", "at", "before", "after"]
+    repeated = cells.join(shared, "anchor", "left_semi").groupBy("anchor", "c0", "c1", *place).agg(F.sum("copies").alias("copies"))
+    repeated = materialize(repeated, "repeated")
+    distinct = repeated.groupBy("anchor", "c0", "c1").agg(F.sum("copies").alias("n"), F.min(F.struct(*place)).alias("one"))
+    distinct = materialize(distinct.select("anchor", "c0", "c1", "n", "one.*"), "distinct")
+    crowded = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") > HOT).select("anchor")
+    crowded = materialize(crowded, "crowded")
+    any_crowded = bool(longer) and crowded.limit(1).count() > 0
+    calm = distinct.join(crowded, "anchor", "left_anti") if any_crowded else distinct
+    n_buckets = max(16, -(-calm.count() // CELLS_PER_BUCKET))
+    runs = _with_cells(texts, calm).mapInArrow(_runs(n_buckets), "bucket long, run binary")
+    found = runs.groupBy("bucket").applyInPandas(_merge_bucket(windows), "c0 long, c1 long, left long, right long")
+    if any_crowded:
+        packed = distinct.join(crowded, "anchor", "left_semi")
+        inner = materialize(_with_cells(texts, packed).mapInArrow(_cell_texts, "u0 long, u1 long, copies long, raw binary"), "crowded_cells")
+        spans = repeated_spans(inner, windows, longer).withColumnsRenamed({"u0": "c0", "u1": "c1"})
+        found = found.unionByName(spans.join(packed.select("c0", "c1", "before"), ["c0", "c1"]).select("c0", "c1", (F.col("before") - F.col("start")).alias("left"), (F.col("stop") - F.col("before")).alias("right")))
     found = materialize(found, "found")
-    if any_hot:
-        crowded = materialize(with_text(distinct.join(hot, "anchor", "left_semi")), "crowded")
-        counts = crowded.mapInArrow(_window_counts(length), "anchor long, window long, n long").groupBy("anchor", "window").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("anchor", "window")
-        offsets = crowded.mapInArrow(_window_rows(length), "anchor long, window long, cell long, offset long").join(counts, ["anchor", "window"], "left_semi")
-        found = found.unionByName(materialize(offsets.select("anchor", "cell", F.col("offset").alias("from_offset"), F.col("offset").alias("to_offset")).distinct(), "hot_found"))
-    at = F.shiftrightunsigned("place", 32)
-    before = F.shiftrightunsigned("place", 22).bitwiseAND(F.lit(1023).cast("long"))
-    span = F.shiftrightunsigned("place", 12).bitwiseAND(F.lit(1023).cast("long"))
-    # of a cell that occurs twice or more every window repeats: its offsets are all those from its last window to its first
-    whole = distinct.where(F.col("n") > 1).select("anchor", "cell", F.lit(None).cast("long").alias("from_offset"), F.lit(None).cast("long").alias("to_offset"))
-    known = materialize(whole.unionByName(found.join(whole.select("anchor", "cell"), ["anchor", "cell"], "left_anti")), "known")
-    spans = repeated.join(known, ["anchor", "cell"])
-    first = F.coalesce(at - F.col("to_offset"), at - before)
-    last = F.coalesce(at - F.col("from_offset"), at - before + span)
-    return spans.select("text_hash", F.col("place").bitwiseAND(F.lit(4095).cast("long")).alias("extra"), first.alias("start"), (last + length).alias("stop"))
-
-
-def _union(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
+    return repeated.join(found, ["c0", "c1"]).select("u0", "u1", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("stop"))
+
+
+def _union(spans: list[tuple[int, int]]) -> list[list[int]]:
     """Maximal runs covered by spans; touching runs are one."""
     out: list[list[int]] = []
-    for a, b in sorted(zip(starts, stops, strict=True)):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
-    return [(a, b) for a, b in out]
+    return out
 
 
-def _merge_spans(pairs: list[tuple[int, int]], raw: bytes) -> tuple[bytes, int, int]:
-    runs = _union([p[0] for p in pairs], [p[1] for p in pairs])
-    kept, at = [], 0
+def _without(raw: bytes, runs: list[list[int]]) -> bytes:
+    pieces, at = [], 0
     for a, b in runs:
-        kept.append(raw[at:a])
+        pieces.append(raw[at:a])
         at = b
-    kept.append(raw[at:])
-    return b"".join(kept), sum(b - a for a, b in runs), len(runs)
-
-
-def _word_windows(raw: bytes, pairs: list[tuple[int, int]], words: int) -> list[tuple[int, int, int]]:
-    """(hash, start, stop) of each string of so many whole words within the union of the spans."""
-    found = []
-    for a, b in _union([p[0] for p in pairs], [p[1] for p in pairs]):
-        at = [(m.start() + a, m.end() + a) for m in _WORD.finditer(raw[a:b])]
-        if at and a and at[0][0] == a and raw[a - 1] not in _BLANKS:
-            at = at[1:]  # the end of a word
-        if at and b < len(raw) and at[-1][1] == b and raw[b] not in _BLANKS:
-            at = at[:-1]
-        for (x, _), (_, y) in zip(at, at[words - 1 :], strict=False):
-            found.append((_signed(xxhash.xxh3_64_intdigest(raw[x:y], 11)), x, y))
-    return found
-
-
-def repeated_word_spans(texts: DataFrame, words: int) -> DataFrame:
-    """As ``repeated_spans``, for strings of ``words`` whole words, words being parted by ASCII white space: those that occur at two
-    or more places, byte by byte. Such a string is ``2 * words - 1`` bytes at least, so it lies within repeated strings of that length."""
-    spans = repeated_spans(texts, 2 * words - 1).distinct().groupBy(F.col("text_hash").alias("h"), F.col("extra").alias("e0")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    spans = materialize(spans, "byte_spans")
-    several = texts.select("text_hash", "text").withColumn("e", _extra())
-    held = _holding(several, spans.select("h").distinct(), "text_hash")
-    several = (several if held is None else held).groupBy("text_hash", "e").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    joined = several.join(spans, (F.col("text_hash") == spans["h"]) & (F.col("e") == F.col("e0"))).select("text_hash", "e", "copies", "text", "spans")
+    return b"".join([*pieces, raw[at:]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, (text, pairs) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
-                found = _word_windows(text.encode("utf-8"), [(p["start"], p["stop"]) for p in pairs], words)
-                if found:
-                    base = b.select([0, 1, 2]).take(pa.array([k] * len(found), pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*base.columns, *(pa.array([f[c] for f in found], pa.int64()) for c in range(3))], names=["text_hash", "extra", "copies", "window", "start", "stop"])
-
-    windows = materialize(joined.mapInArrow(run, "text_hash long, extra long, copies long, window long, start long, stop long"), "word_windows")
-    twice = windows.groupBy("window").agg(F.sum("copies").alias("n")).where(F.col("n") > 1).select("window")
-    return windows.join(twice, "window", "left_semi").select("text_hash", "extra", "start", "stop")
 
-
-def deduplicate(docs: DataFrame, text_col: str = "text", result: str = "bytes", length: int = LENGTH, words: int | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, text_col: str = "text", result: str = "bytes", length: int = LENGTH, words: int | None = None, passages: int | None = None) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and what is left: ``kept``, as ``result`` says bytes or text (without
-    the halves of characters that a cut has left), or for ``digest`` the SHA-256 of the bytes in hex as ``kept_sha256``. Existing columns of those names are replaced. Strings of ``length`` bytes count (GRAM to 1,023),
-    or strings of ``words`` words where that is given."""
-    length = length if words is None else 2 * words - 1
-    if not GRAM <= length < 1024:
+    the halves of characters that a cut has left), or for ``digest`` the SHA-256 of the bytes in hex as ``kept_sha256``. Existing
+    columns of those names are replaced. Windows of ``length`` bytes count (64 to 1,023), or of ``words`` words where that is given.
+    With ``passages``, a number of words, ``n_passages`` counts the maximal runs of repeated windows of so many words besides."""
+    if words is None and not 64 <= length < 1024:
         raise ValueError(f"length {length} is out of range")
-    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256" if result == "digest" else "kept"]
+    new = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", **({"kept_sha256": "string"} if result == "digest" else {"kept": "string" if result == "text" else "binary"}), **({"n_passages": "long"} if passages else {})}
     others = [f for f in docs.schema if f.name not in (*new, text_col)]
-    hashed = docs.select(*[F.col(f"`{f.name}`") for f in others], text_or_empty(text_col).alias("__text")).withColumn("__hash", F.xxhash64(F.lit(3), "__text"))
-    texts = hashed.select(F.col("__hash").alias("text_hash"), F.col("__text").alias("text"))
-    spans = repeated_spans(texts, length) if words is None else repeated_word_spans(texts, words)
-    per_text = spans.distinct().groupBy(F.col("text_hash").alias("h"), F.col("extra").alias("e0")).agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
-    per_text = materialize(per_text, "spans")
-    keys = per_text.select("h").distinct()
-    match = (F.col("__hash") == per_text["h"]) & (_extra("__text") == F.col("e0"))
-    held = _holding(hashed, keys, "__hash")
+    raw = text_or_empty(text_col).cast("binary")
+    # the columns come under numbers: their names may be those used here
+    hashed = docs.select(F.xxhash64(F.lit(3), raw).alias("u0"), F.xxhash64(F.lit(5), raw).alias("u1"), *[F.col(f"`{f.name}`").alias(f"k{n}") for n, f in enumerate(others)], raw.alias("raw"))
+    texts = hashed.select("u0", "u1", F.lit(1).cast("long").alias("copies"), "raw")
+    spans = None
+    for kind, w in ((0, Windows(words, True) if words else Windows(length)), (1, Windows(passages, True) if passages else None)):
+        if w:
+            found = repeated_spans(texts, w).select("u0", "u1", F.struct(F.lit(kind).alias("kind"), "start", "stop").alias("span"))
+            spans = found if spans is None else spans.unionByName(found)
+    per_text = materialize(spans.groupBy("u0", "u1").agg(F.collect_set("span").alias("spans")), "spans")
+    keys = per_text.select("u0").distinct()
+    held = _holding(hashed, keys)
+    names = [f"k{n}" for n in range(len(others))]
     if held is None:
-        joined = hashed.join(per_text, match, "left").drop("h", "e0")
+        ready = hashed.join(per_text, ["u0", "u1"], "left").select(*names, "spans", "raw")
     else:  # texts without spans need no shuffle
-        joined = held.join(per_text, match, "left").drop("h", "e0").unionByName(_holding(hashed, keys, "__hash", "left_anti").withColumn("__spans", F.lit(None).cast(per_text.schema["__spans"].dataType)))
+        ready = held.join(per_text, ["u0", "u1"], "left").select(*names, "spans", "raw").unionByName(_holding(hashed, keys, "left_anti").select(*names, F.lit(None).cast(per_text.schema["spans"].dataType).alias("spans"), "raw"))
+    finish = {"bytes": lambda left: left, "text": lambda left: left.decode("utf-8", "ignore"), "digest": lambda left: hashlib.sha256(left).hexdigest()}[result]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        kept("cut", dict)
+        for b in narrow(batches):
             rows = []
-            for text, pairs in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                raw = text.encode("utf-8")
-                kept, removed, runs = _merge_spans([(p["start"], p["stop"]) for p in pairs or ()], raw)
-                rows.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest() if result == "digest" else kept.decode("utf-8", "ignore") if result == "text" else kept))
-            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)] + [pa.array([r[3] for r in rows], pa.binary() if result == "bytes" else pa.string())]
+            for found, raw in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                gone, seen = (_union([(s["start"], s["stop"]) for s in found or () if s["kind"] == kind]) for kind in (0, 1))
+                rows.append((len(raw), sum(y - x for x, y in gone), len(gone), finish(_without(raw, gone)), len(seen)))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary() if result == "bytes" else pa.string(), pa.int64())
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types)][: len(new)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], *columns], names=[*[f.name for f in others], *new])
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
-    ready = joined.select(*[F.col(f"`{f.name}`") for f in others], "__text", "__spans")
-    return ready.mapInArrow(cut, f"{kinds}n_bytes long, n_removed long, n_spans long, {new[3]} {'binary' if result == 'bytes' else 'string'}")
-
+    return ready.mapInArrow(cut, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), *(f"{c} {kind}" for c, kind in new.items())]))

@@ -216,7 +216,7 @@ def brute_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [3, 2048])
+@pytest.mark.parametrize("hot", [1, 3, 2048])
 def test_suffix_dedup(spark, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(7)
@@ -233,7 +233,7 @@ def test_suffix_dedup(spark, hot, monkeypatch):
 
 def test_merge_of_front_coded_runs():
     rng = random.Random(1)
-    entries = [(rng.choice([b"A" * 8, b"B" * 8]) + bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 9))), b"x", k, 0, 1) for k in range(300)]
+    entries = [(rng.choice([b"A" * 8, b"B" * 8]) + bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 9))), b"x", (k, -k), k % 3 == 0) for k in range(300)]
     out = list(suffix_dedup.merge_runs([suffix_dedup.front_code(sorted(entries[i::5])) for i in range(5)]))
     assert sorted(e for _, e in out) == sorted(entries) and [e[0] for _, e in out] == sorted(e[0] for e in entries)
     assert all(h == suffix_dedup.common_prefix(p[0], e[0]) for (h, e), (_, p) in zip(out[1:], out, strict=False))

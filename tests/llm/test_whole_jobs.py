@@ -118,35 +118,92 @@ def test_op9_decontamination_finds_short_items_inside_longer_texts(spark):
     assert {(r.doc_id, r.item_id, r.kind) for r in got} == {(0, 1, "exact"), (2, 2, "exact"), (3, 2, "exact")}
 
 
+def brute_byte_cut(texts):
+    raws = [t.encode() for t in texts]
+    count = Counter(r[p : p + 400] for r in raws for p in range(len(r) - 399))
+    out = []
+    for r in raws:
+        gone = np.zeros(len(r) + 1, np.int64)
+        for p in range(len(r) - 399):
+            if count[r[p : p + 400]] > 1:
+                gone[p] += 1
+                gone[p + 400] -= 1
+        out.append(bytes(np.frombuffer(r, np.uint8)[np.cumsum(gone)[:-1] == 0]))
+    return out
+
+
 @pytest.mark.parametrize("hot", [1, 2048])
 def test_op5_suffix_dedup_codes_each_text_once(spark, hot, monkeypatch):
-    """A text of many copies that shares a passage with a differing one enters the runs, and the counts of crowded anchors, once."""
+    """A text of many copies that shares a passage with a differing one enters the runs once."""
     rng = random.Random(6)
     some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     common = some(600)
     copied, other = some(300) + common + some(200), some(250) + common + some(100)
     texts = [copied] * 40 + [other]
-    seen = spark.sparkContext.accumulator(0)
+    seen, made = spark.sparkContext.accumulator(0), suffix_dedup._runs
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    for name in ("_runs", "_window_counts"):
-        made = getattr(suffix_dedup, name)
 
-        def counted(*args, made=made):
-            run = made(*args)
+    def counted(*args):
+        run = made(*args)
 
-            def rows(batches):
-                def tally():
-                    for b in batches:
-                        seen.add(b.num_rows)
-                        yield b
+        def rows(batches):
+            def tally():
+                for b in batches:
+                    seen.add(b.num_rows)
+                    yield b
 
-                return run(tally())
+            return run(tally())
+
+        return rows
+
+    monkeypatch.setattr(suffix_dedup, "_runs", counted)
+    got = suffix_dedup.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_removed for r in got] == [len(copied)] * 40 + [600]
+    assert hot == 1 or seen.value == 2
 
-            return rows
 
-        monkeypatch.setattr(suffix_dedup, name, counted)
+@pytest.mark.parametrize("hot", [4, 2048])
+def test_op5_suffix_dedup_parts_crowded_anchors_by_longer_grams(spark, hot, monkeypatch):
+    """One line of 390 bytes in 60 different surroundings, some of which repeat on one side or on both."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(16)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, before, after = some(390), [some(40) for _ in range(4)], [some(30) for _ in range(4)]
+    texts = [rng.choice([*before, some(40)]) + line + rng.choice([*after, some(30)]) for _ in range(60)]
     got = suffix_dedup.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [r.n_removed for r in got] == [len(copied)] * 40 + [600] and seen.value == 2
+    assert [bytes(r.kept) for r in got] == brute_byte_cut(texts)
+
+
+def test_op5_suffix_dedup_reads_texts_beyond_a_segment(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1000)
+    rng = random.Random(26)
+    some = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    a, b = some(700), some(450)
+    texts = [some(990) + a + some(1800) + b, some(40) + b + some(2950) + a + some(10), b + b, "z" * 5000]
+    for words in (None, 51):
+        got = suffix_dedup.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=words).orderBy("doc_id").collect()
+        assert [bytes(r.kept) for r in got] == (brute_byte_cut(texts) if words is None else [t.encode() for t in brute_word_cut([t.encode() for t in texts], 51)])
+
+
+@pytest.mark.parametrize("hot", [2, 2048])
+def test_op5_suffix_dedup_word_windows_equal_brute_force(spark, hot, monkeypatch):
+    """Words of several lengths, part words at the edges of a repeat, other white space between the same words; and the count of runs."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(36)
+    vocabulary = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) for _ in range(12)]
+    words = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    passages = [words(70) for _ in range(3)]
+    texts = ["", None, "a " * 200, "  ", words(51)]
+    for _ in range(40):
+        p = rng.choice(passages).split(" ")
+        a = rng.randint(0, 25)
+        p = " ".join(p[a : a + rng.randint(45, 70)])
+        p = p.replace(" ", "\n", 1) if rng.random() < 0.2 else p
+        texts.append(words(rng.randint(0, 30)) + rng.choice([" ", "", "\t", "x"]) + p + rng.choice([" ", "", "  ", "y"]) + words(rng.randint(0, 30)))
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, u0 string")
+    got = suffix_dedup.deduplicate(df, words=51, result="text", passages=51).orderBy("doc_id").collect()
+    assert [r.kept for r in got] == brute_word_cut([(t or "").encode() for t in texts], 51)
+    assert all(r.n_passages == r.n_spans and r.u0 == "clash" for r in got) and sum(r.n_passages for r in got) > 10
 
 
 def test_op10_nearest_neighbours_holds_one_block_of_queries_at_a_time(spark, monkeypatch):
