@@ -10,7 +10,7 @@ zstandard works in whole bytes, too coarse for single words. Each byte of a wind
 written as three fixed bytes; a match then saves three bytes per character, and lengths count phrases.
 
 The fit reads a bounded sample: at most ``SAMPLE`` labelled documents of each class, those with the smallest hash of their id, copies
-taken once. Scoring reads every text whole. Defined results: null, empty and wordless texts score as documents without evidence;
+taken once, and of these so many that their texts fill at most ``SAMPLE_BYTES``. Scoring reads every text whole. Defined results: null, empty and wordless texts score as documents without evidence;
 repeated rows get one score each; with no label of one class every score is that class's share; labels beyond 0 and 1 are left out.
 """
 
@@ -25,16 +25,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import text_or_empty
+from tallywright.llm.common import kept, narrow, text_or_empty
 
 SAMPLE = 3000
 TOXIC_BYTES, ORDINARY_BYTES, LEVEL = 4096, 110_000, 7
 RATE, SHARE = 8.0, 0.008  # a toxic window occurs RATE times as often as in ordinary text, and in SHARE of toxic documents
-MOST_WINDOWS = 400_000  # cached by a task
-MOST_WINDOW = 48  # characters of a window: a longer word is read as several
+SAMPLE_BYTES = 24_000_000  # of each class's texts that go to the driver
+MOST_WINDOWS, LONG_WINDOW = 120_000, 48  # remembered by a worker: so many, none longer
 _WIDE = [bytes([b, (b * 29 + 17) & 255, (b * 58 + 101) & 255]) for b in range(256)]
 
 
@@ -43,13 +43,7 @@ def widened(window: bytes) -> bytes:
 
 
 def windows_of(text: str) -> list[bytes]:
-    out = []
-    for w in text.encode("utf-8", "replace").lower().split():
-        if len(w) <= MOST_WINDOW:
-            out.append(w)
-        else:
-            out += [w[k : k + MOST_WINDOW] for k in range(0, len(w), MOST_WINDOW)]
-    return out
+    return text.encode("utf-8", "replace").lower().split()
 
 
 @dataclass
@@ -83,7 +77,9 @@ class ToxicityModel:
 
         class Known(dict):
             def __missing__(self, window: bytes) -> float:
-                v = self[window] = odds.get(measure(window), unseen)
+                v = odds.get(measure(window), unseen)
+                if len(window) <= LONG_WINDOW:
+                    self[window] = v
                 return v
 
         return Known()
@@ -190,13 +186,14 @@ def fit(toxic_texts: list[str], ordinary_texts: list[str]) -> ToxicityModel:
 
 def score_texts(df: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """``df`` with the score of each whole text; a column of that name is replaced."""
-    kept = [c for c in df.columns if c != out]
+    others = [c for c in df.columns if c != out]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out)
     weights, bias = np.array(model.weights), model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity", dict)
         known = model.evidence()
-        for batch in batches:
+        for batch in narrow(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             scores = []
             for t in texts:
@@ -204,16 +201,22 @@ def score_texts(df: DataFrame, model: ToxicityModel, text_col: str = "text", out
                     known.clear()
                 z = float(summary([known[w] for w in windows_of(t)]) @ weights) + bias
                 scores.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: batch.num_columns - 1], pa.array(scores, pa.float64())], names=[*kept, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: batch.num_columns - 1], pa.array(scores, pa.float64())], names=[*others, out])
 
-    return df.select(*[F.col(f"`{c}`") for c in kept], text_or_empty(text_col).alias("__text")).mapInArrow(run, f"{schema}, `{out}` double")
+    return df.select(*[F.col(f"`{c}`") for c in others], text_or_empty(text_col).alias("__text")).mapInArrow(run, f"{schema}, `{out}` double")
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
-    """Fit on at most ``sample`` labelled rows of each class among those where ``usable`` (an expression over ``id_col``) holds."""
+    """Fit on at most ``sample`` labelled ids of each class, and ``SAMPLE_BYTES`` of their texts, among those where ``usable`` (an
+    expression over ``id_col``) holds. An id with labels of both kinds counts as toxic."""
     marked = labels.where(usable & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__label"))
     order = F.xxhash64(F.lit(7), id_col)
     chosen = [marked.where(F.col("__label") == k).orderBy(order, id_col).limit(sample) for k in (1, 0)]
     picked = chosen[0].unionByName(chosen[1])  # at most 2 x sample ids and labels
-    rows = docs.select(id_col, text_or_empty(text_col).alias("__text")).join(F.broadcast(picked), id_col).orderBy(order, id_col, F.xxhash64("__text")).select("__label", "__text").limit(4 * sample).collect()
+    found = docs.select(id_col, text_or_empty(text_col).alias("__text")).join(F.broadcast(picked), id_col)
+    found = found.select("__label", "__text", order.alias("__order"), F.xxhash64("__text").alias("__hash")).where(F.octet_length("__text") <= SAMPLE_BYTES)
+    found = found.orderBy("__order", "__hash").limit(4 * sample)
+    upto = Window.partitionBy("__label").orderBy("__order", "__hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumn("__bytes", F.sum(F.octet_length("__text")).over(upto)).where(F.col("__bytes") <= SAMPLE_BYTES)
+    rows = found.orderBy("__order", "__hash").select("__label", "__text").collect()
     return fit([r["__text"] for r in rows if r["__label"] == 1], [r["__text"] for r in rows if r["__label"] == 0])
