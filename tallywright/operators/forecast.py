@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.operators.metrics import regression_metrics
+from tallywright.operators.metrics import regression_sums
 from tallywright.operators.selection import judge_candidates, select_candidate
 
 
@@ -26,6 +26,11 @@ class ForecastMethod:
     quick: bool
     reference: bool
     fit_predict: Callable[[np.ndarray, np.ndarray, int], np.ndarray] | None = None  # (values, month numbers 0-11, steps)
+    many: Callable[[list[np.ndarray], int], list[np.ndarray]] | None = None  # (values of several histories, steps)
+
+    @property
+    def by_sums(self) -> bool:
+        return self.fit_predict is None and self.many is None
 
 
 def ridge_trend_month(values: np.ndarray, months: np.ndarray, steps: int) -> np.ndarray:
@@ -41,79 +46,98 @@ def ridge_trend_month(values: np.ndarray, months: np.ndarray, steps: int) -> np.
     return level + (x[n:] - centre) @ w
 
 
-def _smooth(values: np.ndarray, steps: int, season: int, p: np.ndarray) -> tuple[float, np.ndarray]:
-    """(sum of squared one-step errors, forecasts) of damped additive smoothing with parameters alpha, beta, phi[, gamma], initial
-    level, trend[, seasonal states]."""
-    alpha, beta, phi = p[0], p[1], p[2]
-    gamma = p[3] if season else 0.0
+def _paths(values: np.ndarray, lengths: np.ndarray, steps: int, season: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Damped additive smoothing of many series at once: values[time, path], of which the first ``lengths`` count. ``p`` has a row of
+    parameters for each path: alpha, beta, phi[, gamma], initial level, trend[, seasonal states]. Returns (sums of squared one-step errors,
+    forecasts[path, step])."""
+    alpha, beta, phi = p[:, 0], p[:, 1], p[:, 2]
     k = 4 if season else 3
-    level, trend = p[k], p[k + 1]
-    seas = list(p[k + 2 : k + 2 + season]) if season else []
-    sse = 0.0
-    for i, y in enumerate(values):
-        s = seas[i % season] if season else 0.0
-        guess = level + phi * trend
-        e = y - guess - s
-        sse += e * e
-        new = guess + alpha * e
-        trend = phi * trend + alpha * beta * e
-        level = new
-        if season:
-            seas[i % season] = s + gamma * (1 - alpha) * e
-    n, damp, out = len(values), 0.0, []
-    for h in range(1, steps + 1):
-        damp += phi**h
-        out.append(level + damp * trend + (seas[(n + h - 1) % season] if season else 0.0))
-    return sse, np.array(out)
-
-
-def _search(values: np.ndarray, steps: int, season: int) -> np.ndarray:
-    """Least squared one-step error by coordinate search within bounds (phi in 0.80 to 0.98) from a few starts."""
-    scale = float(values.std()) or 1.0
-    y = (values - values.mean()) / scale
-    slope = float(np.polyfit(np.arange(len(y)), y, 1)[0])
+    gamma = p[:, 3] * (1 - alpha) if season else None
+    level, trend, seas = p[:, k], p[:, k + 1], p[:, k + 2 :].copy()
+    gain, sse = alpha * beta, np.zeros(len(p))
+    paths = np.arange(len(p))
+    out = np.zeros((len(p), steps))
+    damp = np.cumsum(phi[:, None] ** np.arange(1, steps + 1), axis=1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        for t in range(len(values)):
+            slope = phi * trend
+            guess = level + slope
+            e = values[t] - guess
+            if season:
+                e = e - seas[:, t % season]
+            live = t < lengths
+            if not live.all():
+                e = np.where(live, e, 0.0)
+                level, trend = np.where(live, guess + alpha * e, level), np.where(live, slope + gain * e, trend)
+            else:
+                level, trend = guess + alpha * e, slope + gain * e
+            sse += e * e
+            if season:
+                seas[:, t % season] += gamma * e
+        out = level[:, None] + damp * trend[:, None]
+        if season and steps:
+            out += seas[paths[:, None], (lengths[:, None] + np.arange(steps)) % season]
+    return sse, out
+
+
+def _fit_smoothing(histories: list[np.ndarray], steps: int, season: int, most: int = 250) -> list[np.ndarray]:
+    """For each history the forecasts under the parameters of least squared one-step error, found by pattern search within bounds (phi
+    in 0.80 to 0.98) from three starts; all histories, starts and moves are evaluated together."""
     free = 4 if season else 3
     low = np.array([0.01, 0.0, 0.80] + [0.0] * (free == 4))
     high = np.array([0.99, 0.99, 0.98] + [0.99] * (free == 4))
-    if season:
-        base = [float(np.mean(y[m::season]) - y.mean()) for m in range(season)]
-        states = np.array([float(np.mean(y[:season])) - slope * season / 2, slope, *base])
-    else:
-        states = np.array([float(y[0]) - slope, slope])
-    best, best_p = np.inf, None
-    for start in ([0.3, 0.1, 0.9, 0.1], [0.7, 0.05, 0.97, 0.2], [0.1, 0.3, 0.85, 0.05]):
-        p = np.concatenate([start[:free], states])
-        step = np.concatenate([(high - low) / 4, np.full(len(states), 0.3)])
-        value = _smooth(y, 0, season, p)[0]
-        for _ in range(24):
-            moved = False
-            for j in range(len(p)):
-                for sign in (1, -1):
-                    q = p.copy()
-                    q[j] += sign * step[j]
-                    if j < free:
-                        q[j] = min(high[j], max(low[j], q[j]))
-                    v = _smooth(y, 0, season, q)[0]
-                    if v < value - 1e-12:
-                        p, value, moved = q, v, True
-                        break
-            if not moved:
-                step /= 2
-                if step.max() < 1e-4:
-                    break
-        if value < best:
-            best, best_p = value, p
-    if best_p is None or not np.isfinite(best):
-        raise ArithmeticError("NOT_CONVERGED")
-    return _smooth(y, steps, season, best_p)[1] * scale + values.mean()
-
-
-def holt_damped(values: np.ndarray, months: np.ndarray, steps: int) -> np.ndarray:
-    return _search(values, steps, 0)
-
-
-def holt_winters_add_damped(values: np.ndarray, months: np.ndarray, steps: int) -> np.ndarray:
-    return _search(values, steps, 12)
+    scaled, starts = [], []
+    for values in histories:
+        y = (values - values.mean()) / (float(values.std()) or 1.0)
+        slope = float(np.polyfit(np.arange(len(y)), y, 1)[0])
+        states = [float(np.mean(y[:season])) - slope * season / 2, slope, *[float(np.mean(y[m::season])) for m in range(season)]] if season else [float(y[0]) - slope, slope]
+        scaled.append(y)
+        starts.append([[*first[:free], *states] for first in ([0.3, 0.1, 0.9, 0.1], [0.7, 0.05, 0.97, 0.2], [0.1, 0.3, 0.85, 0.05])])
+    p = np.array(starts).reshape(-1, len(starts[0][0]))
+    of, n = np.repeat(np.arange(len(histories)), 3), p.shape[1]
+    lengths = np.array([len(y) for y in scaled])
+    grid = np.zeros((lengths.max(), len(histories)))
+    for k, y in enumerate(scaled):
+        grid[: len(y), k] = y
+    step = np.tile(np.concatenate([(high - low) / 4, np.full(n - free, 0.3)]), (len(p), 1))
+    value = _paths(grid[:, of], lengths[of], 0, season, p)[0]
+    for _ in range(most):
+        open_ = np.flatnonzero(step.max(1) >= 1e-4)
+        if not len(open_):
+            break
+        moves = p[open_, None, :] + np.concatenate([np.eye(n), -np.eye(n)])[None] * step[open_, None, :]
+        moves[..., :free] = np.clip(moves[..., :free], low, high)
+        own = of[open_]
+        tried = _paths(grid[:, np.repeat(own, 2 * n)], np.repeat(lengths[own], 2 * n), 0, season, moves.reshape(-1, n))[0].reshape(len(open_), 2 * n)
+        tried = np.where(np.isfinite(tried), tried, np.inf)
+        better = tried < value[open_, None] - 1e-12
+        up = better[:, :n] & (tried[:, :n] <= tried[:, n:])
+        down = better[:, n:] & ~up
+        together = p[open_] + (up.astype(float) - down) * step[open_]  # all moves that help, at once
+        together[:, :free] = np.clip(together[:, :free], low, high)
+        joint = _paths(grid[:, own], lengths[own], 0, season, together)[0]
+        joint = np.where(np.isfinite(joint), joint, np.inf)
+        best = tried.argmin(1)
+        alone = tried[np.arange(len(open_)), best]
+        for r, k in enumerate(open_):
+            if min(joint[r], alone[r]) < value[k] - 1e-12:
+                p[k], value[k] = (together[r], joint[r]) if joint[r] <= alone[r] else (moves[r, best[r]], alone[r])
+            else:
+                step[k] /= 2
+    out = []
+    for h, values in enumerate(histories):
+        rows = np.flatnonzero(of == h)
+        k = rows[np.argmin(np.where(np.isfinite(value[rows]), value[rows], np.inf))]
+        guess = _paths(grid[:, [h]], lengths[[h]], steps, season, p[[k]])[1][0]
+        out.append(guess * (float(values.std()) or 1.0) + values.mean() if np.isfinite(value[k]) else np.full(steps, np.nan))
+    return out
+
+
+def _smoothing(season: int):
+    def many(histories: list[np.ndarray], steps: int) -> list[np.ndarray]:
+        return _fit_smoothing(histories, steps, season)
+
+    return many
 
 
 METHODS = (
@@ -122,10 +146,10 @@ METHODS = (
     ForecastMethod("seasonal_naive", 2, 24, True, True),
     ForecastMethod("linear_trend", 3, 12, True, False),
     ForecastMethod("ridge_trend_month", 4, 24, True, False, ridge_trend_month),
-    ForecastMethod("holt_damped", 5, 12, False, False, holt_damped),
-    ForecastMethod("holt_winters_add_damped", 6, 36, False, False, holt_winters_add_damped),
+    ForecastMethod("holt_damped", 5, 12, False, False, many=_smoothing(0)),
+    ForecastMethod("holt_winters_add_damped", 6, 36, False, False, many=_smoothing(12)),
 )
-SQL_METHODS = tuple(m.id for m in METHODS if m.fit_predict is None)
+SQL_METHODS = tuple(m.id for m in METHODS if m.by_sums)
 
 
 def backtest_plan(lengths: DataFrame, keys: list[str], horizon: int, depth: str = "recommended") -> DataFrame:
@@ -187,16 +211,20 @@ def grouped_forecasts(series: DataFrame, origins: DataFrame, keys: list[str], ho
         if not len(rows):
             return pd.DataFrame(out, columns=[*keys, "role", "unit_id", "origin", "horizon", "t", "candidate_id", "predicted", "needs"])
         key = [rows[k].iloc[0] for k in keys]
-        for r in wanted.itertuples(index=False):
-            for m in methods:
-                guess = np.full(horizon, np.nan)
-                if r.origin >= m.needs:
-                    try:
-                        guess = np.asarray(m.fit_predict(values[: r.origin], months[: r.origin], horizon), float)
-                    except (ArithmeticError, ValueError, np.linalg.LinAlgError):
-                        pass
-                ok = guess.shape == (horizon,) and np.isfinite(guess).all()
-                out += [(*key, r.role, r.unit_id, r.origin, h + 1, r.origin + h, m.id, float(guess[h]) if ok else None, m.needs) for h in range(horizon)]
+        asked = list(wanted.itertuples(index=False))
+        for m in methods:
+            guesses = {k: np.full(horizon, np.nan) for k in range(len(asked))}
+            able = [k for k, r in enumerate(asked) if m.needs <= r.origin <= len(values)]
+            try:
+                if m.many is not None:
+                    guesses |= dict(zip(able, m.many([values[: asked[k].origin] for k in able], horizon), strict=True)) if able else {}
+                else:
+                    guesses |= {k: np.asarray(m.fit_predict(values[: asked[k].origin], months[: asked[k].origin], horizon), float) for k in able}
+            except (ArithmeticError, ValueError, np.linalg.LinAlgError):
+                pass
+            for k, r in enumerate(asked):
+                ok = guesses[k].shape == (horizon,) and np.isfinite(guesses[k]).all()
+                out += [(*key, r.role, r.unit_id, r.origin, h + 1, r.origin + h, m.id, float(guesses[k][h]) if ok else None, m.needs) for h in range(horizon)]
         return pd.DataFrame(out, columns=[*keys, "role", "unit_id", "origin", "horizon", "t", "candidate_id", "predicted", "needs"])
 
     # the origins stem from the series themselves, so their keys get names of their own
@@ -211,8 +239,8 @@ def backtest(series: DataFrame, keys: list[str], horizon: int, depth: str = "rec
     lengths = series.groupBy(*keys).agg((F.max("t") + 1).alias("n"))
     plan = backtest_plan(lengths, keys, horizon, depth)
     origins = plan_origins(plan, keys, horizon)
-    pred = sql_forecasts(series, origins, keys, horizon, tuple(m.id for m in chosen if m.fit_predict is None))
-    grouped = tuple(m for m in chosen if m.fit_predict is not None)
+    pred = sql_forecasts(series, origins, keys, horizon, tuple(m.id for m in chosen if m.by_sums))
+    grouped = tuple(m for m in chosen if not m.by_sums)
     if grouped:
         more = grouped_forecasts(series, origins, keys, horizon, grouped)
         pred = pred.unionByName(more) if pred is not None else more
@@ -223,9 +251,9 @@ def backtest(series: DataFrame, keys: list[str], horizon: int, depth: str = "rec
 
 
 def backtest_metrics(pred: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(joint: keys, candidate_id, mae, rmse, n; units: keys, candidate_id, unit_id, mae, rmse) over the selection backtest."""
+    """(joint: keys, candidate_id, mae, rmse, n and sums; units: the same by unit_id) over the selection backtest."""
     scored = pred.where(F.col("role") == "selection_backtest")
-    return regression_metrics(scored, [*keys, "candidate_id"]), regression_metrics(scored, [*keys, "candidate_id", "unit_id"])
+    return regression_sums(scored, [*keys, "candidate_id"]), regression_sums(scored, [*keys, "candidate_id", "unit_id"])
 
 
 def select_forecast(plan: DataFrame, pred: DataFrame, series: DataFrame, keys: list[str], metric: str = "mae") -> DataFrame:
@@ -238,7 +266,8 @@ def select_forecast(plan: DataFrame, pred: DataFrame, series: DataFrame, keys: l
     refs = joint.where(F.col("candidate_id").isin(*[m.id for m in METHODS if m.reference]) & (F.col("status") == "completed"))
     first = Window.partitionBy(*keys).orderBy("primary_value", "complexity", "candidate_id")
     baseline = refs.withColumn("r", F.row_number().over(first)).where(F.col("r") == 1).select(*keys, "candidate_id")
-    scale = series.groupBy(*keys).agg(F.max(F.abs("value")).alias("scale"))
+    # development months alone: the reserved test must not reach the choice
+    scale = series.join(plan.select(*keys, "d"), keys).where(F.col("t") < F.col("d")).groupBy(*keys).agg(F.max(F.abs("value")).alias("scale"))
     context = plan.select(*keys, (F.col("k") < 3).alias("few")).join(scale, keys)
     judged = judge_candidates(joint.join(context, keys), units.select(*keys, "candidate_id", "unit_id", F.col(metric).alias("value")), baseline, metric, "min", F.col("scale"), F.col("few"), keys)
     return select_candidate(judged, "min", keys)

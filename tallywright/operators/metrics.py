@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywright.operators.quantiles import exact_quantiles, finite
+
 MINIMISED = ("mae", "rmse", "median_ae", "p90_ae", "wape")
 
 
+def regression_sums(pred: DataFrame, keys: list[str] | None = None, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+    """keys, n, mae, rmse and the sums the other metrics need, over rows that have an actual and a finite prediction."""
+    a, e = F.col(actual), finite(F.col(predicted)) - finite(F.col(actual))
+    a = F.when(e.isNotNull(), a)
+    sums = [F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sum(e * e).alias("sse"), (F.var_pop(a) * F.count(a)).alias("sst"), F.min(a).alias("lo"), F.max(a).alias("hi"), F.sum(F.abs(e)).alias("abs_e"), F.sum(F.abs(a)).alias("abs_a")]
+    return pred.groupBy(*(keys or [])).agg(*sums)
+
+
 def regression_metrics(pred: DataFrame, keys: list[str] | None = None, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
-    """keys, n, mae, rmse, median_ae, p90_ae, r2, r2_reason, wape."""
-    a, e = F.col(actual), F.col(predicted) - F.col(actual)
-    sums = [F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.percentile(F.abs(e), F.lit(0.5)).alias("median_ae"), F.percentile(F.abs(e), F.lit(0.9)).alias("p90_ae"), F.sum(e * e).alias("sse"), (F.var_pop(a) * F.count(a)).alias("sst"), F.min(a).alias("lo"), F.max(a).alias("hi"), F.sum(F.abs(e)).alias("abs_e"), F.sum(F.abs(a)).alias("abs_a")]
-    out = pred.groupBy(*(keys or [])).agg(*sums)
+    """keys, n, mae, rmse, median_ae, p90_ae, r2, r2_reason, wape; a row without a finite prediction counts for none of them."""
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    errors = pred.select(key.alias("key"), F.abs(finite(F.col(predicted)) - finite(F.col(actual))).alias("v"))
+    quantiles = exact_quantiles(errors, [0.5, 0.9]).select(F.col("key").alias("__key"), F.col("q")[0].alias("median_ae"), F.col("q")[1].alias("p90_ae"))
+    out = regression_sums(pred, keys, actual, predicted)
+    out = out.join(quantiles, (F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)).eqNullSafe(F.col("__key")), "left")
     reason = F.when(F.col("n") < 2, "INSUFFICIENT_SUPPORT").when(F.col("lo") == F.col("hi"), "CONSTANT_TARGET")
     return out.select(*(keys or []), "n", "mae", "rmse", "median_ae", "p90_ae", F.when(reason.isNull(), 1 - F.col("sse") / F.nullif(F.col("sst"), F.lit(0.0))).alias("r2"), reason.alias("r2_reason"), (F.col("abs_e") / F.nullif(F.col("abs_a"), F.lit(0.0))).alias("wape"))
 
@@ -98,3 +110,27 @@ def metric_trajectory(pred: DataFrame, keys: list[str], metric: str = "mae", mos
         "r2": lambda: 1 - run["se"] / F.nullif(run["yy"] - run["y"] * run["y"] / run["n"], F.lit(0.0)),
     }[metric]()
     return per_unit.select(*keys, "unit_order", run["n"].alias("n"), value.alias("value"))
+
+
+def class_trajectory(pred: DataFrame, keys: list[str], labels: DataFrame, metric: str = "macro_f1", most_units: int = 50) -> DataFrame:
+    """As ``metric_trajectory`` for accuracy, balanced accuracy and macro-F1 over ``labels`` (one column, label): running sums of each
+    class's cases, predictions and hits. A value is null while a class's is undefined."""
+    part = pred.where(F.col("unit_order") <= most_units)
+    hit = (F.col("actual") == F.col("predicted")).cast("long")
+    sides = F.explode(F.array(F.struct(F.col("actual").alias("label"), F.lit(1).alias("case"), F.lit(0).alias("guess"), hit.alias("hit")), F.struct(F.col("predicted").alias("label"), F.lit(0).alias("case"), F.lit(1).alias("guess"), F.lit(0).cast("long").alias("hit"))))
+    per = part.select(*keys, "unit_order", sides.alias("s")).groupBy(*keys, "unit_order", "s.label").agg(*[F.sum(f"s.{c}").alias(c) for c in ("case", "guess", "hit")])
+    grid = part.select(*keys, "unit_order").distinct().join(labels.select("label"), F.lit(True))  # units x classes
+    w = Window.partitionBy(*keys, "label").orderBy("unit_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = grid.join(per, [*keys, "unit_order", "label"], "left").select(*keys, "unit_order", "label", *[F.sum(F.coalesce(c, F.lit(0))).over(w).alias(c) for c in ("case", "guess", "hit")])
+    recall = F.try_divide(F.col("hit").cast("double"), F.col("case"))
+    f1 = F.try_divide(2.0 * F.col("hit"), F.col("case") + F.col("guess"))
+    n = F.sum("case")
+    value = {"accuracy": F.try_divide(F.sum("hit").cast("double"), n), "balanced_accuracy": F.when(F.bool_and(recall.isNotNull()), F.avg(recall)), "macro_f1": F.when(F.bool_and(f1.isNotNull()), F.avg(f1))}[metric]
+    return sums.groupBy(*keys, "unit_order").agg(n.alias("n"), value.alias("value"))
+
+
+def beside_baseline(trajectory: DataFrame, candidate_key: str, baseline: str, keys: list[str] | None = None) -> DataFrame:
+    """A trajectory with ``baseline_value``: the reference's value up to the same unit; units it lacks are left out."""
+    keys = keys or []
+    base = trajectory.where(F.col(candidate_key) == baseline).select(*keys, "unit_order", F.col("value").alias("baseline_value"))
+    return trajectory.where(F.col(candidate_key) != baseline).join(base, [*keys, "unit_order"])

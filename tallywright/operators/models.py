@@ -5,13 +5,18 @@ Everything learned (medians, modes, category lists, scales, constants) is learne
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -19,7 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions.hashing import seed_of
-from tallywright.operators.metrics import class_metrics, classification_metrics, confusion_matrix, regression_metrics
+from tallywright.operators.metrics import MINIMISED, class_metrics, classification_metrics, confusion_matrix, regression_metrics
+from tallywright.operators.quantiles import exact_quantiles
+from tallywright.staging import materialize
 
 MOST_CATEGORIES, MOST_FEATURES, RARE = 1000, 5000, "__rare__"
 
@@ -50,9 +57,17 @@ MODELS = (
 class Mapped(Transformer, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
     """Categories as learned: nulls become the most frequent one, those that are rare or unknown the rare bucket, if there is one."""
 
+    learned = Param(Params._dummy(), "learned", "by column: most frequent value, known values, whether any was rarer (as JSON)", TypeConverters.toString)
+
     def __init__(self, tables: dict[str, tuple[str | None, list[str], bool]] | None = None):
         super().__init__()
-        self.tables = tables or {}
+        self._setDefault(learned="{}")
+        if tables:
+            self._set(learned=json.dumps(tables))  # a parameter, so that saved pipelines keep it
+
+    @property
+    def tables(self) -> dict[str, tuple[str | None, list[str], bool]]:
+        return json.loads(self.getOrDefault(self.learned))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         out = {}
@@ -122,23 +137,36 @@ def predicted(model: PipelineModel, df: DataFrame, labels: list[str] | None = No
     return out.withColumn("predicted", F.col("prediction") if labels is None else F.element_at(F.array(*map(F.lit, labels)), (F.col("prediction") + 1).cast("int")))
 
 
-def evaluate(df: DataFrame, folds: DataFrame, block: str, row_id: str, target: str, problem: str, specs: list[ModelSpec], numeric: list[str], categorical: list[str], k: int, root_seed: int = 42) -> tuple[DataFrame, dict[tuple[str, str], PipelineModel]]:
-    """(predictions: candidate_id, unit_id, row_id, actual, predicted; fitted models). A candidate that fails in a unit has no
-    predictions there, so it is never complete."""
+def evaluate(df: DataFrame, folds: DataFrame, block: str, row_id: str, target: str, problem: str, specs: list[ModelSpec], numeric: list[str], categorical: list[str], k: int, root_seed: int = 42, most_seconds: float | None = None) -> tuple[DataFrame, dict[tuple[str, str], PipelineModel], DataFrame]:
+    """(predictions: candidate_id, unit_id, row_id, actual, predicted; fitted models; outcomes: candidate_id, unit_id, status, reason,
+    seconds). A candidate that fails or takes over ``most_seconds`` in a unit has no predictions there, so it is never complete; the
+    others go on. Without any fitted model the predictions are empty."""
     labels = class_labels(df, target) if problem == "classification" else None
-    rows = with_inputs(df, numeric, problem, target, labels).join(folds.select(F.col("block").alias(block), "fold"), block).persist()
-    out, fitted = None, {}
+    rows = materialize(with_inputs(df, numeric, problem, target, labels).join(folds.select(F.col("block").alias(block), "fold"), block), "rows")
+    kind = "double" if problem == "regression" else "string"
+    out, fitted, outcomes = None, {}, []
     for spec in specs:
         for u in range(1, k + 1):
             unit = f"fold-{u}"
+            began = time.monotonic()
             try:
                 model = fit_model(spec, rows.where(F.col("fold") != u), numeric, categorical, seed_of(root_seed, spec.id, unit), labels)
-            except ValueError:
+            except (ValueError, PySparkException, Py4JJavaError) as e:
+                outcomes.append((spec.id, unit, "failed", str(e).strip().split("\n")[0][:200], time.monotonic() - began))
+                continue
+            took = time.monotonic() - began
+            if most_seconds is not None and took > most_seconds:
+                outcomes.append((spec.id, unit, "timed_out", f"over {most_seconds:g} s", took))
                 continue
+            outcomes.append((spec.id, unit, "completed", None, took))
             fitted[spec.id, unit] = model
-            p = predicted(model, rows.where(F.col("fold") == u), labels).select(F.lit(spec.id).alias("candidate_id"), F.lit(unit).alias("unit_id"), F.col(row_id).alias("row_id"), F.col(f"`{target}`").cast("double" if problem == "regression" else "string").alias("actual"), "predicted")
+            p = predicted(model, rows.where(F.col("fold") == u), labels).select(F.lit(spec.id).alias("candidate_id"), F.lit(unit).alias("unit_id"), F.col(row_id).alias("row_id"), F.col(f"`{target}`").cast(kind).alias("actual"), "predicted")
             out = p if out is None else out.unionByName(p)
-    return out, fitted
+    told = df.sparkSession.createDataFrame(outcomes, "candidate_id string, unit_id string, status string, reason string, seconds double")
+    if out is None:
+        none = F.lit(None).cast(kind)
+        out = rows.where(F.lit(False)).select(F.lit("").alias("candidate_id"), F.lit("").alias("unit_id"), F.col(row_id).alias("row_id"), none.alias("actual"), none.alias("predicted"))
+    return out, fitted, told
 
 
 def score(pred: DataFrame, problem: str, keys: list[str], labels: DataFrame | None = None) -> DataFrame:
@@ -147,23 +175,36 @@ def score(pred: DataFrame, problem: str, keys: list[str], labels: DataFrame | No
     return classification_metrics(class_metrics(confusion_matrix(pred, labels, keys), keys), keys)
 
 
-def permutation_importance(models: dict[str, PipelineModel], rows: DataFrame, features: list[str], numeric: list[str], problem: str, target: str, repeats: int = 3, most_folds: int = 3, seed: int = 42, labels: list[str] | None = None) -> DataFrame:
-    """feature, importance, std, n: mean rise of the absolute error (or fall of accuracy) when a feature's values trade places among the
-    validation rows of a unit. ``rows`` carry ``unit_id`` and inputs. Values are re-paired by two hash orders within the unit."""
+def permutation_importance(models: dict[str, PipelineModel], rows: DataFrame, features: list[str], numeric: list[str], problem: str, target: str, metric: str | None = None, repeats: int = 3, most_folds: int = 3, seed: int = 42, labels: list[str] | None = None, least_rows: int = 10) -> DataFrame:
+    """feature, importance, std, n: mean loss of the primary metric (mae, rmse or r2; accuracy, balanced_accuracy or macro_f1) when a
+    feature's values trade places among the validation rows of a unit. ``rows`` carry ``unit_id``, ``row_id`` and inputs; units of under
+    ``least_rows`` rows are left out.
+
+    Rows are re-paired by hash: each gets the value of the row that follows it in a seeded order, within buckets of about 4,000 rows.
+    A unit's features and repeats are scored in one pass over its rows, each copied once for every feature and repeat."""
+    metric = metric or ("mae" if problem == "regression" else "accuracy")
     out = None
     for unit in sorted(models)[:most_folds]:
-        part = rows.where(F.col("unit_id") == unit).persist()
-        base = with_inputs(part, numeric, problem, target, labels)
-        error = F.abs(F.col("predicted") - F.col("__y")) if labels is None else (F.col("predicted") != F.col(target).cast("string")).cast("double")
-        plain = predicted(models[unit], base, labels).agg(F.avg(error).alias("e0"))
-        for feature in features:
-            for r in range(repeats):
-                # a rotation along a seeded order gives every row another row's value; buckets keep the order in many tasks
-                w = Window.partitionBy(F.pmod(F.xxhash64(F.lit(seed + r), "row_id"), F.lit(64))).orderBy(F.xxhash64(F.lit(seed * 31 + r), "row_id"), "row_id")
-                mixed = part.withColumn(feature, F.coalesce(F.lag(F.struct(F.col(f"`{feature}`").alias("v"))).over(w), F.struct(F.col(f"`{feature}`").alias("v")))["v"])
-                e = predicted(models[unit], with_inputs(mixed, numeric, problem, target, labels), labels).agg(F.avg(error).alias("e1")).join(plain, F.lit(True))
-                row = e.select(F.lit(feature).alias("feature"), (F.col("e1") - F.col("e0")).alias("drop"))
-                out = row if out is None else out.unionByName(row)
+        part = rows.where(F.col("unit_id") == unit)
+        n = part.count()
+        if n < least_rows:
+            continue
+        buckets = -(-n // 4000)
+        jobs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in features for r in range(repeats)], F.struct(F.lit("").alias("feature"), F.lit(0).alias("repeat"))))
+        copied = part.withColumn("__job", jobs)
+        order = F.xxhash64(F.lit(seed), "__job.repeat", F.col("row_id"))
+        w = Window.partitionBy("__job.feature", "__job.repeat", F.pmod(F.xxhash64(F.lit(seed + 1), "__job.repeat", F.col("row_id")), F.lit(buckets))).orderBy(order, "row_id")
+        mixed = copied.withColumns({f: F.when(F.col("__job.feature") == f, F.coalesce(F.lead(F.struct(F.col(f"`{f}`").alias("v"))).over(w), F.first(F.struct(F.col(f"`{f}`").alias("v"))).over(w))["v"]).otherwise(F.col(f"`{f}`")) for f in features})
+        kind = "double" if problem == "regression" else "string"
+        scored = predicted(models[unit], with_inputs(mixed, numeric, problem, target, labels), labels).select(F.col("__job.feature").alias("feature"), F.col("__job.repeat").alias("repeat"), F.col(f"`{target}`").cast(kind).alias("actual"), "predicted")
+        known = None if labels is None else rows.sparkSession.createDataFrame([(x,) for x in labels], "label string")
+        values = score(scored, problem, ["feature", "repeat"], known).select("feature", "repeat", F.col(metric).alias("value"))
+        plain = values.where(F.col("feature") == "").select(F.col("value").alias("plain"))
+        worse = F.col("value") - F.col("plain") if metric in MINIMISED else F.col("plain") - F.col("value")
+        row = values.where(F.col("feature") != "").join(plain, F.lit(True)).select("feature", worse.alias("drop"))  # one row
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        return rows.sparkSession.createDataFrame([], "feature string, importance double, std double, n long")
     return out.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_samp("drop").alias("std"), F.count(F.lit(1)).alias("n"))
 
 
@@ -174,11 +215,22 @@ def final_test(development: DataFrame, reserved: DataFrame, spec: ModelSpec, tar
     model = fit_model(spec, train, numeric, categorical, seed_of(seed, spec.id, "final"), labels)
     kind = "double" if problem == "regression" else "string"
     mine = predicted(model, test, labels).select(F.lit(spec.id).alias("candidate_id"), F.col(f"`{target}`").cast(kind).alias("actual"), "predicted")
-    level = development.agg(F.percentile(F.col(f"`{target}`").cast("double"), F.lit(0.5)).alias("predicted")) if problem == "regression" else development.groupBy(F.col(f"`{target}`").cast("string").alias("predicted")).count().orderBy(F.desc("count"), "predicted").limit(1).select("predicted")
+    level = exact_quantiles(development.select(F.lit(0).alias("key"), F.col(f"`{target}`").cast("double").alias("v")), [0.5]).select(F.col("q")[0].alias("predicted")) if problem == "regression" else development.groupBy(F.col(f"`{target}`").cast("string").alias("predicted")).count().orderBy(F.desc("count"), "predicted").limit(1).select("predicted")
     reference = test.select(F.lit("reference").alias("candidate_id"), F.col(f"`{target}`").cast(kind).alias("actual")).join(level, F.lit(True))  # one row
     return mine.unionByName(reference)
 
 
+def improvement_repeated(pred: DataFrame, candidate_id: str, problem: str, metric: str, selection_gain: float, labels: DataFrame | None = None) -> DataFrame:
+    """metric, value, reference_value, gain, selection_improvement_repeated: whether the selected model is better than the reference on
+    reserved rows too, given that it was in selection (null where either is undefined)."""
+    table = score(pred, problem, ["candidate_id"], labels).select("candidate_id", F.col(metric).alias("value"))
+    mine = table.where(F.col("candidate_id") == candidate_id).select("value")
+    reference = table.where(F.col("candidate_id") == "reference").select(F.col("value").alias("reference_value"))
+    gain = F.col("reference_value") - F.col("value") if metric in MINIMISED else F.col("value") - F.col("reference_value")
+    both = mine.join(reference, F.lit(True))  # one row each
+    return both.select(F.lit(metric).alias("metric"), "value", "reference_value", gain.alias("gain"), (F.lit(selection_gain > 0) & (gain > 0)).alias("selection_improvement_repeated"))
+
+
 def scenario_grid(requests: DataFrame, controls: DataFrame, driver: str, points: int = 25) -> DataFrame:
     """scenario_id, point, x: evenly spaced values of a numeric driver between its limits, for each scenario."""
     limits = controls.where(F.col("column_id") == driver).select("low", "high")

@@ -11,8 +11,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywright.functions.hashing import row_mark
 from tallywright.functions.numbers import CURRENCIES, has_currency
 from tallywright.functions.text import looks_like_id, safe_example, trim_text
+from tallywright.operators.quantiles import exact_quantiles, stacked
+from tallywright.operators.tables import even_sample
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 CHUNK = 8  # columns per wide aggregate with exact distinct counts
@@ -34,8 +37,8 @@ def _cell(df: DataFrame, c: str) -> Column:
 
 
 def table_profile(df: DataFrame) -> DataFrame:
-    """row_count, column_count, duplicate_rows (rows after the first of each group of equal rows)."""
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).count()
+    """row_count, column_count, duplicate_rows (rows after the first of each group of equal rows). Rows are told by a 128-bit hash."""
+    groups = df.select(row_mark(*[F.col(f"`{c}`") for c in df.columns]).alias("mark")).groupBy("mark").count()
     return groups.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("row_count"), F.lit(len(df.columns)).cast("long").alias("column_count"), F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
@@ -111,21 +114,17 @@ def quality_comparison(before: DataFrame, after: DataFrame) -> DataFrame:
     return quality(before, "before").unionByName(quality(after, "after"))
 
 
-def boxplots(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
+def boxplots(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_id, n, q1, median, q3, low_whisker, high_whisker, outliers. Whiskers are the extreme values within 1.5 IQR of the box."""
-    clean = df.select(*[F.when(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")), c.cast("double")).alias(str(i)) for i, c in enumerate(F.col(f"`{c}`") for c in columns)])
-    pick = (lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))) if exact else (lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000))
-    boxes = clean.agg(*[pick(F.col(str(i))).alias(f"q{i}") for i in range(len(columns))])
-    joined = clean.join(F.broadcast(boxes), F.lit(True))  # one row
-    out = []
-    for i in range(len(columns)):
-        v, q = F.col(str(i)), F.col(f"q{i}")
-        reach = (q[2] - q[0]) * 1.5
-        inside = (v >= q[0] - reach) & (v <= q[2] + reach)
-        out += [F.count(v).alias(f"n{i}"), F.min(F.when(inside, v)).alias(f"a{i}"), F.max(F.when(inside, v)).alias(f"b{i}"), F.count_if(~inside).alias(f"o{i}"), F.max(q).alias(f"q{i}")]
-    wide = joined.agg(*out)
-    rows = [F.struct(F.lit(c).alias("column_id"), F.col(f"n{i}").alias("n"), F.col(f"q{i}")[0].alias("q1"), F.col(f"q{i}")[1].alias("median"), F.col(f"q{i}")[2].alias("q3"), F.coalesce(F.col(f"a{i}"), F.col(f"q{i}")[0]).alias("low_whisker"), F.coalesce(F.col(f"b{i}"), F.col(f"q{i}")[2]).alias("high_whisker"), F.col(f"o{i}").alias("outliers")) for i, c in enumerate(columns)]
-    return wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    rows = stacked(df, columns)
+    boxes = exact_quantiles(rows, [0.25, 0.5, 0.75]).select(F.col("key").alias("column_id"), "n", *[F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+    v, reach = F.col("v"), (F.col("q3") - F.col("q1")) * 1.5
+    inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
+    box = ["column_id", "n", "q1", "median", "q3"]
+    reached = rows.join(F.broadcast(boxes), F.col("key") == F.col("column_id")).groupBy(*box).agg(F.min(F.when(inside, v)).alias("a"), F.max(F.when(inside, v)).alias("b"), F.count_if(~inside).alias("outliers"))  # a row per column
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_id string")
+    joined = names.join(reached, "column_id", "left")
+    return joined.select("column_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "q1", "median", "q3", F.coalesce("a", "q1").alias("low_whisker"), F.coalesce("b", "q3").alias("high_whisker"), F.coalesce("outliers", F.lit(0)).cast("long").alias("outliers"))
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -223,12 +222,11 @@ def resolve_features(profile: DataFrame, target: str, include: list[str] | None
 def scenario_controls(df: DataFrame, numeric: list[str], categorical: list[str], top: int = 20) -> DataFrame:
     """One row per numeric feature (low P1, high P99, median default, step) and up to ``top`` per category (option, rank, share of rows)."""
     out = None
-    for c in numeric:
-        v = F.col(f"`{c}`").cast("double")
-        q = df.agg(F.percentile(v, F.array(F.lit(0.01), F.lit(0.99), F.lit(0.5))).alias("q"), F.min(v).alias("a"), F.max(v).alias("b"))
-        low, high = F.when(F.col("q")[0] < F.col("q")[1], F.col("q")[0]).otherwise(F.col("a")), F.when(F.col("q")[0] < F.col("q")[1], F.col("q")[1]).otherwise(F.col("b"))
-        row = q.select(F.lit(c).alias("column_id"), F.lit("numeric").alias("kind"), low.alias("low"), high.alias("high"), F.col("q")[2].alias("middle"), ((high - low) / 100).alias("step"), F.lit(None).cast("string").alias("option"), F.lit(None).cast("int").alias("rank"), F.lit(False).alias("truncated"))
-        out = row if out is None else out.unionByName(row)
+    if numeric:
+        low, high = (F.when(F.col("q")[0] < F.col("q")[1], F.col("q")[k]).otherwise(F.col(c)) for k, c in enumerate(("lo", "hi")))
+        none = F.lit(None)
+        limits = exact_quantiles(stacked(df, numeric), [0.01, 0.99, 0.5]).select("key", low.alias("low"), high.alias("high"), F.col("q")[2].alias("middle"))
+        out = df.sparkSession.createDataFrame([(c,) for c in numeric], "key string").join(limits, "key", "left").select(F.col("key").alias("column_id"), F.lit("numeric").alias("kind"), "low", "high", "middle", ((F.col("high") - F.col("low")) / 100).alias("step"), none.cast("string").alias("option"), none.cast("int").alias("rank"), F.lit(False).alias("truncated"))
     for c in categorical:
         counts = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").cast("string").alias("option")).count()
         n = counts.agg(F.count(F.lit(1)).alias("options"))
@@ -237,3 +235,13 @@ def scenario_controls(df: DataFrame, numeric: list[str], categorical: list[str],
         out = row if out is None else out.unionByName(row)
     return out
 
+
+def pair_points(df: DataFrame, pairs: DataFrame, row_id: str, limit: int = 500) -> DataFrame:
+    """left, right, row_id, x, y: for each pair (left, right) up to ``limit`` rows that have both values, evenly spread in row id order."""
+    out = None
+    for p in pairs.select("left", "right").collect():  # the few pairs of a report
+        x, y = (F.col(f"`{c}`").cast("double") for c in (p["left"], p["right"]))
+        both = df.where(x.isNotNull() & y.isNotNull()).select(F.col(row_id).alias("row_id"), x.alias("x"), y.alias("y"))
+        points = even_sample(both, ["row_id"], limit).select(F.lit(p["left"]).alias("left"), F.lit(p["right"]).alias("right"), "row_id", "x", "y")
+        out = points if out is None else out.unionByName(points)
+    return df.sparkSession.createDataFrame([], "left string, right string, row_id long, x double, y double") if out is None else out

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions import dates, numbers
-from tallywright.functions.hashing import canonical_hash
+from tallywright.functions.hashing import canonical_hash, row_mark
 from tallywright.functions.text import empty_to_null, merge_categories, to_text, trim_text
 
 DATE_ORDERS = ("DMY", "MDY", "YMD", "UNAMBIGUOUS", "SERIAL")
@@ -176,9 +176,12 @@ def blocked_values(df: DataFrame, recipe: Recipe) -> DataFrame:
 
 
 def exact_duplicates(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
-    """``df`` with ``is_copy``: a row after the first, by row id, of its group of equal rows (nulls are equal)."""
-    w = Window.partitionBy(*[F.col(f"`{c}`") for c in columns]).orderBy(row_id)
-    return df.withColumn("is_copy", F.row_number().over(w) > 1)
+    """``df`` with ``is_copy``: a row after the first, by row id, of its group of equal rows (nulls are equal). Row ids are unique. Groups
+    are told by a hash that each task counts first; only groups of two or more meet their rows again."""
+    marked = df.withColumn("__mark", row_mark(*[F.col(f"`{c}`") for c in columns]))
+    groups = marked.groupBy("__mark").agg(F.min(row_id).alias("__first"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+    joined = marked.join(groups, "__mark", "left")
+    return joined.withColumn("is_copy", F.coalesce(F.col(row_id) > F.col("__first"), F.lit(False))).drop("__mark", "__first", "__n")
 
 
 def dedupe_exact(df: DataFrame, row_id: str) -> tuple[DataFrame, DataFrame]:

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions.hashing import seed_of
-
-MOST_ORDERED_BLOCKS = 10_000_000
+from tallywright.operators.quantiles import exact_quantiles
 
 
 def shuffled(block: Column, seed: int) -> Column:
@@ -29,18 +28,32 @@ def fold_count(rows: int, blocks: int) -> int:
     return k if k >= 2 else 0
 
 
-def group_folds(df: DataFrame, block: str, k: int, seed: int, blocks: int | None = None) -> DataFrame:
-    """block, fold (1..k): distinct blocks in hash order cut into k even parts; above ten million blocks, by hash remainder."""
-    distinct = df.select(F.col(block).alias("block")).distinct()
-    if blocks is not None and blocks > MOST_ORDERED_BLOCKS:
-        return distinct.withColumn("fold", (F.pmod(F.xxhash64(F.lit(seed), "block"), F.lit(k)) + 1).cast("int"))
-    return distinct.withColumn("fold", F.ntile(k).over(Window.orderBy(shuffled(F.col("block"), seed))))
+def _dealt(blocks: DataFrame, k: int, seed: int, label: str | None = None) -> DataFrame:
+    """``blocks`` (a row each) with ``fold`` 1..k: in hash order, of each label where one is named, cut into k parts as even as can be,
+    larger ones first. Hashes are even, so their first four digits cut the order into stretches that are ranked apart."""
+    hashed = blocks.withColumn("__h", shuffled(F.col("block"), seed)).withColumn("__p", F.substring("__h", 1, 4))
+    by = [F.col(label)] if label else [F.lit(0)]
+    sizes = hashed.groupBy(*([label] if label else []), "__p").agg(F.count(F.lit(1)).alias("__m"))
+    before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # at most 65,536 stretches
+    starts = sizes.select(*([F.col(label).alias("__l")] if label else []), F.col("__p").alias("__q"), F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__start"), F.sum("__m").over(Window.partitionBy(*by)).alias("__n"))
+    match = F.col("__p") == F.col("__q")
+    match = match & F.col(label).eqNullSafe(F.col("__l")) if label else match
+    local = F.row_number().over(Window.partitionBy(*by, "__p").orderBy("__h")) - 1
+    placed = hashed.withColumn("__at", local).join(starts, match)
+    at, small = F.col("__start") + F.col("__at"), F.floor(F.col("__n") / k)
+    wide = F.col("__n") % k * (small + 1)  # positions in the larger parts
+    fold = F.when(at < wide, F.floor(at / (small + 1))).otherwise(F.col("__n") % k + F.floor((at - wide) / F.greatest(small, F.lit(1))))
+    return placed.select("block", *([label] if label else []), (fold + 1).cast("int").alias("fold"))
+
+
+def group_folds(df: DataFrame, block: str, k: int, seed: int) -> DataFrame:
+    """block, fold (1..k): distinct blocks in hash order cut into k even parts."""
+    return _dealt(df.select(F.col(block).alias("block")).distinct(), k, seed)
 
 
 def stratified_folds(df: DataFrame, block: str, target: str, k: int, seed: int) -> DataFrame:
-    """block, label, fold: as group folds, within each class (a block holds one class)."""
-    distinct = df.select(F.col(block).alias("block"), F.col(target).alias("label")).distinct()
-    return distinct.withColumn("fold", F.ntile(k).over(Window.partitionBy("label").orderBy(shuffled(F.col("block"), seed))))
+    """block, label, fold: as group folds, within each class. A block of several classes is dealt once, with its smallest."""
+    return _dealt(df.groupBy(F.col(block).alias("block")).agg(F.min(target).alias("label")), k, seed, "label")
 
 
 def feasible_stratified(df: DataFrame, block: str, target: str, seed: int, most: int = 5) -> tuple[DataFrame | None, int, str | None]:
@@ -50,7 +63,9 @@ def feasible_stratified(df: DataFrame, block: str, target: str, seed: int, most:
     k = min(most, smallest or 0)
     while k >= 2:
         folds = stratified_folds(df, block, target, k, seed)
-        held = folds.groupBy("fold").agg(F.count_distinct("label").alias("c")).agg(F.min("c"), F.count(F.lit(1))).first()
+        pairs = df.select(F.col(block).alias("block"), F.col(target).alias("class")).distinct().join(folds.select("block", "fold"), "block").select("fold", "class").distinct()
+        # every fold holds every class; with two folds or more every training part then does too
+        held = pairs.groupBy("fold").agg(F.count("class").alias("c")).agg(F.min("c"), F.count(F.lit(1))).first()
         if held[0] == classes and held[1] == k:
             return folds, k, None if k == most else "FOLDS_REDUCED"
         k -= 1
@@ -112,10 +127,9 @@ def reference_predictions(df: DataFrame, folds: DataFrame, block: str, row_id: s
         outside = grid.join(counts, ["fold", "y"], "left").withColumn("n", F.col("all") - F.coalesce("count", F.lit(0)))
         learnt = outside.groupBy("fold").agg(F.min(F.struct((-F.col("n")).alias("m"), "y")).alias("b")).select("fold", F.col("b.y").alias("predicted"))
     else:
-        # a median needs each unit's values: distinct values with counts, which partial aggregation keeps small
-        values = rows.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("c"))
-        units = values.withColumn("unit", F.explode(F.sequence(F.lit(1), F.lit(k)))).where(F.col("unit") != F.col("fold"))
-        learnt = units.groupBy(F.col("unit").alias("fold")).agg(F.expr("percentile(y, 0.5D, c)").alias("predicted"))
+        # a unit's values are those of the other folds
+        units = rows.withColumn("unit", F.explode(F.sequence(F.lit(1), F.lit(k)))).where(F.col("unit") != F.col("fold"))
+        learnt = exact_quantiles(units.select(F.col("unit").alias("key"), F.col("y").cast("double").alias("v")), [0.5]).select(F.col("key").alias("fold"), F.col("q")[0].alias("predicted"))
     return rows.join(learnt, "fold").select(F.concat(F.lit("fold-"), F.col("fold").cast("string")).alias("unit_id"), "row_id", F.col("y").alias("actual"), "predicted")
 
 

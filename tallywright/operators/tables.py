@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions.hashing import table_digest
+from tallywright.staging import materialize
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def numbered(df: DataFrame, order_by: list[str], name: str = "position") -> Data
     before it. No task sees more than its range."""
     ranged = df.repartitionByRange(*[F.col(c) for c in order_by]).sortWithinPartitions(*order_by).withColumn("__p", F.spark_partition_id())
     local = ranged.withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    local = local.persist()  # the same partitions must be numbered and counted
+    local = materialize(local, "numbered")  # what is counted must be what is numbered, even if an executor is lost in between
     sizes = local.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.withColumn("__start", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     return local.join(F.broadcast(starts), "__p").withColumn(name, F.col("__start") + F.col("__at")).drop("__p", "__at", "__start")
@@ -124,3 +125,9 @@ def share_projection(tables: dict[str, DataFrame], level: int = 1, detail: str =
 
 def one_row(spark: SparkSession, **values) -> DataFrame:
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
+
+
+def with_names(df: DataFrame, mapping: DataFrame, id_column: str = "column_id", out: str = "display_name") -> DataFrame:
+    """``df`` with the display name of each column id (``mapping``: column_id, display_name); an unknown id stands for itself."""
+    names = mapping.select(F.col("column_id").alias("__id"), F.col("display_name").alias("__name"))
+    return df.join(names, F.col(id_column) == F.col("__id"), "left").withColumn(out, F.coalesce("__name", id_column)).drop("__id", "__name")

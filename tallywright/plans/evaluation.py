@@ -99,6 +99,30 @@ def metric_trajectory(spark, sf):
     return _rounded(M.metric_trajectory(_pred(spark, sf).withColumn("unit_order", F.col("unit") + 1), ["l_returnflag"]))
 
 
+def _trajectory(value: str) -> str:
+    """Running class sums of two candidates over ten units, the second always guessing F; the first beside it."""
+    both = f"(SELECT 'rule' AS c, actual, predicted, o_orderkey % 10 + 1 AS u FROM {_CLS} UNION ALL SELECT 'always', actual, 'F', o_orderkey % 10 + 1 FROM {_CLS})"
+    runs = f"(SELECT b.c, g.u, l.label, count(*) FILTER (WHERE b.actual = l.label) AS s, count(*) FILTER (WHERE b.predicted = l.label) AS p, count(*) FILTER (WHERE b.actual = l.label AND b.predicted = l.label) AS t FROM {both} b JOIN range(1, 11) g(u) ON b.u <= g.u, {_L} l GROUP BY 1, 2, 3)"
+    return f"WITH r AS (SELECT c, u, CAST(sum(s) AS BIGINT) AS n, {value} AS v FROM {runs} GROUP BY 1, 2) SELECT CAST(a.u AS BIGINT) AS unit_order, a.n, round(a.v, 6) AS value, round(b.v, 6) AS baseline_value FROM r a JOIN r b ON a.u = b.u AND a.c = 'rule' AND b.c = 'always'"
+
+
+def _class_trajectory(spark, sf, metric):
+    rule = _classes(spark, sf).withColumn("candidate_id", F.lit("rule"))
+    both = rule.unionByName(rule.withColumn("candidate_id", F.lit("always")).withColumn("predicted", F.lit("F"))).withColumn("unit_order", F.col("o_orderkey") % 10 + 1)
+    runs = M.class_trajectory(both, ["candidate_id"], _labels(spark, sf), metric)
+    return _rounded(M.beside_baseline(runs, "candidate_id", "always").drop("candidate_id"), 6)
+
+
+@query("trajectory_macro_f1", _trajectory("CASE WHEN count(*) FILTER (WHERE s + p = 0) = 0 THEN avg(2.0 * t / nullif(s + p, 0)) END"))
+def trajectory_macro_f1(spark, sf):
+    return _class_trajectory(spark, sf, "macro_f1")
+
+
+@query("trajectory_balanced_accuracy", _trajectory("CASE WHEN count(*) FILTER (WHERE s = 0) = 0 THEN avg(CAST(t AS DOUBLE) / nullif(s, 0)) END"))
+def trajectory_balanced_accuracy(spark, sf):
+    return _class_trajectory(spark, sf, "balanced_accuracy")
+
+
 # --- splits: one block per customer ---------------------------------------------------------------------------------------------
 
 _ORD = "(SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders)"

@@ -77,3 +77,38 @@ def stream_clean(spark, sf):
     live.clean_stream(source, _RECIPE, "c_custkey", clean, bad, _folder(spark, "stream-checkpoint")).awaitTermination()
     kept = spark.read.parquet(clean).select("c_custkey", F.lit(False).alias("rejected"))
     return kept.unionByName(spark.read.parquet(bad).select(F.col("row_id").alias("c_custkey"), F.lit(True).alias("rejected")))
+
+
+# fixed values: the kind of each event of the full fold, by its number
+_KINDS = ("candidate_started", "candidate_completed", "unit_started", "unit_completed", "candidate_failed", "primary_selection_completed", "confirmation_started", "confirmation_completed", "selection_completed", "final_test_completed", "snapshot_frozen")
+_FULL = "(SELECT event_id AS seq, user_id AS run_id, 'c' || (event_id % 5) AS candidate_id, 'u' || (event_id // 5 % 10) AS unit_id, value, event_id % 5 AS complexity, CAST(event_id AS VARCHAR) AS payload, CASE event_id % 11 " + " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(_KINDS)) + " END AS event_type FROM events)"
+
+
+def _full(spark, sf):
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("event_id") % 11 + 1).cast("int"))
+    return _events(spark, sf).join(read(spark, sf, "events").select(F.col("event_id").alias("seq"), kind.alias("kind")), "seq").withColumn("event_type", F.col("kind")).withColumn("complexity", F.col("seq") % 5).withColumn("payload", F.col("seq").cast("string")).drop("kind")
+
+
+def _last(what, kinds):
+    return f"arg_max({what}, seq) FILTER (WHERE event_type IN ({', '.join(repr(k) for k in kinds)}))"
+
+
+_UNITS = ("unit_started", "unit_completed", "confirmation_unit_completed")
+
+
+@query(
+    "run_state",
+    f"WITH e AS (SELECT * FROM {_FULL}), s AS (SELECT run_id, {_last('candidate_id', ('candidate_started', *_UNITS))} AS active_candidate, {_last('unit_id', _UNITS)} AS active_unit, {_last('payload', ('primary_selection_completed',))} AS primary_decision, "
+    f"{_last('payload', ('confirmation_started', 'confirmation_completed'))} AS confirmation, coalesce({_last('event_type', ('confirmation_started', 'confirmation_completed'))} = 'confirmation_started', false) AS confirming, {_last('payload', ('selection_completed',))} AS decision, {_last('payload', ('final_test_completed',))} AS final_test, "
+    f"{_last('payload', ('snapshot_frozen',))} AS summary, max(seq) AS last_seq FROM e GROUP BY 1), w AS (SELECT run_id, candidate_id, {_last('event_type', ('candidate_started', 'candidate_completed', 'candidate_failed'))} AS word, arg_max(value, seq) FILTER (WHERE event_type = 'candidate_completed') AS v, max(complexity) AS c FROM e GROUP BY 1, 2), "
+    "r AS (SELECT run_id, string_agg(candidate_id, ',' ORDER BY v, c, candidate_id) AS ranking FROM w WHERE word = 'candidate_completed' GROUP BY 1) SELECT s.*, coalesce(ranking, '') AS ranking FROM s LEFT JOIN r USING (run_id)",
+)
+def run_state(spark, sf):
+    return E.run_state(_full(spark, sf)).withColumn("ranking", F.concat_ws(",", "ranking"))
+
+
+@query("event_replay_terminal", f"SELECT *, run_id % 3 <> 0 AS terminal FROM {_EV} WHERE seq > 500 ORDER BY seq LIMIT 200")
+def event_replay_terminal(spark, sf):
+    events = _events(spark, sf)
+    ended = F.when(F.col("run_id") % 3 == 0, "running").when(F.col("run_id") % 3 == 1, "succeeded").otherwise("failed")
+    return E.replay_run(events, events.select("run_id").distinct().withColumn("status", ended), 500)

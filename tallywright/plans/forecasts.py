@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallywright.operators import forecast as fc
 from tallywright.operators import temporal
 from tallywright.plans.register import query, read
+from tallywright.staging import materialize
 
 H = 6
 KEYS = ["series_id"]
@@ -19,7 +20,7 @@ def _rows(spark, sf):
 
 def _series(spark, sf):
     # a row per month and series: small beside the orders, and read by every branch of the plan
-    return temporal.prepare_series(_rows(spark, sf), "o_orderdate", "o_totalprice", "sum", KEYS)[0].persist()
+    return materialize(temporal.prepare_series(_rows(spark, sf), "o_orderdate", "o_totalprice", "sum", KEYS)[0], "series")
 
 
 _S = """s AS (
@@ -59,14 +60,25 @@ def _q(select: str) -> str:
     return f"WITH {_S} {select}"
 
 
-def _run(spark, sf, methods=fc.SQL_METHODS):
+def _run(spark, sf, methods=None):
     series = _series(spark, sf)
     plan, pred = fc.backtest(series, KEYS, H, methods=methods)
-    return series, plan, pred.persist()
+    return series, plan, materialize(pred, "predictions")
 
 
-def _decided(spark, sf):
-    series, plan, pred = _run(spark, sf)
+def _sums(name, sql):
+    """Registers a query over all seven methods, and under ``<name>_sums`` the same over the four that SQL can follow."""
+
+    def add(f):
+        query(name)(lambda spark, sf: f(spark, sf, None))
+        query(f"{name}_sums", sql)(lambda spark, sf: f(spark, sf, fc.SQL_METHODS))
+        return f
+
+    return add
+
+
+def _decided(spark, sf, methods):
+    series, plan, pred = _run(spark, sf, methods)
     return series, plan, pred, fc.select_forecast(plan, pred, series, KEYS)
 
 
@@ -86,12 +98,13 @@ def series_problems(spark, sf):
 
 @query("backtest_plan", _q("SELECT series_id, n, CAST(w AS INTEGER) AS w, has_holdout, d, k, n >= 8 AND k >= 1 AS evaluable FROM plan"))
 def backtest_plan(spark, sf):
-    return _run(spark, sf)[1]
+    return fc.backtest(_series(spark, sf), KEYS, H, methods=fc.SQL_METHODS)[0]
 
 
 @query("backtest_prefix", _q("SELECT o.series_id, unit_id, count(*) AS rows, round(sum(value), 2) AS total FROM o JOIN x ON x.series_id = o.series_id AND x.t < o.origin WHERE role = 'selection_backtest' GROUP BY 1, 2"))
 def backtest_prefix(spark, sf):
-    series, plan, _ = _run(spark, sf)
+    series = _series(spark, sf)
+    plan = fc.backtest(series, KEYS, H, methods=fc.SQL_METHODS)[0]
     origins = fc.plan_origins(plan, KEYS, H).where(F.col("role") == "selection_backtest")
     joined = series.join(origins, KEYS).where(F.col("t") < F.col("origin"))
     return _rounded(joined.groupBy("series_id", "unit_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total")))
@@ -119,40 +132,40 @@ def _grouped(name: str):
 fc_ridge_month, fc_holt, fc_holt_winters = map(_grouped, ("ridge_trend_month", "holt_damped", "holt_winters_add_damped"))
 
 
-@query("backtest_predictions", _q("SELECT series_id, role, unit_id, horizon, candidate_id, t, round(predicted, 2) AS predicted, round(actual, 2) AS actual FROM pred"))
-def backtest_predictions(spark, sf):
-    return _rounded(_run(spark, sf)[2].select("series_id", "role", "unit_id", "horizon", "candidate_id", "t", "predicted", "actual"))
+@_sums("backtest_predictions", _q("SELECT series_id, role, unit_id, horizon, candidate_id, t, round(predicted, 2) AS predicted, round(actual, 2) AS actual FROM pred"))
+def backtest_predictions(spark, sf, methods):
+    return _rounded(_run(spark, sf, methods)[2].select("series_id", "role", "unit_id", "horizon", "candidate_id", "t", "predicted", "actual"))
 
 
-@query("backtest_metrics", _q("SELECT series_id, candidate_id, n, round(mae, 2) AS mae, round(rmse, 2) AS rmse FROM joint"))
-def backtest_metrics(spark, sf):
-    return _rounded(fc.backtest_metrics(_run(spark, sf)[2], KEYS)[0].select("series_id", "candidate_id", "n", "mae", "rmse"))
+@_sums("backtest_metrics", _q("SELECT series_id, candidate_id, n, round(mae, 2) AS mae, round(rmse, 2) AS rmse FROM joint"))
+def backtest_metrics(spark, sf, methods):
+    return _rounded(fc.backtest_metrics(_run(spark, sf, methods)[2], KEYS)[0].select("series_id", "candidate_id", "n", "mae", "rmse"))
 
 
-@query("forecast_selection", _q("SELECT * FROM dec"))
-def forecast_selection(spark, sf):
-    return _decided(spark, sf)[3]
+@_sums("forecast_selection", _q("SELECT * FROM dec"))
+def forecast_selection(spark, sf, methods):
+    return _decided(spark, sf, methods)[3]
 
 
-@query("forecast_future", _q("SELECT dec.series_id, selected_id, CAST(m.last + to_months(horizon) AS DATE) AS target_month, horizon, round(predicted, 2) AS predicted, predicted IS NULL AS fallback FROM dec JOIN pred ON pred.series_id = dec.series_id AND pred.candidate_id = dec.selected_id AND role = 'forecast_future' JOIN (SELECT series_id, max(month) AS last FROM x GROUP BY 1) m ON m.series_id = dec.series_id"))
-def forecast_future(spark, sf):
-    series, _, pred, decision = _decided(spark, sf)
+@_sums("forecast_future", _q("SELECT dec.series_id, selected_id, CAST(m.last + to_months(horizon) AS DATE) AS target_month, horizon, round(predicted, 2) AS predicted, predicted IS NULL AS fallback FROM dec JOIN pred ON pred.series_id = dec.series_id AND pred.candidate_id = dec.selected_id AND role = 'forecast_future' JOIN (SELECT series_id, max(month) AS last FROM x GROUP BY 1) m ON m.series_id = dec.series_id"))
+def forecast_future(spark, sf, methods):
+    series, _, pred, decision = _decided(spark, sf, methods)
     return _rounded(fc.forecast_future(pred, decision, series, KEYS))
 
 
-@query("horizon_stability", _q("SELECT *, CASE WHEN count(*) FILTER (WHERE verdict = 'worse') OVER (PARTITION BY series_id) >= ceil(count(*) OVER (PARTITION BY series_id) / 3.0) THEN 'HORIZON_PERFORMANCE_VARIES' END AS warning FROM (SELECT a.series_id, a.horizon, a.n, round(a.mae, 2) AS selected_mae, round(b.mae, 2) AS baseline_mae, round((b.mae - a.mae) / nullif(b.mae, 0), 2) AS improvement, CASE WHEN (b.mae - a.mae) / nullif(b.mae, 0) > 0.1 THEN 'better' WHEN (b.mae - a.mae) / nullif(b.mae, 0) < -0.1 THEN 'worse' ELSE 'similar' END AS verdict FROM (SELECT series_id, horizon, count(*) AS n, avg(abs(predicted - actual)) AS mae FROM pred JOIN dec USING (series_id) WHERE role = 'selection_backtest' AND candidate_id = selected_id GROUP BY 1, 2) a JOIN (SELECT series_id, horizon, count(*) AS n, avg(abs(predicted - actual)) AS mae FROM pred JOIN dec USING (series_id) WHERE role = 'selection_backtest' AND candidate_id = baseline_id GROUP BY 1, 2) b ON a.series_id = b.series_id AND a.horizon = b.horizon)"))
-def horizon_stability(spark, sf):
-    _, _, pred, decision = _decided(spark, sf)
+@_sums("horizon_stability", _q("SELECT *, CASE WHEN count(*) FILTER (WHERE verdict = 'worse') OVER (PARTITION BY series_id) >= ceil(count(*) OVER (PARTITION BY series_id) / 3.0) THEN 'HORIZON_PERFORMANCE_VARIES' END AS warning FROM (SELECT a.series_id, a.horizon, a.n, round(a.mae, 2) AS selected_mae, round(b.mae, 2) AS baseline_mae, round((b.mae - a.mae) / nullif(b.mae, 0), 2) AS improvement, CASE WHEN (b.mae - a.mae) / nullif(b.mae, 0) > 0.1 THEN 'better' WHEN (b.mae - a.mae) / nullif(b.mae, 0) < -0.1 THEN 'worse' ELSE 'similar' END AS verdict FROM (SELECT series_id, horizon, count(*) AS n, avg(abs(predicted - actual)) AS mae FROM pred JOIN dec USING (series_id) WHERE role = 'selection_backtest' AND candidate_id = selected_id GROUP BY 1, 2) a JOIN (SELECT series_id, horizon, count(*) AS n, avg(abs(predicted - actual)) AS mae FROM pred JOIN dec USING (series_id) WHERE role = 'selection_backtest' AND candidate_id = baseline_id GROUP BY 1, 2) b ON a.series_id = b.series_id AND a.horizon = b.horizon)"))
+def horizon_stability(spark, sf, methods):
+    _, _, pred, decision = _decided(spark, sf, methods)
     return _rounded(fc.horizon_stability(pred, decision, KEYS))
 
 
-@query("extrapolation_flags", _q("SELECT f.series_id, f.horizon, round(f.predicted, 2) AS predicted, f.predicted < a - 3 * iqr OR f.predicted > b + 3 * iqr AS extrapolates FROM pred f JOIN dec ON dec.series_id = f.series_id AND dec.selected_id = f.candidate_id JOIN (SELECT series_id, min(value) AS a, max(value) AS b, quantile_cont(value, CAST(0.75 AS DOUBLE)) - quantile_cont(value, CAST(0.25 AS DOUBLE)) AS iqr FROM x GROUP BY 1) q ON q.series_id = f.series_id WHERE role = 'forecast_future'"))
-def extrapolation_flags(spark, sf):
-    series, _, pred, decision = _decided(spark, sf)
+@_sums("extrapolation_flags", _q("SELECT f.series_id, f.horizon, round(f.predicted, 2) AS predicted, f.predicted < a - 3 * iqr OR f.predicted > b + 3 * iqr AS extrapolates FROM pred f JOIN dec ON dec.series_id = f.series_id AND dec.selected_id = f.candidate_id JOIN (SELECT series_id, min(value) AS a, max(value) AS b, quantile_cont(value, CAST(0.75 AS DOUBLE)) - quantile_cont(value, CAST(0.25 AS DOUBLE)) AS iqr FROM x GROUP BY 1) q ON q.series_id = f.series_id WHERE role = 'forecast_future'"))
+def extrapolation_flags(spark, sf, methods):
+    series, _, pred, decision = _decided(spark, sf, methods)
     return _rounded(fc.extrapolation_flags(fc.forecast_future(pred, decision, series, KEYS), series, KEYS))
 
 
-@query("prediction_roles", _q("SELECT series_id, 'history' AS role, count(*) AS rows, CAST(0 AS BIGINT) AS predicted_rows FROM x GROUP BY 1 UNION ALL SELECT pred.series_id, role, count(*), count(predicted) FROM pred JOIN dec ON dec.series_id = pred.series_id AND selected_id = candidate_id GROUP BY 1, 2"))
-def prediction_roles(spark, sf):
-    series, _, pred, decision = _decided(spark, sf)
+@_sums("prediction_roles", _q("SELECT series_id, 'history' AS role, count(*) AS rows, CAST(0 AS BIGINT) AS predicted_rows FROM x GROUP BY 1 UNION ALL SELECT pred.series_id, role, count(*), count(predicted) FROM pred JOIN dec ON dec.series_id = pred.series_id AND selected_id = candidate_id GROUP BY 1, 2"))
+def prediction_roles(spark, sf, methods):
+    series, _, pred, decision = _decided(spark, sf, methods)
     return fc.prediction_roles(series, pred, decision, KEYS).groupBy("series_id", "role").agg(F.count(F.lit(1)).alias("rows"), F.count("predicted").alias("predicted_rows"))

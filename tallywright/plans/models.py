@@ -20,16 +20,16 @@ def _lines(spark, sf):
     return read(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), F.col("l_orderkey").alias("block"), F.when(F.col("l_orderkey") % 20 != 0, F.col("l_quantity")).alias("l_quantity"), "l_discount", "l_tax", F.when(F.col("l_linenumber") != 7, F.col("l_returnflag")).alias("l_returnflag"), "l_extendedprice", "l_linestatus")
 
 
-def _oof(spark, sf, name, target, problem, k=2):
+def _oof(spark, sf, name, target, problem, k=5):
     lines = _lines(spark, sf)
     folds = splits.group_folds(lines, "block", k, 42)
     numeric = NUMERIC if problem == "regression" else [*NUMERIC, "l_extendedprice"]
-    pred, models = ml.evaluate(lines, folds, "block", "row_id", target, problem, [SPECS[name]], numeric, CATEGORICAL, k)
-    return lines, folds, pred, models
+    pred, models, outcomes = ml.evaluate(lines, folds, "block", "row_id", target, problem, [SPECS[name]], numeric, CATEGORICAL, k)
+    return lines, folds, pred, models, outcomes
 
 
 def _scored(spark, sf, name, target, problem):
-    lines, _, pred, _ = _oof(spark, sf, name, target, problem)
+    lines, _, pred, _, _ = _oof(spark, sf, name, target, problem)
     labels = lines.select(F.col(target).alias("label")).distinct() if problem == "classification" else None
     return ml.score(pred, problem, ["candidate_id", "unit_id"], labels)
 
@@ -56,15 +56,30 @@ def oof_logistic_balanced(spark, sf):
 
 @query("oof_forest_cls")
 def oof_forest_cls(spark, sf):
+    return _scored(spark, sf, "random_forest_classifier", "l_linestatus", "classification")
+
+
+@query("oof_forest_cls_balanced")
+def oof_forest_cls_balanced(spark, sf):
     return _scored(spark, sf, "random_forest_classifier_balanced", "l_linestatus", "classification")
 
 
+@query("candidate_outcomes")
+def candidate_outcomes(spark, sf):
+    """What became of each candidate in each unit; one that cannot be fitted (a label it does not take) stands with its reason."""
+    lines = _lines(spark, sf)
+    bad = ml.ModelSpec("refuses", 9, "regression", 2, True, lambda seed, n, sd: SPECS["logistic_regression"].build(seed, n, sd).setMaxIter(-1))
+    folds = splits.group_folds(lines, "block", 5, 42)
+    told = ml.evaluate(lines, folds, "block", "row_id", "l_extendedprice", "regression", [SPECS["ridge"], bad], NUMERIC, CATEGORICAL, 5)[2]
+    return told.select("candidate_id", "unit_id", "status", F.col("reason").isNotNull().alias("explained"))
+
+
 @query("preprocess_train_only")
 def preprocess_train_only(spark, sf):
     """Widths and means of the feature vectors of validation rows, prepared by what training rows taught."""
     from pyspark.ml.functions import vector_to_array
 
-    lines, folds, _, models = _oof(spark, sf, "ridge", "l_extendedprice", "regression")
+    lines, folds, _, models, _ = _oof(spark, sf, "ridge", "l_extendedprice", "regression")
     model = models["ridge", "fold-1"]
     held = ml.with_inputs(lines.join(folds, "block").where(F.col("fold") == 1), NUMERIC, "regression", "l_extendedprice")
     x = model.transform(held).select(F.posexplode(vector_to_array("features")).alias("feature", "v"))
@@ -73,7 +88,7 @@ def preprocess_train_only(spark, sf):
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
-    lines, folds, _, models = _oof(spark, sf, "ridge", "l_extendedprice", "regression")
+    lines, folds, _, models, _ = _oof(spark, sf, "ridge", "l_extendedprice", "regression")
     held = lines.join(folds, "block").withColumn("unit_id", F.concat(F.lit("fold-"), F.col("fold").cast("string")))
     return ml.permutation_importance({u: m for (_, u), m in models.items()}, held, [*NUMERIC, *CATEGORICAL], NUMERIC, "regression", "l_extendedprice").orderBy(F.desc("importance")).limit(20)
 
@@ -87,6 +102,22 @@ def final_test(spark, sf):
     return M.regression_metrics(pred, ["candidate_id"])
 
 
+@query("final_test_repeats")
+def final_test_repeats(spark, sf):
+    """Whether the ridge's gain over the reference in five folds repeats on reserved rows."""
+    lines = _lines(spark, sf)
+    marked = splits.reserve_holdout(lines, "block", "l_extendedprice", "regression", 42)[0]
+    rows = lines.join(marked, "block")
+    development = rows.where(~F.col("reserved"))
+    folds = splits.group_folds(development, "block", 5, 42)
+    mine = ml.evaluate(development.drop("reserved"), folds, "block", "row_id", "l_extendedprice", "regression", [SPECS["ridge"]], NUMERIC, CATEGORICAL, 5)[0]
+    reference = splits.reference_predictions(development, folds, "block", "row_id", "l_extendedprice", "median", 5)
+    both = mine.select("candidate_id", "actual", "predicted").unionByName(reference.select(F.lit("reference").alias("candidate_id"), "actual", "predicted"))
+    mae = {r["candidate_id"]: r["mae"] for r in M.regression_sums(both, ["candidate_id"]).collect()}  # two rows
+    pred = ml.final_test(development, rows.where("reserved"), SPECS["ridge"], "l_extendedprice", "regression", NUMERIC, CATEGORICAL)
+    return ml.improvement_repeated(pred, "ridge", "regression", "mae", mae["reference"] - mae["ridge"])
+
+
 @query("worst_errors", "SELECT l_orderkey, l_linenumber, round(abs(1500.0 * l_quantity - l_extendedprice), 2) AS abs_error FROM lineitem ORDER BY abs(1500.0 * l_quantity - l_extendedprice) DESC, l_orderkey, l_linenumber LIMIT 10")
 def worst_errors(spark, sf):
     item = read(spark, sf, "lineitem").withColumn("e", F.abs(F.col("l_quantity") * 1500.0 - F.col("l_extendedprice")))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallywright.operators import profile, tables
 from tallywright.operators import recipe as R
-from tallywright.operators import tables
 from tallywright.plans.register import query, read
 from tallywright.sources import files
+from tallywright.staging import shared_folder
 
 
 @query("scan_parquet", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
@@ -16,20 +17,17 @@ def scan_parquet(spark, sf):
 
 
 def _folder(spark, name):
-    import tempfile
-    import uuid
+    return f"{shared_folder(spark)}/{name}"
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tallywright-files"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
 
-
-@query("scan_csv")
+@query("scan_csv", "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders")
 def scan_csv(spark, sf):
     """Orders written with semicolons and read back by the dialect that inspection finds."""
     path = _folder(spark, "orders-csv")
-    read(spark, sf, "orders").write.csv(path, sep=";", header=True)
+    orders = read(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    orders.write.csv(path, sep=";", header=True)
     sep = files.inspect_csv(spark, f"{path}/*.csv").groupBy("delimiter").count().orderBy(F.desc("count")).first()["delimiter"]
-    return files.read_csv(spark, path, sep=sep)
+    return files.read_csv(spark, path, sep=sep, schema=orders.schema).withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
 @query("inspect_files")
@@ -160,3 +158,14 @@ def stride_sample(spark, sf):
 @query("even_sample", "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn, count(*) OVER () AS n FROM orders) SELECT o_orderkey FROM r WHERE rn IN (SELECT CAST(floor(i * (SELECT max(n) - 1 FROM r) / 499) AS BIGINT) FROM range(500) t(i))")
 def even_sample(spark, sf):
     return tables.even_sample(read(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 500)
+
+
+@query("write_prepared", "SELECT 'data' AS table_name, count(*) AS rows FROM (" + _CUSTOMERS + ") WHERE NOT bad AND c_mktsegment <> 'MACHINERY' UNION ALL SELECT 'quarantine', count(*) FROM (" + _CUSTOMERS + ") WHERE bad OR c_mktsegment = 'MACHINERY' UNION ALL SELECT 'transformations', 5 FROM (SELECT 1 WHERE EXISTS (SELECT 1 FROM customer)) UNION ALL SELECT 'quality', 2 FROM (SELECT 1 WHERE EXISTS (SELECT 1 FROM customer)) UNION ALL SELECT 'dictionary', 5 FROM (SELECT 1 WHERE EXISTS (SELECT 1 FROM customer))")
+def write_prepared(spark, sf):
+    """The prepared customers written as tables and counted as they are read back."""
+    dirty = _dirty(spark, sf)
+    done = R.apply_recipe(dirty, _RECIPE, "c_custkey")
+    path = _folder(spark, "prepared")
+    files.write_prepared(done, tables.dictionary(done.data), profile.quality_comparison(dirty, done.data), path)
+    names = ("data", "quarantine", "transformations", "quality", "dictionary")
+    return tables.union_roles(*[spark.read.parquet(f"{path}/{n}").agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(n)) for n in names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallywright.operators import profile as P
-from tallywright.operators import temporal
+from tallywright.operators import tables, temporal
 from tallywright.plans.register import query, read
 
 
@@ -124,12 +124,9 @@ def monthly_mean(spark, sf):
     return _monthly(spark, sf, "mean")
 
 
-_SPARSE = "(SELECT * FROM orders WHERE (o_custkey % 50 = 3))"
-
-
-@query("missing_months", f"WITH o AS (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM {_SPARSE}), b AS (SELECT o_custkey, min(m) a, max(m) z FROM o GROUP BY 1), c AS (SELECT o_custkey, CAST(unnest(generate_series(a, z, INTERVAL 1 MONTH)) AS DATE) AS month FROM b) SELECT c.o_custkey, c.month FROM c ANTI JOIN o ON c.o_custkey = o.o_custkey AND c.month = o.m")
+@query("missing_months", f"WITH o AS (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM orders), b AS (SELECT o_custkey, min(m) a, max(m) z FROM o GROUP BY 1), c AS (SELECT o_custkey, CAST(unnest(generate_series(a, z, INTERVAL 1 MONTH)) AS DATE) AS month FROM b) SELECT c.o_custkey, c.month FROM c ANTI JOIN o ON c.o_custkey = o.o_custkey AND c.month = o.m")
 def missing_months(spark, sf):
-    return temporal.missing_months(read(spark, sf, "orders").where(F.col("o_custkey") % 50 == 3), "o_orderdate", ["o_custkey"])
+    return temporal.missing_months(read(spark, sf, "orders"), "o_orderdate", ["o_custkey"])
 
 
 @query("temporal_check", "WITH d AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders), g AS (SELECT o_custkey, d, d - lag(d) OVER (PARTITION BY o_custkey ORDER BY d) AS gap FROM d), m AS (SELECT o_custkey, date_trunc('month', d) AS mm, count(*) AS n FROM d GROUP BY 1, 2), ms AS (SELECT o_custkey, count(*) AS observed, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS rep, min(mm) AS a, max(mm) AS b FROM m GROUP BY 1), gs AS (SELECT o_custkey, min(d) AS first_date, max(d) AS last_date, median(gap) AS mg FROM g GROUP BY 1) SELECT o_custkey, first_date, last_date, CASE WHEN mg <= 2 THEN 'daily' WHEN rep = 0 THEN 'monthly' ELSE 'several_per_month' END AS frequency, observed AS observed_months, datediff('month', a, b) + 1 - observed AS missing_months, rep AS rows_in_repeated_months, CAST(0 AS BIGINT) AS invalid_dates FROM gs JOIN ms USING (o_custkey)")
@@ -142,3 +139,15 @@ def month_index(spark, sf):
     series = temporal.monthly(read(spark, sf, "orders"), "o_orderdate", "o_totalprice", "sum", ["o_orderpriority"])
     return temporal.month_index(series, ["o_orderpriority"]).drop("value")
 
+
+@query("top_pair_points", """WITH r AS (SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn, count(*) OVER () AS n FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice IS NOT NULL) SELECT 'o_custkey' AS "left", 'o_totalprice' AS "right", o_orderkey AS row_id, CAST(o_custkey AS DOUBLE) AS x, o_totalprice AS y FROM r WHERE rn IN (SELECT CAST(floor(i * (SELECT max(n) - 1 FROM r) / 499) AS BIGINT) FROM range(500) t(i))""")
+def top_pair_points(spark, sf):
+    orders = read(spark, sf, "orders")
+    return P.pair_points(orders, P.top_pairs(P.correlations(orders, ["o_custkey", "o_totalprice"])), "o_orderkey")
+
+
+@query("display_names", "SELECT column_id, CASE column_id WHEN 'c0001' THEN 'o_orderkey' WHEN 'c0004' THEN 'o_totalprice' ELSE column_id END AS display_name, n FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'c0001' WHEN 1 THEN 'c0004' ELSE 'unknown' END AS column_id, count(*) AS n FROM orders GROUP BY 1)")
+def display_names(spark, sf):
+    orders = read(spark, sf, "orders")
+    ids = F.when(F.col("o_orderkey") % 3 == 0, "c0001").when(F.col("o_orderkey") % 3 == 1, "c0004").otherwise("unknown")
+    return tables.with_names(orders.groupBy(ids.alias("column_id")).agg(F.count(F.lit(1)).alias("n")), tables.normalize_columns(orders)[1])

@@ -10,28 +10,34 @@ from tallywright.functions.text import formula_safe
 
 SEPARATORS = (",", ";", "\t", "|")
 ENCODINGS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1"}
-HEAD_BYTES = 65_536
+HEAD_BYTES, MOST_COLUMNS = 65_536, 300
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8", header_row: int = 0, schema: T.StructType | None = None) -> DataFrame:
-    """Delimited files. With ``header_row`` = n the first n lines of each file are skipped and the next names the columns."""
+    """Delimited files. With ``header_row`` = n the first n records of each file are skipped and the next names the columns; blank lines
+    are no records. Quoted cells may hold line breaks, so a file is read by one task: large data come as many files.
+
+    Without a schema, types are inferred where the header comes first; below skipped records every column is text. At most
+    ``MOST_COLUMNS`` columns are read there."""
     if sep not in SEPARATORS or encoding not in ENCODINGS or not 0 <= header_row <= 99:
         raise ValueError("UNSUPPORTED_DIALECT")
-    options = {"sep": sep, "encoding": ENCODINGS[encoding], "header": header_row == 0, "mode": "PERMISSIVE"}
+    options = {"sep": sep, "encoding": ENCODINGS[encoding], "mode": "PERMISSIVE", "multiLine": True, "quote": '"', "escape": '"'}
     if header_row == 0:
-        reader = spark.read.options(**options)
+        reader = spark.read.options(**options, header=True)
         return reader.schema(schema).csv(path) if schema else reader.options(inferSchema=True).csv(path)
-    # a file's first lines are told by their place in it; only they are numbered
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    first = lines.where(F.col("block") == 0).groupBy("file", F.spark_partition_id().alias("p")).agg(F.min("at").alias("start"))
-    start = first.groupBy("file").agg(F.min("start").alias("start"))
-    placed = lines.join(F.broadcast(start), "file").withColumn("line", F.when(F.col("block") == 0, F.col("at") - F.col("start")).otherwise(F.lit(1 << 40)))
-    names = placed.where(F.col("line") == header_row).select("value").limit(1).collect()
-    if not names:
+    wide = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(MOST_COLUMNS)])
+    records = spark.read.options(**options, header=False).schema(wide).csv(path).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    # a file's records come in order within its one task: its first ones are told by the least number
+    first = records.groupBy("file").agg(F.min("at").alias("start"))
+    placed = records.join(F.broadcast(first), "file").withColumn("record", F.col("at") - F.col("start"))  # a row per file
+    heads = placed.where(F.col("record") == header_row).limit(1).collect()
+    if not heads:
         raise ValueError("HEADER_MISSING")
-    kind = schema or T.StructType([T.StructField(c.strip().lstrip("﻿"), T.StringType()) for c in names[0][0].split(sep)])
-    body = placed.where((F.col("line") > header_row) & (F.trim("value") != ""))
-    return body.select(F.from_csv("value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind), {"sep": sep}).alias("r")).select("r.*")
+    cells = [heads[0][f"c{k}"] for k in range(MOST_COLUMNS)]
+    width = max((k + 1 for k, v in enumerate(cells) if v is not None), default=0)
+    named = schema or T.StructType([T.StructField((v or "").strip().lstrip("\ufeff"), T.StringType()) for v in cells[:width]])
+    body = placed.where(F.col("record") > header_row)
+    return body.select(*[F.col(f"c{k}").try_cast(f.dataType).alias(f.name) for k, f in enumerate(named)])
 
 
 def inspect_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -39,18 +45,22 @@ def inspect_csv(spark: SparkSession, path: str) -> DataFrame:
     splits the first lines into equally many parts, most parts first."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"), F.substring("content", 1, HEAD_BYTES).alias("head"))
     marked = F.hex(F.substring("head", 1, 3)) == "EFBBBF"
-    # a cut through a character at the end of the head is no decoding error
-    text = F.decode("head", "UTF-8")
-    broken = F.contains(F.expr("rtrim('�', decode(head, 'UTF-8'))"), F.lit("�")) if False else ~F.expr("is_valid_utf8(cast(substring(head, 1, greatest(length(head) - 3, 0)) as string))")
-    encoding = F.when(marked, "utf-8-sig").when(broken & (F.length("head") > 3), "latin-1").otherwise("utf-8")
+    # a character cut off at the end of the head is no decoding error: some head of up to three bytes less must decode
+    shorter = [F.substring("head", 1, HEAD_BYTES - k) for k in range(4)]
+    cut = F.length("head") == HEAD_BYTES
+    decodes = F.is_valid_utf8(F.col("head").cast("string"))
+    for s in shorter[1:]:
+        decodes = decodes | (cut & F.is_valid_utf8(s.cast("string")))
+    encoding = F.when(marked, "utf-8-sig").when(decodes, "utf-8").otherwise("latin-1")
     lines = F.slice(F.split(F.decode("head", "ISO-8859-1"), "\r?\n"), 1, 20)
     full = F.filter(lines, lambda x: x != "")
-    def parts_by(s: str):
-        return F.transform(full, lambda x: F.size(F.split(x, f"[{s}]")))
+
+    def widths_by(separator: str):
+        return F.transform(full, lambda x: F.size(F.split(x, f"[{separator}]")))
 
     scored = []
     for s in SEPARATORS:
-        widths = parts_by(s)
+        widths = widths_by(s)
         steady = F.size(F.array_distinct(widths)) == 1
         scored.append(F.struct((steady & (F.array_max(widths) > 1)).alias("steady"), F.coalesce(F.array_min(widths), F.lit(0)).alias("parts"), F.lit(s).alias("sep")))
     best = F.array_max(F.array(*scored))

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.operators import events, forecast, metrics, models, profile, recipe, selection, splits, summary, tables, temporal
+from tallywright.functions.hashing import row_block
+from tallywright.operators import events, forecast, metrics, models, profile, quantiles, recipe, selection, splits, summary, tables, temporal
 from tallywright.sources import files
 from tallywright.streaming import live
 
@@ -168,9 +169,11 @@ def test_grouped_methods(spark):
     y = 100 + 2.0 * t + 10 * np.sin(2 * np.pi * t / 12)
     months = t % 12
     want = 100 + 2.0 * np.arange(60, 66) + 10 * np.sin(2 * np.pi * np.arange(60, 66) / 12)
-    assert np.abs(forecast.holt_winters_add_damped(y, months, 6) - want).mean() < 4
+    many = {m.id: m.many for m in forecast.METHODS if m.many}
+    both = many["holt_winters_add_damped"]([y, y[:48]], 6)
+    assert np.abs(both[0] - want).mean() < 4 and np.allclose(both[1], many["holt_winters_add_damped"]([y[:48]], 6)[0])
     assert np.abs(forecast.ridge_trend_month(y, months, 6) - want).mean() < 4
-    assert np.abs(forecast.holt_damped(2.0 * t, months, 3) - 2.0 * np.arange(60, 63)).mean() < 3
+    assert np.abs(many["holt_damped"]([2.0 * t], 3)[0] - 2.0 * np.arange(60, 63)).mean() < 3
     x = np.column_stack([(t - t.mean()) / t.std(), *[(months == m).astype(float) for m in range(12)]])
     a = np.column_stack([np.ones(60), x])
     w = np.linalg.solve(a.T @ a + np.diag([0.0] + [1.0] * 13), a.T @ y)
@@ -243,3 +246,118 @@ def test_horizon_stability(spark):
     decision = spark.createDataFrame([("s", "sel", "base")], "series_id string, selected_id string, baseline_id string")
     got = forecast.horizon_stability(pred, decision, ["series_id"]).orderBy("horizon").collect()
     assert [r.verdict for r in got] == ["better", "worse", "worse"] and {r.warning for r in got} == {"HORIZON_PERFORMANCE_VARIES"}
+
+
+def test_exact_quantiles_equal_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    data = {"even": rng.normal(size=3001), "ties": rng.integers(0, 5, 2000).astype(float), "one": np.array([4.0]), "two": np.array([1.0, 2.0]), "few": rng.normal(size=150)}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs] + [("even", None), ("none", None)], "key string, v double")
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    for accuracy in (10_000, 100):  # a coarse sketch: most rows lie outside the brackets
+        monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+        got = {r.key: r for r in quantiles.exact_quantiles(rows, shares).collect()}
+        assert set(got) == set(data) and all(np.allclose(got[k].q, np.quantile(v, shares)) and got[k].n == len(v) for k, v in data.items())
+
+
+def test_folds_are_even_parts_of_the_hash_order(spark):
+    import hashlib
+
+    blocks = [f"b{k}" for k in range(203)]
+    got = {r.block: r.fold for r in splits.group_folds(spark.createDataFrame([(b,) for b in blocks * 2], "block string"), "block", 5, 7).collect()}
+    order = sorted(blocks, key=lambda b: hashlib.sha256(f"7:{b}".encode()).hexdigest())
+    assert [got[b] for b in order] == sorted([1] * 41 + [2] * 41 + [3] * 41 + [4] * 40 + [5] * 40)
+    few = splits.group_folds(spark.createDataFrame([("x",), ("y",)], "block string"), "block", 5, 7)
+    assert sorted(r.fold for r in few.collect()) == [1, 2]
+
+
+def test_a_block_of_two_classes_is_dealt_once(spark):
+    rows = [(k, k // 2, "ab"[k % 2]) for k in range(40)]  # every block holds both classes
+    df = spark.createDataFrame(rows, "row_id long, block long, y string")
+    folds, k, _ = splits.feasible_stratified(df, "block", "y", 1)
+    made = splits.materialize_splits(df, folds, "block", "row_id", k)
+    assert made.where("part = 'validation'").count() == 40 and splits.leaking_blocks(made).count() == 0
+
+
+def test_saved_pipelines_keep_their_categories(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    df = spark.createDataFrame([(k, float(k % 7), "ab"[k % 2], float(k)) for k in range(40)], "row_id long, a double, c string, y double")
+    spec = next(s for s in models.MODELS if s.id == "ridge")
+    inputs = models.with_inputs(df, ["a"], "regression", "y")
+    model = models.fit_model(spec, inputs, ["a"], ["c"], 1)
+    model.write().overwrite().save(str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model"))
+    assert [r.prediction for r in again.transform(inputs).orderBy("row_id").collect()] == [r.prediction for r in model.transform(inputs).orderBy("row_id").collect()]
+
+
+def test_failed_candidates_keep_a_reason(spark):
+    df = spark.createDataFrame([(k, k, float(k % 5), float(k)) for k in range(60)], "row_id long, block long, a double, y double")
+    ridge = next(s for s in models.MODELS if s.id == "ridge")
+    bad = models.ModelSpec("bad", 9, "regression", 2, True, lambda seed, n, sd: ridge.build(seed, n, sd).setLabelCol("absent"))
+    pred, _, told = models.evaluate(df, splits.group_folds(df, "block", 3, 1), "block", "row_id", "y", "regression", [bad, ridge], ["a"], [], 3)
+    status = {(r.candidate_id, r.status) for r in told.collect()}
+    assert status == {("bad", "failed"), ("ridge", "completed")} and told.where("status = 'failed' AND reason IS NULL").count() == 0
+    assert pred.groupBy("candidate_id").count().collect()[0]["count"] == 60
+    none = models.evaluate(df, splits.group_folds(df, "block", 3, 1), "block", "row_id", "y", "regression", [ridge], ["a"], [], 3, most_seconds=0.0)
+    assert none[0].count() == 0 and {r.status for r in none[2].collect()} == {"timed_out"}
+
+
+def test_importance_follows_the_metric(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 2))
+    rows = [(k, k, float(a), float(b), float(3 * a)) for k, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_id long, block long, a double, b double, y double")
+    folds = splits.group_folds(df, "block", 2, 1)
+    ridge = next(s for s in models.MODELS if s.id == "ridge")
+    _, fitted, _ = models.evaluate(df, folds, "block", "row_id", "y", "regression", [ridge], ["a", "b"], [], 2)
+    held = df.join(folds, "block").withColumn("unit_id", F.concat(F.lit("fold-"), F.col("fold").cast("string")))
+    by_unit = {u: m for (_, u), m in fitted.items()}
+    for metric in ("mae", "r2"):
+        got = {r.feature: r for r in models.permutation_importance(by_unit, held, ["a", "b"], ["a", "b"], "regression", "y", metric).collect()}
+        assert got["a"].importance > 0.5 and abs(got["b"].importance) < 0.1 and got["a"].n == 6
+    assert models.permutation_importance(by_unit, held.limit(0), ["a"], ["a", "b"], "regression", "y").count() == 0
+
+
+def test_csv_with_skipped_records_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('made by hand;x\nn;caf\u00e9\n1;"two\nlines"\n2;\u00e9t\u00e9\n'.encode("latin-1"))
+    got = files.read_csv(spark, str(tmp_path), sep=";", encoding="latin-1", header_row=1)
+    assert got.columns == ["n", "caf\u00e9"] and sorted(map(tuple, got.collect())) == [("1", "two\nlines"), ("2", "\u00e9t\u00e9")]
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    (plain / "b.csv").write_text('n,t\n1,"a\nb"\n2,"say ""no"""\n')
+    assert sorted(map(tuple, files.read_csv(spark, str(plain)).collect())) == [(1, "a\nb"), (2, 'say "no"')]
+    (plain / "c.csv").write_bytes("n,t\n1,\u00e9".encode("latin-1"))
+    assert {r.path[-5:]: r.encoding for r in files.inspect_csv(spark, str(plain)).collect()} == {"b.csv": "utf-8", "c.csv": "latin-1"}
+
+
+def test_duplicates_are_told_by_all_cells(spark):
+    rows = [(1, None, "a"), (2, "a", None), (3, None, "a"), (4, "a\u001fb", "c"), (5, "a", "b\u001fc")]
+    df = spark.createDataFrame(rows, "id int, x string, y string")
+    kept, gone = recipe.dedupe_exact(df, "id")
+    assert sorted(r.id for r in kept.collect()) == [1, 2, 4, 5] and [r.id for r in gone.collect()] == [3]
+    assert profile.table_profile(df.drop("id")).first().duplicate_rows == 1
+    assert df.select(row_block(F.col("x"), F.col("y")).alias("b")).distinct().count() == 4
+
+
+def test_names_points_and_run_state(spark):
+    mapping = spark.createDataFrame([("c0001", "Sales")], "column_id string, display_name string")
+    assert {r.display_name for r in tables.with_names(spark.createDataFrame([("c0001",), ("c0009",)], "column_id string"), mapping).collect()} == {"Sales", "c0009"}
+    df = spark.range(100).select("id", F.col("id").cast("double").alias("a"), F.when(F.col("id") % 2 == 0, F.col("id") * 2.0).alias("b"))
+    points = profile.pair_points(df, spark.createDataFrame([("a", "b")], "left string, right string"), "id", 10).collect()
+    assert len(points) == 10 and all(p.y == 2 * p.x for p in points)
+    said = [("candidate_started", "a", None, None), ("candidate_completed", "a", 2.0, 1), ("candidate_completed", "b", 1.0, 3), ("candidate_completed", "c", 1.0, 2), ("candidate_failed", "d", None, None), ("confirmation_started", None, None, None)]
+    log = spark.createDataFrame([(k, 1, kind, c, None, v, x, f"p{k}") for k, (kind, c, v, x) in enumerate(said)], "seq long, run_id long, event_type string, candidate_id string, unit_id string, value double, complexity int, payload string")
+    state = events.run_state(log).first()
+    assert state.ranking == ["c", "b", "a"] and state.confirming and state.confirmation == "p5" and state.decision is None
+    runs = spark.createDataFrame([(1, "failed")], "run_id long, status string")
+    assert {r.terminal for r in events.replay_run(log, runs, 2).collect()} == {True}
+
+
+def test_class_trajectory(spark):
+    rows = [("x", 1, "a", "a"), ("x", 1, "b", "a"), ("x", 2, "b", "b"), ("base", 1, "a", "a"), ("base", 2, "b", "a")]
+    pred = spark.createDataFrame(rows, "candidate_id string, unit_order int, actual string, predicted string")
+    labels = spark.createDataFrame([("a",), ("b",)], "label string")
+    got = {(r.candidate_id, r.unit_order): r.value for r in metrics.class_trajectory(pred, ["candidate_id"], labels, "balanced_accuracy").collect()}
+    assert got == {("x", 1): 0.5, ("x", 2): 0.75, ("base", 1): None, ("base", 2): 0.5}
+    beside = metrics.beside_baseline(metrics.class_trajectory(pred, ["candidate_id"], labels), "candidate_id", "base")
+    assert {r.unit_order: r.baseline_value for r in beside.collect()} == {1: None, 2: pytest.approx(1 / 3)}

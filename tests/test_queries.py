@@ -12,7 +12,7 @@ import __spark_entry__
 from tallywright.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-SOME = ("apply_recipe", "quarantine", "column_profile", "temporal_check", "classification_metrics", "group_folds", "selection_decision", "forecast_future", "live_state", "curve_shape", "parse_number_comma", "even_sample")
+SOME = ("apply_recipe", "quarantine", "column_profile", "temporal_check", "classification_metrics", "group_folds", "selection_decision", "forecast_future_sums", "live_state", "boxplots", "regression_metrics", "baseline_median", "scan_csv", "write_prepared", "missing_months", "curve_shape", "parse_number_comma", "even_sample")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are absent")
 
