@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import posixpath
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import TypeVar
 
@@ -16,27 +13,12 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywright.staging import materialize, shared_folder  # noqa: F401  the operators take them from here
+
 BYTE_BPE = "byte_bpe_50k.json"
 T = TypeVar("T")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; where that is unset (tests, local mode), below the machine's temp folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.gettempdir()}/tallywright-checkpoints"
-    return posixpath.join(base, f"tallywright-{uuid.uuid4().hex}")
-
-
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
-    path = posixpath.join(shared_folder(df.sparkSession), name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

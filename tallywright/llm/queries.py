@@ -91,4 +91,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_VECTORS = "SELECT vec_id, v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL) WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0"
+
+ORACLE_SQL: dict[str, str] = {
+    # both sides sum the products in the order of the components
+    "op10_nearest_neighbours": f"WITH f AS ({_VECTORS}), s AS (SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.v, r.v) AS score FROM f q JOIN f r ON r.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0) "
+    "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 20",
+}

@@ -3,8 +3,8 @@
 Documents are range-partitioned by id and sorted, encoded, and their ids written as raw little-endian unsigned integers, one shard
 file per partition. A key is (doc_id, occurrence): rows that repeat an id are numbered 0, 1, ... in file order. Keys are dealt by
 hash to index buckets; each bucket is a minimal perfect hash (cascaded bit arrays with ranks, "BBHash") whose slot holds a 32-bit
-fingerprint of the key, its shard, offset and length. A lookup reads one bucket header, one slot and one run of ids, whatever the
-corpus size.
+fingerprint of the key, its shard, offset and length. ``IndexReader`` looks up one key by a few reads of bounded size, whatever the
+corpus size; ``lookup`` joins many keys with their buckets, each bucket being read once for all of its keys.
 
 Defined results: a null text is empty (it still gets the end id); a null id sorts first and is a key of its own; repeated ids are
 kept, ordered by their text's hash; an empty table gives an index without buckets. All files go to the shared folder through
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ KEYS_PER_BUCKET = 1 << 16
 RECORD = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n_tokens", "<u8")])
 NULL_ID = -(1 << 63)  # stands for a null id inside files, beside a flag in the occurrence's sign
 GAMMA, LEVELS = 2.0, 24
+BLOCK = 512  # bits between stored ranks
 _U = np.uint64
 
 
@@ -81,8 +83,11 @@ class MinimalPerfectHash:
         return out
 
     def to_bytes(self) -> bytes:
+        """Sizes, the levels' bits, keys left over, and for every level the ranks at each BLOCK bits, so that one key can be looked up
+        by a few small reads."""
         head = struct.pack("<II", len(self.levels), len(self.left)) + b"".join(struct.pack("<I", len(b)) for b in self.levels)
-        return head + b"".join(b.tobytes() for b in self.levels) + self.left.astype("<u8").tobytes()
+        ranks = b"".join((base + r[:-1:BLOCK]).astype("<u4").tobytes() for base, r in zip(self.base, self.ranks, strict=False))
+        return head + b"".join(b.tobytes() for b in self.levels) + self.left.astype("<u8").tobytes() + ranks
 
     @classmethod
     def from_bytes(cls, data: bytes) -> MinimalPerfectHash:
@@ -195,10 +200,11 @@ def write_token_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     folder = folder or shared_folder(spark)
     width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
     slim = docs.select(F.col(id_col).cast("long").alias("__id"), text_or_empty(text_col).alias("__text"))
-    ordered = slim.repartitionByRange(F.col("__id")).sortWithinPartitions("__id", F.xxhash64("__text"), "__text")
+    # ranges take the text's hash in as well: rows of one id, or without an id, may fill several shards
+    ordered = slim.repartitionByRange(F.col("__id"), F.xxhash64("__text")).sortWithinPartitions("__id", F.xxhash64("__text"), "__text")
     rows = ordered.mapInArrow(_write_shards(f"{folder}/ids", tokenizer, width, end_id), "key_id long, occurrence long, shard int, file string, offset long, n_tokens long")
     rows.write.parquet(f"{folder}/catalog")
-    catalog = spark.read.schema(rows.schema).parquet(f"{folder}/catalog")
+    catalog = _numbered_through(spark.read.schema(rows.schema).parquet(f"{folder}/catalog"))
     # one row per shard file: its total, and the ids in all files before it
     shards = catalog.groupBy("shard", "file").agg(F.sum("n_tokens").alias("shard_tokens"), F.count(F.lit(1)).alias("shard_docs"))
     shards = shards.withColumn("base", F.sum("shard_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("shard_tokens"))
@@ -210,6 +216,82 @@ def write_token_store(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     return TokenStore(spark, folder, catalog, shards, materialize(buckets, "buckets"), n_buckets, width)
 
 
+def _numbered_through(catalog: DataFrame) -> DataFrame:
+    """Occurrences counted on from shard to shard where an id goes over an edge: it is the first one of the later shard then."""
+    key = [F.col("key_id"), (F.col("occurrence") < 0).alias("no_id")]
+    first = catalog.where(F.col("offset") == 0).select(*key).distinct()  # at most a row per shard
+    parts = catalog.select("shard", *key).join(F.broadcast(first), ["key_id", "no_id"]).groupBy("shard", "key_id", "no_id").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key_id", "no_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    carried = materialize(parts.withColumn("before", before).where(F.col("before").isNotNull()).select("shard", "key_id", "no_id", "before"), "carried")
+    if carried.limit(1).count() == 0:
+        return catalog
+    whole = catalog.withColumn("no_id", F.col("occurrence") < 0).join(F.broadcast(carried), ["shard", "key_id", "no_id"], "left")
+    step = F.coalesce("before", F.lit(0))
+    return whole.withColumn("occurrence", F.when(F.col("no_id"), F.col("occurrence") - step).otherwise(F.col("occurrence") + step)).select(*catalog.columns)
+
+
+class IndexReader:
+    """Keyed access from one process, without Spark jobs: it knows the names of the index and shard files (a row each), and a lookup
+    makes a few reads of bounded size whatever the corpus: sizes, a block of bits and its rank for each level tried, a slot, the ids."""
+
+    def __init__(self, store: TokenStore) -> None:
+        self.folder, self.width, self.n_buckets = store.folder, store.width, store.n_buckets
+        self.index = {r["bucket"]: r["index_file"] for r in store.buckets.collect()}
+        self.shard = {r["shard"]: r["file"] for r in store.shards.select("shard", "file").collect()}
+
+    def get(self, doc_id: int | None, occurrence: int = 0) -> np.ndarray | None:
+        """The ids of a document (of several rows with its id the ``occurrence``-th), or None."""
+        key, times = (NULL_ID, -1 - occurrence) if doc_id is None else (doc_id, occurrence)
+        digest = xxhash.xxh64_intdigest(struct.pack("<q", times), xxhash.xxh64_intdigest(struct.pack("<q", key), 42))
+        name = self.index.get((digest - (digest >> 63 << 64)) % self.n_buckets)
+        if name is None:
+            return None
+        store, path = open_store(f"{self.folder}/index")
+        with store.open_input_file(f"{path}/{name}") as f:
+            found = self._record(f, key, times)
+        if found is None:
+            return None
+        shard, offset, n = found
+        store, path = open_store(f"{self.folder}/ids")
+        with store.open_input_file(f"{path}/{self.shard[shard]}") as f:
+            return np.frombuffer(f.read_at(n * self.width, offset * self.width), f"<u{self.width}").astype("<u4")
+
+    def _record(self, f, key: int, times: int) -> tuple[int, int, int] | None:
+        head = f.read_at(32 + 4 * LEVELS, 0)
+        body, n_records, side, levels, left = struct.unpack_from("<QQQII", head)
+        sizes = struct.unpack_from(f"<{levels}I", head, 32)
+        if side:  # keys that share their whole 64-bit hash with another: hardly ever any
+            rest = np.frombuffer(f.read_at(40 * side, 24 + body + RECORD.itemsize * n_records), "<i8").reshape(-1, 5)
+            for r in rest:
+                if (r[0], r[1]) == (key, times):
+                    return int(r[2]), int(r[3]), int(r[4])
+        h = key_hash(np.array([key]), np.array([times]))
+        bits = 32 + 4 * levels
+        ranks = bits + sum(sizes) + 8 * left
+        for k, size in enumerate(sizes):
+            at = int(mixed(h, k)[0] % _U(8 * size))
+            block = np.unpackbits(np.frombuffer(f.read_at(min(BLOCK // 8, size - at // BLOCK * BLOCK // 8), bits + at // BLOCK * BLOCK // 8), np.uint8), bitorder="little")
+            if block[at % BLOCK]:
+                rank = struct.unpack("<I", f.read_at(4, ranks + 4 * (at // BLOCK)))[0] + int(block[: at % BLOCK].sum())
+                record = np.frombuffer(f.read_at(RECORD.itemsize, 24 + body + RECORD.itemsize * rank), RECORD)[0]
+                mark = fingerprints(np.array([key]), np.array([times]))[0]
+                return (int(record["shard"]), int(record["offset"]), int(record["n_tokens"])) if record["fingerprint"] == mark else None
+            bits += size
+            ranks += 4 * -(-8 * size // BLOCK)
+        return self._left_over(f, h, body, left, sizes, key, times) if left else None
+
+    @staticmethod
+    def _left_over(f, h: np.ndarray, body: int, left: int, sizes: tuple[int, ...], key: int, times: int) -> tuple[int, int, int] | None:
+        """Keys that no level settled (about one in ten million) stand sorted after the bits; their slots are the last ones."""
+        keys = np.frombuffer(f.read_at(8 * left, 32 + 4 * len(sizes) + sum(sizes)), "<u8")
+        at = int(np.searchsorted(keys, h[0]))
+        if at == left or keys[at] != h[0]:
+            return None
+        n_records = struct.unpack("<Q", f.read_at(8, 8))[0]
+        record = np.frombuffer(f.read_at(RECORD.itemsize, 24 + body + RECORD.itemsize * (n_records - left + at)), RECORD)[0]
+        return (int(record["shard"]), int(record["offset"]), int(record["n_tokens"])) if record["fingerprint"] == fingerprints(np.array([key]), np.array([times]))[0] else None
+
+
 def lookup(store: TokenStore, keys: DataFrame) -> DataFrame:
     """(key_id, occurrence) rows → those the index holds, with slot, fingerprint, shard, offset and n_tokens. Keys that are not in
     the store are left out (a foreign key passes its slot's fingerprint once in 2^32)."""

@@ -68,11 +68,35 @@ def test_token_index_round_trip(spark, reference):
     assert [r.start for r in ordered] == list(np.concatenate([[0], np.cumsum([r.n_tokens for r in ordered])])[:-1])
     keys = [-1 if r.doc_id is None else r.doc_id for r in ordered]
     assert keys == sorted(keys)
+    reader, of = token_index.IndexReader(store), {}
+    for i, t in rows:
+        of.setdefault(i, []).append([*reference.encode(t or "", add_special_tokens=False).ids, 0])
+    for i, several in of.items():
+        assert sorted(reader.get(i, k).tolist() for k in range(len(several))) == sorted(several) and reader.get(i, len(several)) is None
+    assert not any(reader.get(10_000 + k) is not None for k in range(50))
     unknown = spark.createDataFrame([(10_000 + k, 0) for k in range(50)], "key_id long, occurrence long")
     assert token_index.lookup(store, unknown).count() == 0
     assert token_index.documents_of(token_index.write_token_store(empty(spark), PATH)).count() == 0
 
 
+def test_token_index_splits_a_hot_id_over_shards(spark, reference):
+    rows = [(7, f"text {k} of the same id") for k in range(300)] + [(None, f"no id {k}") for k in range(200)] + [(k, "x") for k in (1, 9)]
+    df = spark.createDataFrame(rows, DOCS).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = token_index.write_token_store(df, PATH)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert store.catalog.where("key_id = 7").select("shard").distinct().count() > 1
+    got = token_index.documents_of(store).collect()
+    want = Counter((i, zlib.crc32(np.array([*reference.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, t in rows)
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
+    keys = [tuple(r) for r in store.catalog.select("key_id", "occurrence").collect()]
+    assert len(set(keys)) == len(rows) and sorted(o for k, o in keys if k == 7) == list(range(300))
+    reader = token_index.IndexReader(store)
+    assert all(reader.get(7, k) is not None for k in (0, 150, 299)) and reader.get(7, 300) is None and reader.get(None, 199) is not None
+
+
 def test_minimal_perfect_hash():
     keys = token_index.mixed(np.arange(5000, dtype=np.uint64), 9)
     h = token_index.MinimalPerfectHash.build(keys)
