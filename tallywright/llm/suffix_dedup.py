@@ -38,7 +38,6 @@ LENGTH = 400
 SEGMENT = 1 << 18  # windows worked on at once
 HOT, CELLS_PER_BUCKET = 2048, 20_000
 MOST_SENT = 1_000_000  # text hashes sent to every task; beyond it all texts are shuffled
-MOST_WORDS = 200_000  # whose hashes a worker keeps
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(1).integers(1 << 63, size=256, dtype=_U)
@@ -53,14 +52,6 @@ def _power_tables() -> tuple[np.ndarray, np.ndarray]:
         return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-class _Words(dict):
-    """Hash of each word met."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word, 23)
-        return h
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
     return h ^ (h >> _U(32))
@@ -76,11 +67,24 @@ def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
         return _mixed((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
 
 
-def _word_hashes(raw: bytes) -> np.ndarray:
-    known, words = kept("words", _Words), raw.split()
-    if len(known) > MOST_WORDS:
-        known.clear()
-    return np.fromiter(map(known.__getitem__, words), _U, len(words))
+def _word_hashes(raw: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, from running sums over stretches of bytes that the tables of powers cover."""
+    (up, down), data, a = kept("powers", _power_tables), np.frombuffer(raw, np.uint8), 0
+    out = np.empty(len(starts), _U)
+    with np.errstate(over="ignore"):
+        while a < len(starts):
+            s = starts[a]
+            b = int(np.searchsorted(stops, s + SEGMENT, "right"))
+            if b == a:  # a word beyond the tables
+                out[a] = xxhash.xxh64_intdigest(raw[s : stops[a]], 23)
+                a += 1
+                continue
+            n = int(stops[b - 1] - s)
+            sums = np.zeros(n + 1, _U)
+            np.cumsum(_BYTES[data[s : s + n]] * up[:n], out=sums[1:])
+            out[a:b] = _mixed((sums[stops[a:b] - s] - sums[starts[a:b] - s]) * down[starts[a:b] - s])
+            a = b
+    return out
 
 
 def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -119,19 +123,20 @@ class Windows:
 
     def grams(self) -> list[int]:
         least = min(8 if self.words else 64, self.size)
-        return sorted({least, (least + self.size) // 2, self.size - (self.size - least) // 16, self.size})
+        return sorted({least, self.size - (self.size - least) // 8, self.size})
 
     @property
     def least_bytes(self) -> int:
         return 2 * self.size - 1 if self.words else self.size
 
-    def cells(self, raw: bytes, gram: int) -> Iterator[tuple[int, int, int, int]]:
-        """(hash of the anchor's gram, where the anchor, the first window and the end of the last window are) of each cell."""
+    def cells(self, raw: bytes, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Arrays of (hash of the anchor's gram, where the anchor, the first window and the end of the last window are) of cells."""
         width = self.size - gram + 1
         if self.words:
-            h, (starts, stops) = _word_hashes(raw), word_bounds(raw)
-            if len(h) < self.size:
+            starts, stops = word_bounds(raw)
+            if len(starts) < self.size:
                 return
+            h = _word_hashes(raw, starts, stops)
             with np.errstate(over="ignore"):
                 total = np.zeros(len(h) - gram + 1, _U)
                 for k in range(gram):
@@ -148,7 +153,7 @@ class Windows:
                 at, first, last = starts[at], starts[first], stops[last + self.size - 1]
             else:
                 last = last + self.size
-            yield from zip(found.tolist(), at.tolist(), first.tolist(), last.tolist(), strict=True)
+            yield found, at, first, last
 
     def reaches(self, left: bytes, right: bytes) -> tuple[int, np.ndarray, np.ndarray]:
         """Of the windows of a cell, by their offset (units left of the anchor): the least offset, bytes left and bytes right of the
@@ -162,27 +167,24 @@ class Windows:
         return least, starts[least:], stops[::-1][: len(starts) - least]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _cells(windows: Windows, gram: int):
     """Texts → their cells, told by a hash of their bytes and of where the anchor lies in them."""
-    names, digest = ["anchor", "c0", "c1", "u0", "u1", "at", "before", "after", "copies"], xxhash.xxh3_128_intdigest
-    low = (1 << 64) - 1
+    names, digest = ["anchor", "c0", "c1", "u0", "u1", "at", "before", "after", "copies"], xxhash.xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in narrow(batches):
-            columns: list[list[int]] = [[] for _ in names]
-            for u0, u1, copies, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            of, columns, marks = [], [], []
+            for k, raw in enumerate(b.column(3).to_pylist()):
                 for anchor, at, first, stop in windows.cells(raw, gram):
-                    cell = digest(raw[first:stop], at - first)
-                    for c, v in zip(columns, (anchor, _signed(cell >> 64), _signed(cell & low), u0, u1, at, at - first, stop - at, copies), strict=True):
-                        c.append(v)
-                if len(columns[0]) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-                    columns = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+                    before = at - first
+                    marks += [digest(raw[x:y], z) for x, y, z in zip(first.tolist(), stop.tolist(), before.tolist(), strict=True)]
+                    columns.append((anchor, at, before, stop - at))
+                    of.append(np.full(len(at), k))
+            rows = np.concatenate(of) if of else np.zeros(0, np.int64)
+            anchor, at, before, after = (np.concatenate([c[k] for c in columns]).astype(np.int64) if columns else np.zeros(0, np.int64) for k in range(4))
+            cell = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
+            u0, u1, copies = (b.column(k).to_numpy()[rows] for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (anchor, cell[:, 0], cell[:, 1], u0, u1, at, before, after, copies)], names=names)
 
     return run
 
@@ -295,15 +297,18 @@ def _neighbours(shared: np.ndarray, reach: np.ndarray) -> np.ndarray:
 def repeated_windows(entries: list[tuple], shared: list[int], windows: Windows) -> list[tuple[int, int, int, int]]:
     """Of one anchor's different cells, sorted, with the prefixes shared by neighbours: (cell, bytes left and right of the anchor) of each
     run of windows that occurs elsewhere too."""
-    n, out = len(entries), []
-    if n == 1 and not entries[0][3]:
-        return out
-    reaches = [windows.reaches(left, key[8:]) for key, left, _, _ in entries]
-    for (_, _, cell, many), (_, left, right) in zip(entries, reaches, strict=True):
-        if many:
-            out.append((*cell, int(left[-1]), int(right[0])))
+    n = len(entries)
+    out = [(*cell, len(left), len(key) - 8) for key, left, cell, many in entries if many]  # all of its windows: all of its text
     if n == 1 or len(out) == n:
         return out
+    if n == 2 and not windows.words:
+        right, left = shared[1] - 8, common_prefix(entries[0][1], entries[1][1])
+        for key, before, cell, many in entries:
+            a, b = max(windows.size - len(key) + 8, windows.size - right), min(len(before), left)
+            if a <= b and not many:
+                out.append((*cell, b, windows.size - a))
+        return out
+    reaches = [windows.reaches(left, key[8:]) for key, left, _, _ in entries]
     least, stop = min(r[0] for r in reaches), max(r[0] + len(r[1]) for r in reaches)
     lefts, rights = np.full((n, stop - least), -1), np.full((n, stop - least), -1)
     for i, (first, left, right) in enumerate(reaches):
@@ -403,15 +408,16 @@ def repeated_spans(texts: DataFrame, windows: Windows, grams: list[int] | None =
     kinds = ", ".join(f"{c} long" for c in ("anchor", "c0", "c1", "u0", "u1", "at", "before", "after", "copies"))
     long_enough = texts.where(F.octet_length("raw") >= windows.least_bytes).select("u0", "u1", "copies", "raw")
     cells = materialize(long_enough.mapInArrow(_cells(windows, gram), kinds), "cells")
-    shared = materialize(cells.groupBy("anchor").agg(F.sum("copies").alias("n")).where(F.col("n") > 1).select("anchor"), "shared")
+    shared = cells.groupBy("anchor").agg(F.sum("copies").alias("n")).where(F.col("n") > 1).select("anchor")
     place = ["u0", "u1", "at", "before", "after"]
-    repeated = cells.join(shared, "anchor", "left_semi").groupBy("anchor", "c0", "c1", *place).agg(F.sum("copies").alias("copies"))
-    repeated = materialize(repeated, "repeated")
+    # written before it is grouped: a join that nothing else binds to its key may be split where one anchor has many rows
+    held = materialize(cells.join(shared, "anchor", "left_semi"), "held")
+    repeated = materialize(held.groupBy("anchor", "c0", "c1", *place).agg(F.sum("copies").alias("copies")), "repeated")
     distinct = repeated.groupBy("anchor", "c0", "c1").agg(F.sum("copies").alias("n"), F.min(F.struct(*place)).alias("one"))
     distinct = materialize(distinct.select("anchor", "c0", "c1", "n", "one.*"), "distinct")
     crowded = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") > HOT).select("anchor")
-    crowded = materialize(crowded, "crowded")
     any_crowded = bool(longer) and crowded.limit(1).count() > 0
+    crowded = materialize(crowded, "crowded") if any_crowded else crowded
     calm = distinct.join(crowded, "anchor", "left_anti") if any_crowded else distinct
     n_buckets = max(16, -(-calm.count() // CELLS_PER_BUCKET))
     runs = _with_cells(texts, calm).mapInArrow(_runs(n_buckets), "bucket long, run binary")
@@ -421,22 +427,22 @@ def repeated_spans(texts: DataFrame, windows: Windows, grams: list[int] | None =
         inner = materialize(_with_cells(texts, packed).mapInArrow(_cell_texts, "u0 long, u1 long, copies long, raw binary"), "crowded_cells")
         spans = repeated_spans(inner, windows, longer).withColumnsRenamed({"u0": "c0", "u1": "c1"})
         found = found.unionByName(spans.join(packed.select("c0", "c1", "before"), ["c0", "c1"]).select("c0", "c1", (F.col("before") - F.col("start")).alias("left"), (F.col("stop") - F.col("before")).alias("right")))
-    found = materialize(found, "found")
     return repeated.join(found, ["c0", "c1"]).select("u0", "u1", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("stop"))
 
 
-def _union(spans: list[tuple[int, int]]) -> list[list[int]]:
+def _union(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs covered by spans; touching runs are one."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+    if not len(starts):
+        return []
+    order = np.argsort(starts, kind="stable")
+    a, reach = starts[order], np.maximum.accumulate(stops[order])
+    new = np.concatenate([[True], a[1:] > reach[:-1]])
+    return list(zip(a[new].tolist(), reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(a) - 1]])].tolist(), strict=True))
 
 
-def _without(raw: bytes, runs: list[list[int]]) -> bytes:
+def _without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
+    if not runs:
+        return raw
     pieces, at = [], 0
     for a, b in runs:
         pieces.append(raw[at:a])
@@ -475,9 +481,12 @@ def deduplicate(docs: DataFrame, text_col: str = "text", result: str = "bytes",
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("cut", dict)
         for b in narrow(batches):
-            rows = []
-            for found, raw in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                gone, seen = (_union([(s["start"], s["stop"]) for s in found or () if s["kind"] == kind]) for kind in (0, 1))
+            rows, lists = [], b.column(b.num_columns - 2)
+            edges = lists.offsets.to_numpy()
+            which, start, stop = (c.to_numpy() for c in lists.values.flatten()) if len(lists.values) else [np.zeros(0, np.int64)] * 3
+            for k, raw in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                x, y = edges[k], edges[k + 1]
+                gone, seen = (_union(start[x:y][which[x:y] == kind], stop[x:y][which[x:y] == kind]) if y > x else [] for kind in (0, 1))
                 rows.append((len(raw), sum(y - x for x, y in gone), len(gone), finish(_without(raw, gone)), len(seen)))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary() if result == "bytes" else pa.string(), pa.int64())
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types)][: len(new)]
