@@ -1,10 +1,15 @@
-"""Tables written between steps, in a folder that the driver and all executors share."""
+"""Tables written between steps, in a folder that the driver and all executors share, and their removal.
+
+A table written by ``materialize`` stays until the ``scope`` around it ends: a DataFrame built on it may be read at any later time.
+"""
 
 from __future__ import annotations
 
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +24,26 @@ def shared_folder(spark: SparkSession) -> str:
     return posixpath.join(base, f"tallywright-{uuid.uuid4().hex}")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what ``materialize`` has written inside. Results to be kept are written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in _scopes.pop():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
     path = posixpath.join(shared_folder(df.sparkSession), name)
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(posixpath.dirname(path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
