@@ -114,6 +114,14 @@ def test_packing(spark, reference):
         assert r.offset == by_sequence.get(r.sequence_id, 0) and zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length
         by_sequence[r.sequence_id] = r.offset + r.length
     assert max(by_sequence.values()) <= 1024
+    seen = Counter(i for i, _ in rows)
+    for i, t in rows:
+        if seen[i] == 1:  # the pieces of a document are its ids, in order and without gaps
+            pieces, want = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start), [*reference.encode(t or "", add_special_tokens=False).ids, 0]
+            assert np.frombuffer(b"".join(bytes(p.ids) for p in pieces), "<u4").tolist() == want
+            assert [p.start for p in pieces] == list(np.concatenate([[0], np.cumsum([p.length for p in pieces])])[:-1]) and {p.doc_tokens for p in pieces} == {len(want)}
+    padded = [(n, 1024 - n) for n in by_sequence.values() if n & (n - 1)]
+    assert sum(p for _, p in padded) < 0.25 * total  # a handful of sequences, one cut short by the end of each partition
     assert packing.pack(empty(spark), PATH).count() == 0
 
 

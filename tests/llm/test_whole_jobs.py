@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallywright.llm import ann, decontam, suffix_dedup
+from tallywright.llm import ann, decontam, suffix_dedup, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -230,3 +230,107 @@ def test_op10_nearest_neighbours_holds_one_block_of_queries_at_a_time(spark, mon
         s = ann.scores(x[q], x)
         assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:5]
     assert most.value == 0 and 0 < calls.value < 9 * 8  # groups and blocks are about 9 and 8: far pairs are left out
+
+
+def brute_contaminated(docs, items, cover=0.8):
+    """(doc, class's least item) with the share of consistent windows, by comparing every document with every class."""
+    reader = decontam.Reader()
+    classes = {}
+    for i, t in items:
+        rows = decontam._rows_of(reader, t or "", None, None)
+        if rows:
+            classes.setdefault(frozenset((p, h) for p, h, _, _ in rows), []).append((i, rows))
+    shorter = sorted({z for held in classes.values() for _, rows in held for *_, z in rows if z < decontam.SIZE})
+    found = {}
+    for d, t in docs:
+        mine = decontam._rows_of(reader, t or "", None, shorter)
+        for held in classes.values():
+            item, rows = min(held)
+            n = max(p for p, *_ in rows) + 1
+            matched = set()
+            for shift in {p - q for p, h, *_ in mine for q, g, *_ in rows if h == g}:
+                pairs = {}
+                for p, h, s, _ in mine:
+                    for q, g, z, _ in rows:
+                        if h == g and p - q == shift:
+                            pairs[q] = max(pairs.get(q, (-1,)), (len(z), z, s))
+                values = {}
+                for _, z, s in pairs.values():
+                    for a, b in zip(z, s, strict=True):
+                        values.setdefault(a.split(":", 1)[1], set()).add(b.split(":", 1)[1])
+                matched |= {q for q, (_, z, _) in pairs.items() if all(len(values[a.split(":", 1)[1]]) == 1 for a in z)}
+            if len(matched) / n >= cover:
+                found[d, item] = len(matched)
+    return found
+
+
+def test_op9_decontamination_equals_brute_force(spark):
+    rng = random.Random(12)
+    plain, names, units = ["the", "cart", "moves", "along", "a", "road", "and", "stops", "near", "old", "mill", "with", "seven", "bags"], ["Tom", "Mia", "Leo", "Paris", "Oslo"], ["km", "kg", "hours"]
+    word = lambda: rng.choice(plain) if rng.random() < 0.6 else rng.choice(names) if rng.random() < 0.4 else f"{rng.randint(1, 40)} {rng.choice(units)}"
+    item = lambda: " ".join(word() for _ in range(rng.randint(3, 22))) + rng.choice([".", "?", ""])
+    items = [(k, item()) for k in range(25)]
+    items += [(30, items[0][1]), (31, None), (32, "")]
+    docs = []
+    for k in range(70):
+        t = rng.choice(items)[1] or ""
+        swaps = dict(zip(names, rng.sample(names, len(names)), strict=True)) if rng.random() < 0.6 else {}
+        t = " ".join(swaps.get(w, str(int(w) + 3) if w.isdigit() and rng.random() < 0.8 else w) for w in t.split())
+        if rng.random() < 0.3 and t:
+            w = t.split()
+            w[rng.randrange(len(w))] = rng.choice(plain)
+            t = " ".join(w)
+        docs.append((k, rng.choice(["", item() + " "]) + t + rng.choice(["", " " + item()])))
+    docs += [(90, None), (91, ""), (92, "word " * 4000), (93, docs[0][1])]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_contaminated(docs, items)
+    assert {(r.doc_id, r.item_id): r.n_matched for r in got} == want and len(want) > 15
+
+
+def test_op2_toxicity_scores_equal_the_model_text_by_text(spark):
+    """Scores in tasks, whatever is remembered, are those of the model applied to each text alone; labels that conflict count as toxic."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice(["ba", "co", "du", "fi"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)) + (" wretch vermin scoundrel" if i % 3 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (300, None), (301, ""), (302, "\t\n"), (303, "u" * 50_000), (303, "u" * 50_000)], "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("__label", F.lit(1))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows] + [(0, 0), (1, 1), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit_on(docs, labels, F.lit(True), sample=120)
+    got = toxicity.score_texts(docs, model).select("doc_id", "text", "score").collect()
+    known = model.evidence()
+    for r in got:
+        z = float(toxicity.summary([known[w] for w in toxicity.windows_of(r.text or "")]) @ np.array(model.weights)) + model.bias
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)))
+    assert len(got) == 305 and len({r.score for r in got if r.doc_id in (300, 301, 302)}) == 1
+
+
+def test_pipeline_on_nulls_copies_leaks_and_extra_columns(spark, tmp_path):
+    rng = random.Random(31)
+    words = ["".join(rng.choice(["an", "er", "ti", "on", "th", "he"]) for _ in range(rng.randint(1, 4))) for _ in range(500)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    insult = lambda t: t.replace(" ", " vermin ", 1) + " wretched cretin vermin wretched"
+    rows = [(i, insult(text(60)) if i % 4 == 0 else text(60)) for i in range(600)]
+    item = "a wagon leaves the old station at noon and needs seven hours to reach the harbour town"
+    passage = text(70)
+    rows += [(1000, None), (1001, ""), (1002, "  "), (1003, text(9000)), (1010, rows[1][1]), (1011, rows[1][1]), (1020, f"{text(30)} {item} {text(30)}"), (1030, f"{text(40)} {passage} {text(40)}"), (1031, f"{text(50)} {passage} {text(20)}"), (1010, rows[1][1])]
+    documents(spark, rows).withColumn("start", F.lit("clash")).withColumn("u0", F.lit(1.5)).withColumn("fp", F.lit("x")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(450)] + [(None, 1, None)], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == list(corpus_pipeline.COLUMNS)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        kept[name] = {r.doc_id: r.text for r in docs.collect()}
+    clean = {i for i, _ in rows if i % 4 and i < 600}
+    assert len(clean - set(kept["toxicity"])) <= 0.02 * len(clean) and sum(i % 4 == 0 for i in kept["toxicity"] if i < 600) < 30
+    near = kept["simhash_near_dedup"]
+    assert len({1, 1010, 1011} & set(near)) == 1 and len({1000, 1001, 1002} & set(near)) == 1 and {1003, 1030, 1031} <= set(near)
+    cut = kept["suffix_array_dedup"]
+    assert passage not in cut[1030] and passage not in cut[1031] and cut[1003] == near[1003]
+    assert 1020 in cut and 1020 not in kept["decontamination"] and set(cut) - {1020} == set(kept["decontamination"])
+    packed = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == set(kept["decontamination"])
+    assert {(r.doc_id, r.doc_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {(r.doc_id, r.doc_tokens) for r in packed}
+    empty = spark.createDataFrame([], docs.schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
