@@ -78,17 +78,18 @@ def best_cuts(cuts: np.ndarray, penalty: np.ndarray, limit: int) -> list[int]:
 def candidate_cuts(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cut positions from 0 to len(ids), with penalties."""
     n = len(ids)
-    after = np.flatnonzero(ends[ids]) + 1
-    cuts = np.union1d(np.union1d(after, doc_ends), [0, n])
-    gaps = np.diff(cuts)
-    extra = [np.arange(a + STRIDE, b, STRIDE) for a, b in zip(cuts[:-1][gaps > STRIDE], cuts[1:][gaps > STRIDE], strict=True)]
-    natural = cuts
-    if extra:
-        cuts = np.union1d(cuts, np.concatenate(extra))
-    penalty = np.full(len(cuts), MIDDLE_PENALTY)
-    penalty[np.searchsorted(cuts, natural)] = SENTENCE_PENALTY
-    penalty[np.searchsorted(cuts, doc_ends)] = 0
-    penalty[[0, -1]] = 0
+    natural, at_doc = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    natural[1:] = ends[ids]
+    at_doc[doc_ends] = at_doc[0] = at_doc[n] = True
+    natural |= at_doc
+    cuts = np.flatnonzero(natural)
+    long = np.flatnonzero(np.diff(cuts) > STRIDE)
+    between = natural.copy()
+    for a, b in zip(cuts[long], cuts[long + 1], strict=True):
+        between[a:b:STRIDE] = True
+    cuts = np.flatnonzero(between)
+    penalty = np.where(natural[cuts], SENTENCE_PENALTY, MIDDLE_PENALTY)
+    penalty[at_doc[cuts]] = 0
     return cuts, penalty
 
 
