@@ -294,6 +294,23 @@ def _neighbours(shared: np.ndarray, reach: np.ndarray) -> np.ndarray:
     return np.where(inside, out, -1)
 
 
+def _runs_of(hit: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
+
+
+def _paired(entries: list[tuple], reaches: list[tuple], right: int, left: int) -> list[tuple[int, int, int, int]]:
+    """``repeated_windows`` of two cells that have so many bytes in common on either side of the anchor."""
+    (first, left_a, right_a), (second, left_b, right_b) = reaches
+    low, high = max(first, second), min(first + len(left_a), second + len(left_b))
+    if low >= high:
+        return []
+    left_a, right_a = left_a[low - first : high - first], right_a[low - first : high - first]
+    left_b, right_b = left_b[low - second : high - second], right_b[low - second : high - second]
+    runs = _runs_of((left_a == left_b) & (left_a <= left) & (right_a == right_b) & (right_a <= right))
+    return [(*cell, int(left_a[b]), int(right_a[a])) for _, _, cell, many in entries if not many for a, b in runs]
+
+
 def repeated_windows(entries: list[tuple], shared: list[int], windows: Windows) -> list[tuple[int, int, int, int]]:
     """Of one anchor's different cells, sorted, with the prefixes shared by neighbours: (cell, bytes left and right of the anchor) of each
     run of windows that occurs elsewhere too."""
@@ -308,7 +325,22 @@ def repeated_windows(entries: list[tuple], shared: list[int], windows: Windows)
             if a <= b and not many:
                 out.append((*cell, b, windows.size - a))
         return out
+    # what reaches too little in common with any neighbour on both sides together is in no window of another's
+    order = sorted(range(n), key=lambda i: entries[i][1])
+    before = [0, *[common_prefix(entries[i][1], entries[j][1]) for i, j in zip(order[:-1], order[1:], strict=True)], 0]
+    most_left = dict(zip(order, map(max, before[:-1], before[1:]), strict=True))
+    most_right = [max(a, b) - 8 for a, b in zip([8, *shared[1:]], [*shared[1:], 8], strict=True)]
+    kept_ones = [i for i in range(n) if most_right[i] + most_left[i] >= windows.least_bytes]
+    if len(kept_ones) < 2:
+        return out
+    if len(kept_ones) < n:
+        shared = [0, *[min(shared[a + 1 : b + 1]) for a, b in zip(kept_ones[:-1], kept_ones[1:], strict=True)]]
+        entries, n = [entries[i] for i in kept_ones], len(kept_ones)
+        order = sorted(range(n), key=lambda i: entries[i][1])
+        before = [0, *[common_prefix(entries[i][1], entries[j][1]) for i, j in zip(order[:-1], order[1:], strict=True)], 0]
     reaches = [windows.reaches(left, key[8:]) for key, left, _, _ in entries]
+    if n == 2:
+        return out + _paired(entries, reaches, shared[1] - 8, before[1])
     least, stop = min(r[0] for r in reaches), max(r[0] + len(r[1]) for r in reaches)
     lefts, rights = np.full((n, stop - least), -1), np.full((n, stop - least), -1)
     for i, (first, left, right) in enumerate(reaches):
@@ -320,10 +352,8 @@ def repeated_windows(entries: list[tuple], shared: list[int], windows: Windows)
     base = int(possible.argmax())
     lefts, rights = lefts[:, base:], rights[:, base:]
     right_class = _neighbours(np.array([0, *[s - 8 for s in shared[1:]]]), rights)
-    order = sorted(range(n), key=lambda i: entries[i][1])
-    before = [0, *[common_prefix(entries[i][1], entries[j][1]) for i, j in zip(order[:-1], order[1:], strict=True)]]
     left_class = np.empty_like(right_class)
-    left_class[order] = _neighbours(np.array(before), lefts[order])
+    left_class[order] = _neighbours(np.array(before[:-1]), lefts[order])
     # number the classes of both sides together, offset by offset
     both = np.where(rights >= 0, right_class.astype(np.int64) * (int(left_class.max()) + 2) + left_class, -1 - np.arange(n)[:, None])
     rank = np.argsort(both, axis=0, kind="stable")
@@ -336,8 +366,7 @@ def repeated_windows(entries: list[tuple], shared: list[int], windows: Windows)
     np.put_along_axis(hit, rank, again, 0)
     for i in np.flatnonzero(hit.any(1)):
         if not entries[i][3]:
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], hit[i].astype(np.int8), [0]])))
-            out += [(*entries[i][2], int(lefts[i, b - 1]), int(rights[i, a])) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+            out += [(*entries[i][2], int(lefts[i, b]), int(rights[i, a])) for a, b in _runs_of(hit[i])]
     return out
 
 
@@ -408,11 +437,10 @@ def repeated_spans(texts: DataFrame, windows: Windows, grams: list[int] | None =
     kinds = ", ".join(f"{c} long" for c in ("anchor", "c0", "c1", "u0", "u1", "at", "before", "after", "copies"))
     long_enough = texts.where(F.octet_length("raw") >= windows.least_bytes).select("u0", "u1", "copies", "raw")
     cells = materialize(long_enough.mapInArrow(_cells(windows, gram), kinds), "cells")
-    shared = cells.groupBy("anchor").agg(F.sum("copies").alias("n")).where(F.col("n") > 1).select("anchor")
+    # written, so that the join has an exchange on either side and may be split where one anchor has many rows
+    shared = materialize(cells.groupBy("anchor").agg(F.sum("copies").alias("n")).where(F.col("n") > 1).select("anchor"), "shared")
     place = ["u0", "u1", "at", "before", "after"]
-    # written before it is grouped: a join that nothing else binds to its key may be split where one anchor has many rows
-    held = materialize(cells.join(shared, "anchor", "left_semi"), "held")
-    repeated = materialize(held.groupBy("anchor", "c0", "c1", *place).agg(F.sum("copies").alias("copies")), "repeated")
+    repeated = materialize(cells.join(shared, "anchor", "left_semi"), "repeated")
     distinct = repeated.groupBy("anchor", "c0", "c1").agg(F.sum("copies").alias("n"), F.min(F.struct(*place)).alias("one"))
     distinct = materialize(distinct.select("anchor", "c0", "c1", "n", "one.*"), "distinct")
     crowded = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") > HOT).select("anchor")
