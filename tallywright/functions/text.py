@@ -8,6 +8,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: what the name of an identifier column looks like
 ID_NAME = re.compile(r"(^id$|_id$|^id_|uuid|codigo|code$|numero$|operacion)")
 
 

@@ -145,46 +145,81 @@ def top_pairs(corr: DataFrame, k: int = 3) -> DataFrame:
     return corr.where(F.col("r").isNotNull()).orderBy(F.desc(F.abs("r")), F.desc("left"), F.desc("right")).limit(k)
 
 
+def _written(c: str) -> Column:
+    """The trimmed text of a cell, null where it is blank."""
+    text = trim_text(F.col(f"`{c}`").cast("string"))
+    return F.when(text != "", text)
+
+
+def _number_counts(v: Column) -> dict[str, Column]:
+    bare = F.regexp_replace(v, r"(S/|US\$|PEN|USD|EUR|[$€%\s])", "")
+    tail = lambda mark: v.rlike(rf"[{mark}]\d{{1,4}}\s*%?$")
+    return {
+        "n": F.count(v),
+        "ok": F.count_if(bare.rlike(r"^[+\-]?\d[\d.,]*$")),
+        "pct": F.count_if(v.endswith("%")),
+        "comma": F.count_if(tail(",")),
+        "dot": F.count_if(tail(".")),
+        "has_comma": F.count_if(F.contains(v, F.lit(","))),
+        "has_dot": F.count_if(F.contains(v, F.lit("."))),
+        **{c: F.count_if(has_currency(v, c)) for c in CURRENCIES},
+    }
+
+
+def _date_counts(v: Column) -> dict[str, Column]:
+    day_first = v.rlike(DAY_FIRST)
+    a = F.when(day_first, F.regexp_extract(v, r"^(\d{1,2})", 1).cast("int"))
+    b = F.when(day_first, F.regexp_extract(v, r"^\d{1,2}[-/](\d{1,2})", 1).cast("int"))
+    return {"n": F.count(v), "iso": F.count_if(v.rlike(ISO)), "dmy": F.count_if(day_first), "ambiguous": F.coalesce(F.bool_or((a <= 12) & (b <= 12)), F.lit(False))}
+
+
+def _share(g: dict[str, Column], what: Column) -> Column:
+    return what / F.nullif(g["n"], F.lit(0))
+
+
 def numeric_pattern(df: DataFrame, column: str) -> DataFrame:
     """One row: how a text column writes numbers: n, share parsed, percent, decimal mark, thousands mark, currency, mixed."""
-    text = trim_text(F.col(f"`{column}`").cast("string"))
-    v = df.select(F.when(text != "", text).alias("v")).where(F.col("v").isNotNull())
-    signs = {c: has_currency(F.col("v"), c) for c in CURRENCIES}
-    bare = F.regexp_replace("v", r"(S/|US\$|PEN|USD|EUR|[$€%\s])", "")
-    tail = lambda mark: F.col("v").rlike(rf"[{mark}]\d{{1,4}}\s*%?$")
-    counts = v.agg(F.count(F.lit(1)).alias("n"), F.count_if(bare.rlike(r"^[+\-]?\d[\d.,]*$")).alias("ok"), F.count_if(F.col("v").endswith("%")).alias("pct"), F.count_if(tail(",")).alias("comma"), F.count_if(tail(".")).alias("dot"), F.count_if(F.contains("v", F.lit(","))).alias("has_comma"), F.count_if(F.contains("v", F.lit("."))).alias("has_dot"), *[F.count_if(s).alias(c) for c, s in signs.items()])
-    least = F.greatest(F.lit(2), F.ceil(F.col("n") * 0.6))
-    decimal = F.when((F.col("comma") >= least) & (F.col("comma") > F.col("dot")), ",").when((F.col("dot") >= least) & (F.col("dot") >= F.col("comma")), ".")
-    found = F.array_compact(F.array(*[F.when(F.col(c) > 0, c) for c in CURRENCIES]))
-    return counts.select("n", (F.col("ok") / F.nullif(F.col("n"), F.lit(0))).alias("share"), (F.col("pct") >= 0.8 * F.col("n")).alias("percent"), decimal.alias("decimal_mark"), F.when((decimal == ",") & (F.col("has_dot") >= 2), ".").when((decimal == ".") & (F.col("has_comma") >= 2), ",").alias("thousands_mark"), F.when(F.size(found) == 1, found[0]).alias("currency"), (F.size(found) > 1).alias("mixed"))
+    aggregates = _number_counts(_written(column))
+    g = {k: F.col(f"`{k}`") for k in aggregates}
+    least = F.greatest(F.lit(2), F.ceil(g["n"] * 0.6))
+    decimal = F.when((g["comma"] >= least) & (g["comma"] > g["dot"]), ",").when((g["dot"] >= least) & (g["dot"] >= g["comma"]), ".")
+    found = F.array_compact(F.array(*[F.when(g[c] > 0, c) for c in CURRENCIES]))
+    counts = df.agg(*[v.alias(k) for k, v in aggregates.items()])
+    return counts.select("n", _share(g, g["ok"]).alias("share"), (g["pct"] >= 0.8 * g["n"]).alias("percent"), decimal.alias("decimal_mark"), F.when((decimal == ",") & (g["has_dot"] >= 2), ".").when((decimal == ".") & (g["has_comma"] >= 2), ",").alias("thousands_mark"), F.when(F.size(found) == 1, found[0]).alias("currency"), (F.size(found) > 1).alias("mixed"))
 
 
 def date_pattern(df: DataFrame, column: str) -> DataFrame:
     """One row: n, share, ambiguous, recommended order of a text column that may hold dates."""
-    text = trim_text(F.col(f"`{column}`").cast("string"))
-    v = df.select(F.when(text != "", text).alias("v")).where(F.col("v").isNotNull())
-    day_first = F.col("v").rlike(DAY_FIRST)
-    a = F.when(day_first, F.regexp_extract("v", r"^(\d{1,2})", 1).cast("int"))
-    b = F.when(day_first, F.regexp_extract("v", r"^\d{1,2}[-/](\d{1,2})", 1).cast("int"))
-    c = v.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v").rlike(ISO)).alias("iso"), F.count_if(day_first).alias("dmy"), F.coalesce(F.bool_or((a <= 12) & (b <= 12)), F.lit(False)).alias("ambiguous"))
-    share = F.greatest("iso", "dmy") / F.nullif(F.col("n"), F.lit(0))
-    return c.select("n", share.alias("share"), "ambiguous", F.when((share >= 0.9) & (F.col("iso") >= F.col("dmy")), "YMD").when((share >= 0.9) & ~F.col("ambiguous"), "DMY").alias("recommended"))
+    aggregates = _date_counts(_written(column))
+    g = {k: F.col(k) for k in aggregates}
+    share = _share(g, F.greatest("iso", "dmy"))
+    counts = df.agg(*[v.alias(k) for k, v in aggregates.items()])
+    return counts.select("n", share.alias("share"), "ambiguous", F.when((share >= 0.9) & (g["iso"] >= g["dmy"]), "YMD").when((share >= 0.9) & ~g["ambiguous"], "DMY").alias("recommended"))
+
+
+def _text_patterns(df: DataFrame) -> DataFrame:
+    """c, number, mixed, date, ambiguous, trim, blank of each text column, a chunk of columns per pass."""
+    texts, out = [c for c, k in df.dtypes if k == "string"], None
+    for k in range(0, len(texts), CHUNK):
+        part, wide, rows = texts[k : k + CHUNK], [], []
+        for i, c in enumerate(part):
+            t = F.col(f"`{c}`")
+            own = {"trim": F.bool_or(trim_text(t) != t), "blank": F.bool_or(trim_text(t) == "")}
+            aggregates = {**_number_counts(_written(c)), **_date_counts(_written(c)), **own}
+            wide += [v.alias(f"{i} {n}") for n, v in aggregates.items()]
+            g = {n: F.col(f"`{i} {n}`") for n in aggregates}
+            used = sum((F.when(g[x] > 0, 1).otherwise(0) for x in CURRENCIES), F.lit(0))
+            rows.append(F.struct(F.lit(c).alias("c"), (_share(g, g["ok"]) >= 0.9).alias("number"), (used > 1).alias("mixed"), (_share(g, F.greatest(g["iso"], g["dmy"])) >= 0.9).alias("date"), g["ambiguous"].alias("ambiguous"), g["trim"].alias("trim"), g["blank"].alias("blank")))
+        found = df.agg(*wide).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return df.sparkSession.createDataFrame([], "c string, number boolean, mixed boolean, date boolean, ambiguous boolean, trim boolean, blank boolean")
+    return out
 
 
 def suggest_preparation(df: DataFrame) -> DataFrame:
     """column_id, type, role, trim, empty_to_null, alert."""
-    kinds, out = dict(df.dtypes), None
-    base = column_profile(df)
-    texts = [c for c, k in kinds.items() if k == "string"]
-    for c in texts:
-        n = numeric_pattern(df, c).select(F.lit(c).alias("c"), (F.col("share") >= 0.9).alias("number"), "mixed")
-        d = date_pattern(df, c).select(F.lit(c).alias("c"), (F.col("share") >= 0.9).alias("date"), "ambiguous")
-        t = F.col(f"`{c}`")
-        s = df.agg(F.bool_or(trim_text(t) != t).alias("trim"), F.bool_or(trim_text(t) == "").alias("blank")).withColumn("c", F.lit(c))
-        row = n.join(d, "c").join(s, "c")
-        out = row if out is None else out.unionByName(row)
-    if out is None:
-        out = df.sparkSession.createDataFrame([], "c string, number boolean, mixed boolean, date boolean, ambiguous boolean, trim boolean, blank boolean")
+    base, out = column_profile(df), _text_patterns(df)
     j = base.join(out, base.column_id == out.c, "left")
     no = F.lit(False)
     date, number = F.coalesce("date", no), F.coalesce("number", no)

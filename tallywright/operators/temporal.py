@@ -40,7 +40,8 @@ def temporal_check(df: DataFrame, date: str, keys: list[str] | None = None) -> D
     keys = keys or []
     d = df.select(*keys, F.col(date).try_cast("date").alias("d"))
     # distinct dates are few for each series; gaps between them need one ordered pass over those only
-    days = d.where(F.col("d").isNotNull()).groupBy(*keys, "d").count()
+    counted = d.groupBy(*keys, "d").count()
+    days = counted.where(F.col("d").isNotNull())
     gaps = days.withColumn("gap", F.datediff("d", F.lag("d").over(Window.partitionBy(*keys, F.lit(0)).orderBy("d"))))
     repeats = F.sum(F.col("count") - 1)  # rows on a date already seen: gaps of zero days
     spread = gaps.groupBy(*keys, F.col("gap").alias("gap")).agg(F.count(F.lit(1)).alias("n"), repeats.alias("zero"))
@@ -49,7 +50,7 @@ def temporal_check(df: DataFrame, date: str, keys: list[str] | None = None) -> D
     median = weights.groupBy(*keys).agg(F.expr("percentile(gap, 0.5D, n)").alias("median_gap"))
     months = days.groupBy(*keys, month_start(F.col("d")).alias("month")).agg(F.sum("count").alias("rows"))
     observed = months.groupBy(*keys).agg(F.count(F.lit(1)).alias("observed_months"), F.coalesce(F.sum(F.when(F.col("rows") > 1, F.col("rows"))), F.lit(0)).cast("long").alias("rows_in_repeated_months"), F.min("month").alias("m0"), F.max("month").alias("m1"))
-    basic = d.groupBy(*keys).agg(F.min("d").alias("first_date"), F.max("d").alias("last_date"), F.count_if(F.col("d").isNull()).alias("invalid_dates"))
+    basic = counted.groupBy(*keys).agg(F.min("d").alias("first_date"), F.max("d").alias("last_date"), F.coalesce(F.sum(F.when(F.col("d").isNull(), F.col("count"))), F.lit(0)).cast("long").alias("invalid_dates"))
     if keys:
         joined = basic.join(observed, keys, "left").join(median, keys, "left")
     else:  # one row each
