@@ -9,9 +9,9 @@ Fingerprints link at a Hamming distance of at most r = 3. Each bit position gets
 less than the whole space, so some v is orthogonal to all of them: in that table the two fingerprints agree. No pair is missed.
 
 Work is on distinct fingerprints. A bucket's fingerprints are compared in blocks and only a spanning forest of its links leaves the
-task. Buckets of over ``HOT`` fingerprints are keyed once more, by covering masks over the bits the first mask left free: what then
-shares a bucket agrees in about 48 of 64 bits, and is compared in blocks of bounded memory. Components come from large-star /
-small-star rounds over the links.
+task. Buckets of over ``HOT`` fingerprints are keyed once more, by covering masks over the bits the first mask left free. What then
+shares a bucket differs in at most 16 bits, so that a bucket holds at most 65,536 distinct fingerprints however large the corpus; it is
+compared in blocks of bounded memory. Components come from large-star / small-star rounds over the links.
 
 Defined results: null and empty texts have fingerprint zero and are linked with each other like any other; repeated rows share a
 fingerprint and component; a component's id is its smallest non-null doc_id (null if it has none); null ids keep their rows.

@@ -227,6 +227,12 @@ def test_covering_masks_cover():
         assert any(flip & m == 0 for m in masks)
 
 
+def test_twice_masked_simhash_buckets_are_bounded():
+    for mask in simhash.covering_masks(list(range(64))):
+        free = [b for b in range(64) if not mask >> b & 1]
+        assert all(sum(not again >> b & 1 for b in free) <= 16 for again in simhash.covering_masks(free))
+
+
 def test_components_on_a_long_path(spark):
     links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.createDataFrame([(1000, 1001), (1001, 1000), (5, 5)], "a long, b long"))
     got = {r.node: r.root for r in components.connected_components(links).collect()}
