@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.common import kept, materialize, narrow, text_or_empty
+from tallywright.staging import scope, shared_folder
 
 LENGTH = 400
 SEGMENT = 1 << 18  # windows worked on at once
@@ -491,10 +492,14 @@ def deduplicate(docs: DataFrame, text_col: str = "text", result: str = "bytes",
     # the columns come under numbers: their names may be those used here
     hashed = docs.select(F.xxhash64(F.lit(3), raw).alias("u0"), F.xxhash64(F.lit(5), raw).alias("u1"), *[F.col(f"`{f.name}`").alias(f"k{n}") for n, f in enumerate(others)], raw.alias("raw"))
     texts = hashed.select("u0", "u1", F.lit(1).cast("long").alias("copies"), "raw")
-    spans = None
+    spark, spans = docs.sparkSession, None
     for kind, w in ((0, Windows(words, True) if words else Windows(length)), (1, Windows(passages, True) if passages else None)):
         if w:
-            found = repeated_spans(texts, w).select("u0", "u1", F.struct(F.lit(kind).alias("kind"), "start", "stop").alias("span"))
+            path = f"{shared_folder(spark)}/spans{kind}"
+            with scope(spark):  # cells and runs go once the spans stand
+                found = repeated_spans(texts, w).select("u0", "u1", F.struct(F.lit(kind).alias("kind"), "start", "stop").alias("span")).distinct()
+                found.write.parquet(path)
+            found = spark.read.schema(found.schema).parquet(path)
             spans = found if spans is None else spans.unionByName(found)
     per_text = materialize(spans.groupBy("u0", "u1").agg(F.collect_set("span").alias("spans")), "spans")
     keys = per_text.select("u0").distinct()
