@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import ann, decontam, language_id, packing, sharding, simhash, suffix_dedup, token_counts, token_index, toxicity
+from tallywright.llm import ann, decontam, filter_audit, language_id, packing, sharding, simhash, suffix_dedup, token_counts, token_index, toxicity
 from tallywright.llm.common import BYTE_BPE, crc_of_id, materialize, table, text_or_empty
 
 SHARDS = 16
@@ -78,6 +78,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.mask_cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
     "op2_toxicity": op2_toxicity,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _VECTORS = "SELECT vec_id, v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL) WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0"
@@ -97,4 +102,13 @@ ORACLE_SQL: dict[str, str] = {
     # both sides sum the products in the order of the components
     "op10_nearest_neighbours": f"WITH f AS ({_VECTORS}), s AS (SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.v, r.v) AS score FROM f q JOIN f r ON r.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0) "
     "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 20",
+    "op13_filter_audit": f"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS v, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(marks.toxic, 0) AS toxic, len(v) < 200 AS a, 100 * len(list_distinct(v)) < 50 * len(v) AS b, 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > least, false) AS e FROM w LEFT JOIN marks USING (doc_id)),
+mask AS (SELECT part, good, toxic, (CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END) AS mask, count(*) AS n FROM m GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || u.x AS filter_order FROM l p JOIN l q ON q.x <> p.x JOIN l r ON r.x NOT IN (p.x, q.x) JOIN l s ON s.x NOT IN (p.x, q.x, r.x) JOIN l u ON u.x NOT IN (p.x, q.x, r.x, s.x)),
+f AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, n, good, toxic, mask, contains(mask, substr(filter_order, step, 1)) AS fails, regexp_matches(substr(filter_order, 1, step - 1), '[' || mask || '0]') AS gone FROM mask, o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+t AS (SELECT part, filter_order, step, letter, sum(n) FILTER (NOT fails AND NOT gone) AS kept, sum(n) FILTER (fails AND NOT gone) AS removed, sum(n) FILTER (fails AND gone) AS redundant, sum(n) FILTER (mask = letter) AS unique_fails, sum(n * good) FILTER (fails AND NOT gone) AS good_lost, sum(n * toxic) FILTER (fails AND NOT gone) AS toxic_lost FROM f GROUP BY ALL)
+SELECT part, filter_order, step, {', '.join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))}, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM t""",
 }
