@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import ann, decontam, filter_audit, language_id, packing, sharding, simhash, suffix_dedup, token_counts, token_index, toxicity
+from tallywright.llm import ann, bpe_trie, decontam, filter_audit, language_id, packing, sharding, simhash, suffix_dedup, token_counts, token_index, toxicity
 from tallywright.llm.common import BYTE_BPE, crc_of_id, materialize, table, text_or_empty
 
 SHARDS = 16
@@ -78,6 +78,12 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe_trie.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), decoded_col="decoded")
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return done.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), digest("token_ids").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.mask_cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_bpe_trie": op11_bpe_trie,
     "op13_filter_audit": op13_filter_audit,
 }
 
