@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import ann, bpe_trie, decontam, filter_audit, language_id, packing, sharding, simhash, suffix_dedup, token_counts, token_index, toxicity
+from tallywright.llm import ann, bpe_trie, decontam, filter_audit, hard_negatives, language_id, packing, sharding, simhash, suffix_dedup, token_counts, token_index, toxicity
 from tallywright.llm.common import BYTE_BPE, crc_of_id, materialize, table, text_or_empty
 
 SHARDS = 16
@@ -84,6 +84,11 @@ def op11_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), digest("token_ids").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.mask_cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_bpe_trie": op11_bpe_trie,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -109,6 +115,11 @@ ORACLE_SQL: dict[str, str] = {
     # both sides sum the products in the order of the components
     "op10_nearest_neighbours": f"WITH f AS ({_VECTORS}), s AS (SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.v, r.v) AS score FROM f q JOIN f r ON r.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0) "
     "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 20",
+    "op12_hard_negatives": """WITH r AS (SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.n, a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score FROM r a JOIN r ON r.n <> a.n AND len(a.v) = len(r.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT n, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS place FROM s WHERE same QUALIFY place <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.n, place ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s ON s.n = p.n AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10""",
     "op13_filter_audit": f"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS v, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
 marks AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
 m AS (SELECT part, coalesce(good, 0) AS good, coalesce(marks.toxic, 0) AS toxic, len(v) < 200 AS a, 100 * len(list_distinct(v)) < 50 * len(v) AS b, 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > least, false) AS e FROM w LEFT JOIN marks USING (doc_id)),
