@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywright.operators import profile, tables
 from tallywright.operators import recipe as R
@@ -30,11 +31,21 @@ def scan_csv(spark, sf):
     return files.read_csv(spark, path, sep=sep, schema=orders.schema).withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
-@query("inspect_files")
+@query("scan_csv_quoted", "SELECT doc_id, lang, sha256(text) AS text_sha256 FROM documents WHERE doc_id IS NOT NULL")
+def scan_csv_quoted(spark, sf):
+    """Documents, whose texts hold quotes and line breaks, written as quoted cells and read by as many tasks as their files have splits."""
+    path = _folder(spark, "documents-csv")
+    read(spark, sf, "documents").select("doc_id", "lang", "text").write.option("escape", '"').csv(path, header=True)
+    back = files.read_csv(spark, path, schema=T.StructType().add("doc_id", "long").add("lang", "string").add("text", "string"))
+    return back.select("doc_id", "lang", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("inspect_files", "SELECT 'utf-8' AS encoding, '|' AS delimiter, CAST(sum(strlen(c_custkey || '|' || c_name || '|' || c_nationkey || '|' || c_mktsegment) + 1) AS BIGINT) AS size_bytes FROM customer")
 def inspect_files(spark, sf):
-    path = _folder(spark, "nations-csv")
-    read(spark, sf, "customer").write.csv(path, sep="|", header=True)
-    return files.inspect_csv(spark, f"{path}/*.csv").select("encoding", "delimiter", "size_bytes")
+    """Customers written with bars; what inspection says of the files, and their bytes together."""
+    path = _folder(spark, "customers-csv")
+    read(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").write.csv(path, sep="|")
+    return files.inspect_csv(spark, f"{path}/*.csv").groupBy("encoding", "delimiter").agg(F.sum("size_bytes").alias("size_bytes"))
 
 
 @query("table_shape", "SELECT 'lineitem' AS table_name, count(*) AS row_count, CAST(11 AS BIGINT) AS column_count FROM lineitem UNION ALL SELECT 'orders', count(*), CAST(6 AS BIGINT) FROM orders")

@@ -2,48 +2,105 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.functions.text import formula_safe
+from tallywright.sources.records import records
 
 SEPARATORS = (",", ";", "\t", "|")
 ENCODINGS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1"}
 HEAD_BYTES, MOST_COLUMNS = 65_536, 300
 
 
+def header_names(record: str, sep: str) -> list[str]:
+    """Names in a header record: trimmed; an empty one is ``_c`` and its place, one that is met again has its place after it."""
+    cells = [c.strip() for c in next(csv.reader(io.StringIO(record, newline=""), delimiter=sep))]
+    if len(cells) > MOST_COLUMNS:
+        raise ValueError("MAX_COLUMNS_EXCEEDED")
+    again = {c for c in cells if cells.count(c) > 1}
+    return [f"_c{k}" if not c else f"{c}{k}" if c in again else c for k, c in enumerate(cells)]
+
+
+# types of a column of text, the narrowest first, with what all of its cells must be
+_KINDS = (
+    ("int", lambda c: c.rlike(r"^[+-]?[0-9]+$") & c.try_cast("int").isNotNull()),
+    ("bigint", lambda c: c.rlike(r"^[+-]?[0-9]+$") & c.try_cast("bigint").isNotNull()),
+    ("double", lambda c: c.rlike(r"[0-9]$|^[+-]?(Inf|NaN)$|[.]$") & c.try_cast("double").isNotNull()),
+    ("date", lambda c: c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & c.try_cast("date").isNotNull()),
+    ("timestamp", lambda c: c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}") & c.try_cast("timestamp").isNotNull()),
+    ("boolean", lambda c: F.lower(c).isin("true", "false")),
+)
+
+
+def _inferred(cells: DataFrame) -> list[str]:
+    """The narrowest type of each column, from one pass over all cells; text where there are none."""
+    checks = [F.coalesce(F.bool_and(fits(F.col(c))), F.lit(False)).alias(f"{c}_{k}") for c in cells.columns for k, (_, fits) in enumerate(_KINDS)]
+    told = cells.agg(*checks).first()
+    return [next((kind for k, (kind, _) in enumerate(_KINDS) if told[f"{c}_{k}"]), "string") for c in cells.columns]
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8", header_row: int = 0, schema: T.StructType | None = None) -> DataFrame:
-    """Delimited files. With ``header_row`` = n the first n records of each file are skipped and the next names the columns; blank lines
-    are no records. Quoted cells may hold line breaks, so a file is read by one task: large data come as many files.
+    """Delimited files. With ``header_row`` = n the first n records of each file are skipped and the next names the columns (those of
+    the first file by name); blank lines are no records. Quoted cells may hold line breaks, and a file is read by as many tasks as it
+    has splits all the same (see ``records``). Lines end with LF or CRLF.
 
-    Without a schema, types are inferred where the header comes first; below skipped records every column is text. At most
-    ``MOST_COLUMNS`` columns are read there."""
+    Without a schema, types are inferred from all rows where the header comes first; below skipped records every column is text. Over
+    ``MOST_COLUMNS`` columns are refused with MAX_COLUMNS_EXCEEDED, a missing header with HEADER_MISSING."""
     if sep not in SEPARATORS or encoding not in ENCODINGS or not 0 <= header_row <= 99:
         raise ValueError("UNSUPPORTED_DIALECT")
-    options = {"sep": sep, "encoding": ENCODINGS[encoding], "mode": "PERMISSIVE", "multiLine": True, "quote": '"', "escape": '"'}
-    if header_row == 0:
-        reader = spark.read.options(**options, header=True)
-        return reader.schema(schema).csv(path) if schema else reader.options(inferSchema=True).csv(path)
-    wide = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(MOST_COLUMNS)])
-    records = spark.read.options(**options, header=False).schema(wide).csv(path).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    # a file's records come in order within its one task: its first ones are told by the least number
-    first = records.groupBy("file").agg(F.min("at").alias("start"))
-    placed = records.join(F.broadcast(first), "file").withColumn("record", F.col("at") - F.col("start"))  # a row per file
-    heads = placed.where(F.col("record") == header_row).limit(1).collect()
-    if not heads:
+    if schema is not None and len(schema) > MOST_COLUMNS:
+        raise ValueError("MAX_COLUMNS_EXCEEDED")
+    found = records(spark, path, ENCODINGS[encoding], sep)
+    body = found.where(F.col("number") > header_row).select("text")
+
+    def parsed(kinds: list[str]) -> DataFrame:
+        columns = ", ".join(f"c{k} {kind}" for k, kind in enumerate(kinds))
+        options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
+        return body.select(F.from_csv("text", columns, options).alias("cells")).select("cells.*")
+
+    if schema is not None:
+        return parsed([f.dataType.simpleString() for f in schema]).toDF(*schema.names)
+    first = found.agg(F.min("file")).first()[0] if header_row else spark.read.text(path).select(F.min("_metadata.file_path")).first()[0]
+    head = found.where((F.col("file") == first) & (F.col("number") == header_row)).limit(1).collect() if first else []
+    if not head:
         raise ValueError("HEADER_MISSING")
-    cells = [heads[0][f"c{k}"] for k in range(MOST_COLUMNS)]
-    width = max((k + 1 for k, v in enumerate(cells) if v is not None), default=0)
-    named = schema or T.StructType([T.StructField((v or "").strip().lstrip("\ufeff"), T.StringType()) for v in cells[:width]])
-    body = placed.where(F.col("record") > header_row)
-    return body.select(*[F.col(f"c{k}").try_cast(f.dataType).alias(f.name) for k, f in enumerate(named)])
+    names = header_names(head[0]["text"], sep)
+    text = parsed(["string"] * len(names))
+    return (text if header_row else parsed(_inferred(text))).toDF(*names)
+
+
+def _opened(uri: str):
+    """A file for reading, in whatever store pyarrow knows."""
+    where, path = pafs.FileSystem.from_uri(uri.replace("file:///", "file:/").replace("file:/", "file:///"))
+    return where.open_input_stream(path)
+
+
+def heads(spark: SparkSession, path: str, size: int = HEAD_BYTES, opened: Callable = _opened) -> DataFrame:
+    """path, size_bytes, head: the first ``size`` bytes of each file, which is all that is read of it; Spark lists no
+    empty files. ``opened`` opens a file in a task."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                with opened(b.column(0)[k].as_py()) as f:
+                    yield pa.RecordBatch.from_arrays([*b.slice(k, 1).columns, pa.array([f.read(size)], pa.binary())], names=["path", "size_bytes", "head"])
+
+    listed = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"))  # no content
+    return listed.mapInArrow(read, "path string, size_bytes long, head binary")
 
 
 def inspect_csv(spark: SparkSession, path: str) -> DataFrame:
     """path, encoding, delimiter, size_bytes of each file, from its first 64 KiB: an encoding that decodes, and the separator that
     splits the first lines into equally many parts, most parts first."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"), F.substring("content", 1, HEAD_BYTES).alias("head"))
+    files = heads(spark, path)
     marked = F.hex(F.substring("head", 1, 3)) == "EFBBBF"
     # a character cut off at the end of the head is no decoding error: some head of up to three bytes less must decode
     shorter = [F.substring("head", 1, HEAD_BYTES - k) for k in range(4)]
