@@ -33,7 +33,7 @@ from tallywright.llm.common import materialize
 from tallywright.operators.tables import numbered
 
 SEGMENTS = 16  # of the finest summary; a power of two
-GROUP_ROWS, BLOCK_ANCHORS = 8192, 1024
+GROUP_ROWS, BLOCK_ANCHORS = 2048, 1024
 LEAST, MOST = 30, 90  # a negative's score in hundredths of the positive's
 
 
