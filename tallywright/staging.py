@@ -1,6 +1,12 @@
 """Tables written between steps, in a folder that the driver and all executors share, and their removal.
 
-A table written by ``materialize`` stays until the ``scope`` around it ends: a DataFrame built on it may be read at any later time.
+A table written by ``materialize`` stays until the ``scope`` around it ends: a DataFrame built on it may be read at any later time. Who
+consumes a query's result inside of a scope leaves nothing behind::
+
+    with staging.scope(spark):
+        queries()["op7_simhash"](spark, folder).write.parquet(result)
+
+Scopes belong to the thread that opened them: queries that run in other threads at the same time keep their tables.
 """
 
 from __future__ import annotations
@@ -10,6 +16,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,26 +31,30 @@ def shared_folder(spark: SparkSession) -> str:
     return posixpath.join(base, f"tallywright-{uuid.uuid4().hex}")
 
 
-_scopes: list[list[str]] = []
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Removes at its end what ``materialize`` has written inside. Results to be kept are written elsewhere by then."""
-    _scopes.append([])
+    written: list[str] = []
+    before = _scopes.set((*_scopes.get(), written))
     try:
         yield
     finally:
+        _scopes.reset(before)
         conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in _scopes.pop():
+        for folder in written:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
+def materialize(df: DataFrame, name: str = "stage", outer: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and lost executors cost nothing. With ``outer``
+    it belongs to the scope around the present one."""
     path = posixpath.join(shared_folder(df.sparkSession), name)
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(posixpath.dirname(path))
+    scopes = _scopes.get()[:-1] if outer else _scopes.get()
+    if scopes:
+        scopes[-1].append(posixpath.dirname(path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
