@@ -77,10 +77,11 @@ def even_sizes(rows: int, shards: int) -> list[int]:
 
 
 def shuffle_into_shards(df: DataFrame, shards: int, keys: list[str | Column], seed: int = 42) -> DataFrame:
-    """``df`` with ``shard`` and ``slot``. ``keys`` seed the random order; rows alike in all of them are interchangeable."""
+    """``df`` with ``shard`` and ``slot``. ``keys`` seed the random order, with a row's place in its partition."""
     keep = [c for c in df.columns if c not in ("shard", "slot")]
     salted = [F.col(k) if isinstance(k, str) else k for k in keys]
-    local = df.withColumn("__key", F.xxhash64(F.lit(seed), *salted)).withColumn("__part", F.spark_partition_id())
+    # a row's place is part of its key, or copies would stand side by side and be dealt as one run; the key is written with the row
+    local = df.withColumn("__key", F.xxhash64(F.lit(seed), *salted, F.monotonically_increasing_id())).withColumn("__part", F.spark_partition_id())
     local = local.sortWithinPartitions("__key").withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     local = materialize(local, "permuted")
     counted = sorted((r["__part"], r["count"]) for r in local.groupBy("__part").count().collect())  # a row per source partition
