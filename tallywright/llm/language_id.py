@@ -182,8 +182,8 @@ def vocabulary(path: str) -> list[str]:
 def _sampled(docs: DataFrame, text_col: str, lang_col: str, sample: int) -> tuple[list[str], DataFrame]:
     """The languages, and (lang, text) of about ``sample`` different texts of each: a share of all hashes, so nothing is sorted."""
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
-    shares = [(r["lang"], min(1.0, sample / r["n"])) for r in sizes]
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).orderBy("lang").collect()  # texts, not rows
+    shares = [(r["lang"], min(1.0, sample / max(1, r["n"]))) for r in sizes]
     if not shares:
         return [], labelled
     share = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double"))
