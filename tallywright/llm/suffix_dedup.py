@@ -437,11 +437,12 @@ def repeated_spans(texts: DataFrame, windows: Windows, grams: list[int] | None =
     gram, *longer = grams or windows.grams()
     kinds = ", ".join(f"{c} long" for c in ("anchor", "c0", "c1", "u0", "u1", "at", "before", "after", "copies"))
     long_enough = texts.where(F.octet_length("raw") >= windows.least_bytes).select("u0", "u1", "copies", "raw")
-    cells = materialize(long_enough.mapInArrow(_cells(windows, gram), kinds), "cells")
-    # written, so that the join has an exchange on either side and may be split where one anchor has many rows
-    shared = materialize(cells.groupBy("anchor").agg(F.sum("copies").alias("n")).where(F.col("n") > 1).select("anchor"), "shared")
+    with scope(texts.sparkSession):  # of all cells, those that repeat stay
+        cells = materialize(long_enough.mapInArrow(_cells(windows, gram), kinds), "cells")
+        # written, so that the join has an exchange on either side and may be split where one anchor has many rows
+        shared = materialize(cells.groupBy("anchor").agg(F.sum("copies").alias("n")).where(F.col("n") > 1).select("anchor"), "shared")
+        repeated = materialize(cells.join(shared, "anchor", "left_semi"), "repeated", outer=True)
     place = ["u0", "u1", "at", "before", "after"]
-    repeated = materialize(cells.join(shared, "anchor", "left_semi"), "repeated")
     distinct = repeated.groupBy("anchor", "c0", "c1").agg(F.sum("copies").alias("n"), F.min(F.struct(*place)).alias("one"))
     distinct = materialize(distinct.select("anchor", "c0", "c1", "n", "one.*"), "distinct")
     crowded = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") > HOT).select("anchor")
