@@ -363,25 +363,19 @@ def test_class_trajectory(spark):
     assert {r.unit_order: r.baseline_value for r in beside.collect()} == {1: None, 2: pytest.approx(1 / 3)}
 
 
-def test_scopes_remove_what_was_written_in_them_and_in_their_thread(spark, tmp_path):
+def test_scopes_remove_what_was_written_in_them_and_in_their_thread(spark, tmp_path, monkeypatch):
     import os
+    import uuid
     from concurrent.futures import ThreadPoolExecutor
 
     from tallywright import staging
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
+    monkeypatch.setattr(staging, "shared_folder", lambda spark: f"file://{tmp_path}/{uuid.uuid4().hex}")
+    with staging.scope(spark):
         with staging.scope(spark):
-            with staging.scope(spark):
-                kept = staging.materialize(spark.range(5), "kept", outer=True)
-                staging.materialize(spark.range(5), "gone")
-                with ThreadPoolExecutor(1) as pool:
-                    other = pool.submit(lambda: staging.materialize(spark.range(3), "other")).result()
-            assert kept.count() == 5 and len(os.listdir(tmp_path)) == 2
-        assert len(os.listdir(tmp_path)) == 1 and other.count() == 3
-    finally:
-        if before is None:
-            spark.conf.unset("spark.checkpoint.dir")
-        else:
-            spark.conf.set("spark.checkpoint.dir", before)
+            kept = staging.materialize(spark.range(5), "kept", outer=True)
+            staging.materialize(spark.range(5), "gone")
+            with ThreadPoolExecutor(1) as pool:
+                other = pool.submit(lambda: staging.materialize(spark.range(3), "other")).result()
+        assert kept.count() == 5 and len(os.listdir(tmp_path)) == 2
+    assert len(os.listdir(tmp_path)) == 1 and other.count() == 3
