@@ -57,28 +57,30 @@ def replay_run(events: DataFrame, runs: DataFrame, after: int, limit: int = 200)
     return replay(events, after, limit).join(ended, "run_id", "left").withColumn("terminal", F.coalesce("terminal", F.lit(False)))
 
 
+# fixed values: the kinds of events that a run's state is told from
+UNITS = ("unit_started", "unit_completed", "confirmation_unit_completed")
+WORDS = ("candidate_started", "candidate_completed", "candidate_failed", "candidate_skipped")
+CONFIRMATIONS = ("confirmation_started", "confirmation_completed")
+SLOTS = {"primary_decision": ("primary_selection_completed",), "confirmation": CONFIRMATIONS, "decision": ("selection_completed",), "final_test": ("final_test_completed",), "summary": ("snapshot_frozen",)}
+
+
 def run_state(events: DataFrame, direction: str = "min") -> DataFrame:
-    """run_id, active_candidate, active_unit, ranking, primary_decision, confirmation, confirming, decision, final_test, summary, last_seq:
+    """run_id, active_candidate, active_unit, primary_decision, confirmation, confirming, decision, final_test, summary, last_seq, ranking:
     a run's state after all events (run_id, seq, event_type, candidate_id, unit_id, value, complexity, payload). The last event of a
-    kind holds; the ranking has the candidates whose last word is a completion with a value, best first, ties to the simpler one."""
+    kind holds; the ranking has the candidates whose last word is a completion with a value (NaN is none), best first, ties to the
+    simpler one, then by id."""
     kind, seq = F.col("event_type"), F.col("seq")
     last = lambda what, *kinds: F.max_by(what, F.when(kind.isin(*kinds), seq))
-    unit = ("unit_started", "unit_completed", "confirmation_unit_completed")
     states = events.groupBy("run_id").agg(
-        last(F.col("candidate_id"), "candidate_started", *unit).alias("active_candidate"),
-        last(F.col("unit_id"), *unit).alias("active_unit"),
-        last(F.col("payload"), "primary_selection_completed").alias("primary_decision"),
-        last(F.col("payload"), "confirmation_started", "confirmation_completed").alias("confirmation"),
-        F.coalesce(last(kind == "confirmation_started", "confirmation_started", "confirmation_completed"), F.lit(False)).alias("confirming"),
-        last(F.col("payload"), "selection_completed").alias("decision"),
-        last(F.col("payload"), "final_test_completed").alias("final_test"),
-        last(F.col("payload"), "snapshot_frozen").alias("summary"),
+        last(F.col("candidate_id"), "candidate_started", *UNITS).alias("active_candidate"),
+        last(F.col("unit_id"), *UNITS).alias("active_unit"),
+        *[last(F.col("payload"), *kinds).alias(name) for name, kinds in SLOTS.items()],
+        F.coalesce(last(kind == "confirmation_started", *CONFIRMATIONS), F.lit(False)).alias("confirming"),
         F.max("seq").alias("last_seq"),
     )
-    word = ("candidate_started", "candidate_completed", "candidate_failed", "candidate_skipped")
     sign = -1.0 if direction == "max" else 1.0
-    said = events.where(F.col("candidate_id").isNotNull()).groupBy("run_id", "candidate_id").agg(last(F.struct("event_type", "value", "complexity"), *word).alias("word"))
-    done = said.where((F.col("word.event_type") == "candidate_completed") & F.col("word.value").isNotNull())
+    said = events.where(F.col("candidate_id").isNotNull()).groupBy("run_id", "candidate_id").agg(last(F.struct("event_type", "value", "complexity"), *WORDS).alias("word"))
+    done = said.where((F.col("word.event_type") == "candidate_completed") & F.col("word.value").isNotNull() & ~F.isnan("word.value"))
     order = F.struct((F.col("word.value") * sign).alias("v"), F.coalesce("word.complexity", F.lit(999)).alias("c"), "candidate_id")
     ranking = done.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["candidate_id"]).alias("ranking"))  # a run's candidates
     return states.join(ranking, "run_id", "left").withColumn("ranking", F.coalesce("ranking", F.array().cast("array<string>")))

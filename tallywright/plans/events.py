@@ -39,15 +39,23 @@ def live_state(spark, sf):
     return E.live_state(_events(spark, sf))
 
 
+def _end_state(spark, stream, keys, name):
+    """Runs a stream over all that is there; the last update of each key is its state."""
+    out, checkpoint = _folder(spark, name), _folder(spark, f"{name}-checkpoint")
+    write = stream.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    write.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    states = spark.read.parquet(out)
+    return states.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in states.columns if c not in (*keys, "batch")]), F.struct("last_seq", "batch")).alias("s")).select(*keys, "s.*")
+
+
+def _event_stream(spark, sf):
+    return live.with_state_store(spark).readStream.schema(read(spark, sf, "events").schema).parquet(f"{sf}/event[s].parquet")
+
+
 @query("live_state_stream", _LIVE)
 def live_state_stream(spark, sf):
-    """The same fold as a stream: the last update of each key is its state."""
-    out, checkpoint = _folder(spark, "live"), _folder(spark, "live-checkpoint")
-    source = spark.readStream.schema(read(spark, sf, "events").schema).parquet(f"{sf}/event[s].parquet")
-    query_ = live.live_state_stream(_map(source)).writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query_.awaitTermination()
-    states = spark.read.parquet(out)
-    return states.groupBy("run_id", "candidate_id").agg(F.max_by(F.struct(*[c for c in states.columns if c not in ("run_id", "candidate_id", "batch")]), "last_seq").alias("s")).select("run_id", "candidate_id", "s.*")
+    """The same fold as a stream."""
+    return _end_state(spark, live.live_state_stream(_map(_event_stream(spark, sf))), ["run_id", "candidate_id"], "live")
 
 
 @query("event_replay", f"SELECT * FROM {_EV} WHERE seq > 500 ORDER BY seq LIMIT 200")
@@ -84,9 +92,13 @@ _KINDS = ("candidate_started", "candidate_completed", "unit_started", "unit_comp
 _FULL = "(SELECT event_id AS seq, user_id AS run_id, 'c' || (event_id % 5) AS candidate_id, 'u' || (event_id // 5 % 10) AS unit_id, value, event_id % 5 AS complexity, CAST(event_id AS VARCHAR) AS payload, CASE event_id % 11 " + " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(_KINDS)) + " END AS event_type FROM events)"
 
 
+def _full_map(e):
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("seq") % 11 + 1).cast("int"))
+    return _map(e).withColumn("event_type", kind).withColumn("complexity", F.col("seq") % 5).withColumn("payload", F.col("seq").cast("string"))
+
+
 def _full(spark, sf):
-    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("event_id") % 11 + 1).cast("int"))
-    return _events(spark, sf).join(read(spark, sf, "events").select(F.col("event_id").alias("seq"), kind.alias("kind")), "seq").withColumn("event_type", F.col("kind")).withColumn("complexity", F.col("seq") % 5).withColumn("payload", F.col("seq").cast("string")).drop("kind")
+    return _full_map(read(spark, sf, "events"))
 
 
 def _last(what, kinds):
@@ -96,17 +108,25 @@ def _last(what, kinds):
 _UNITS = ("unit_started", "unit_completed", "confirmation_unit_completed")
 
 
-@query(
-    "run_state",
+_RUN_STATE = (
     f"WITH e AS (SELECT * FROM {_FULL}), s AS (SELECT run_id, {_last('candidate_id', ('candidate_started', *_UNITS))} AS active_candidate, {_last('unit_id', _UNITS)} AS active_unit, {_last('payload', ('primary_selection_completed',))} AS primary_decision, "
     f"{_last('payload', ('confirmation_started', 'confirmation_completed'))} AS confirmation, coalesce({_last('event_type', ('confirmation_started', 'confirmation_completed'))} = 'confirmation_started', false) AS confirming, {_last('payload', ('selection_completed',))} AS decision, {_last('payload', ('final_test_completed',))} AS final_test, "
     f"{_last('payload', ('snapshot_frozen',))} AS summary, max(seq) AS last_seq FROM e GROUP BY 1), w AS (SELECT run_id, candidate_id, {_last('event_type', ('candidate_started', 'candidate_completed', 'candidate_failed'))} AS word, arg_max(value, seq) FILTER (WHERE event_type = 'candidate_completed') AS v, max(complexity) AS c FROM e GROUP BY 1, 2), "
-    "r AS (SELECT run_id, string_agg(candidate_id, ',' ORDER BY v, c, candidate_id) AS ranking FROM w WHERE word = 'candidate_completed' GROUP BY 1) SELECT s.*, coalesce(ranking, '') AS ranking FROM s LEFT JOIN r USING (run_id)",
+    "r AS (SELECT run_id, string_agg(candidate_id, ',' ORDER BY v, c, candidate_id) AS ranking FROM w WHERE word = 'candidate_completed' GROUP BY 1) SELECT s.*, coalesce(ranking, '') AS ranking FROM s LEFT JOIN r USING (run_id)"
 )
+
+
+@query("run_state", _RUN_STATE)
 def run_state(spark, sf):
     return E.run_state(_full(spark, sf)).withColumn("ranking", F.concat_ws(",", "ranking"))
 
 
+@query("run_state_stream", _RUN_STATE)
+def run_state_stream(spark, sf):
+    """The same fold as a stream: ranking, decisions, confirmation and the rest of a run's state."""
+    return _end_state(spark, live.run_state_stream(_full_map(_event_stream(spark, sf)), keep_ms=0), ["run_id"], "runs").withColumn("ranking", F.concat_ws(",", "ranking"))
+
+
 @query("event_replay_terminal", f"SELECT *, run_id % 3 <> 0 AS terminal FROM {_EV} WHERE seq > 500 ORDER BY seq LIMIT 200")
 def event_replay_terminal(spark, sf):
     events = _events(spark, sf)

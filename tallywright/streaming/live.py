@@ -1,46 +1,160 @@
-"""Stream forms: the live state of runs folded from an event stream, and row-wise cleaning of a stream into two sinks."""
+"""Stream forms: the live state of candidates and runs folded from an event stream, and row-wise cleaning of a stream into two sinks.
+
+The folds keep what they know in state of Spark's own: a value or a few named slots a key, and a map with an entry for each unit or
+candidate, so that an event touches its own entries only. Every slot remembers the number of the event that it is from, and only a
+later event changes it: replayed events change nothing, and events may come in any order. The state store must be RocksDB's
+(``with_state_store`` sets it).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tallywright.operators.events import CONFIRMATIONS, SLOTS, UNITS, WORDS
 from tallywright.operators.recipe import Recipe, compile_rows
 
-STATE = "status string, status_seq long, active_unit string, unit_seq long, units array<string>, value double, value_seq long, last_seq long"
 OUTPUT = "run_id long, candidate_id string, status string, active_unit string, completed_units long, latest_value double, last_seq long"
+RUN_OUTPUT = "run_id long, active_candidate string, active_unit string, primary_decision string, confirmation string, confirming boolean, decision string, final_test string, summary string, last_seq long, ranking array<string>"
 # fixed values: what an event says about its candidate
 STATUS = {"candidate_started": "running", "candidate_completed": "completed", "candidate_failed": "failed"}
+KEEP_MS = 3_600_000  # how long the state of an ended run stays
+
+
+def with_state_store(spark: SparkSession) -> SparkSession:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
+
+
+def _text(x: object) -> str | None:
+    return None if x is None or isinstance(x, float) else str(x)
+
+
+def _number(x: object) -> float | None:
+    return None if x is None or pd.isna(x) else float(x)
+
+
+class CandidateFold(StatefulProcessor):
+    """A candidate's state: its last status, unit and value in a single value, a map entry for each completed unit."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "status string, status_seq long, active string, unit_seq long, value double, value_seq long, last_seq long, done long")
+        self.units = handle.getMapState("units", "unit_id string", "seq long")
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        status, status_seq, active, unit_seq, value, value_seq, last, done = self.known.get() if self.known.exists() else (None, -1, None, -1, None, -1, -1, 0)
+        for pdf in rows:
+            for kind, seq, unit, v in zip(pdf["event_type"], pdf["seq"].tolist(), pdf["unit_id"], pdf["value"], strict=True):
+                last, unit = max(last, seq), _text(unit)
+                if kind in STATUS and seq > status_seq:
+                    status, status_seq = STATUS[kind], seq
+                if kind in ("unit_started", "unit_completed") and seq > unit_seq:
+                    active, unit_seq = (unit if kind == "unit_started" else None), seq
+                if kind == "unit_completed":
+                    if unit is not None and not self.units.containsKey((unit,)):
+                        self.units.updateValue((unit,), (seq,))
+                        done += 1
+                    if seq > value_seq:
+                        value, value_seq = _number(v), seq
+        self.known.update((status, status_seq, active, unit_seq, value, value_seq, last, done))
+        yield pd.DataFrame({"run_id": [key[0]], "candidate_id": [key[1]], "status": [status], "active_unit": [active], "completed_units": [done], "latest_value": [value], "last_seq": [last]})
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    status, status_seq, active, unit_seq, units, value, value_seq, last = state.get if state.exists else (None, -1, None, -1, [], None, -1, -1)
-    done = set(units)
-    for pdf in batches:
-        for e in pdf.sort_values("seq").itertuples(index=False):
-            last = max(last, e.seq)
-            if e.event_type in STATUS and e.seq > status_seq:
-                status, status_seq = STATUS[e.event_type], e.seq
-            if e.event_type in ("unit_started", "unit_completed") and e.seq > unit_seq:
-                active, unit_seq = (e.unit_id if e.event_type == "unit_started" else None), e.seq
-            if e.event_type == "unit_completed":
-                done.add(e.unit_id)
-                if e.seq > value_seq:
-                    value, value_seq = (None if pd.isna(e.value) else float(e.value)), e.seq
-    state.update((status, status_seq, active, unit_seq, sorted(done), value, value_seq, last))
-    yield pd.DataFrame({"run_id": [key[0]], "candidate_id": [key[1]], "status": [status], "active_unit": [active], "completed_units": [len(done)], "latest_value": [value], "last_seq": [last]})
+    def close(self) -> None:
+        pass
 
 
 def live_state_stream(events: DataFrame) -> DataFrame:
-    """A stream of events (run_id, candidate_id, seq, event_type, unit_id, value) → updated states; replayed events change nothing."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    """A stream of events (run_id, candidate_id, seq, event_type, unit_id, value) → updated states, as ``operators.events.live_state`` has
+    them of all events so far. A completion without a unit counts for its value only."""
+    known = events.where(F.col("candidate_id").isNotNull()).select("run_id", "candidate_id", "seq", "event_type", "unit_id", "value")
+    return known.groupBy("run_id", "candidate_id").transformWithStateInPandas(CandidateFold(), OUTPUT, "Update", "None")
+
+
+class RunFold(StatefulProcessor):
+    """A run's state: slots by name, and a map entry for each candidate's last word. ``direction``: whether small or large is better."""
+
+    def __init__(self, direction: str, keep_ms: int) -> None:
+        self.direction, self.keep_ms = direction, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slots = handle.getMapState("slots", "name string", "seq long, text string")
+        self.words = handle.getMapState("words", "candidate_id string", "seq long, event_type string, value double, complexity long")
+        self.cleared = handle.getValueState("cleared", "last_seq long")
+
+    def _put(self, changed: dict, name: str, seq: int, text: str | None) -> None:
+        if name not in changed:
+            changed[name] = self.slots.getValue((name,)) if self.slots.containsKey((name,)) else (-1, None)
+        if seq > changed[name][0]:
+            changed[name] = (seq, text)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        changed: dict[str, tuple] = {}
+        words: dict[str, tuple] = {}
+        before = self.cleared.get()[0] if self.cleared.exists() else -1
+        for pdf in rows:
+            pdf = pdf[pdf["seq"] > before]  # what a cleared run has seen is old
+            for kind, seq, candidate, unit, v, complexity, payload in zip(*[pdf[c].tolist() for c in ("event_type", "seq", "candidate_id", "unit_id", "value", "complexity", "payload")], strict=True):
+                candidate, unit, payload = _text(candidate), _text(unit), _text(payload)
+                self._put(changed, "last_seq", seq, None)
+                if kind == "candidate_started" or kind in UNITS:
+                    self._put(changed, "active_candidate", seq, candidate)
+                if kind in UNITS:
+                    self._put(changed, "active_unit", seq, unit)
+                if kind in CONFIRMATIONS:
+                    self._put(changed, "confirming", seq, kind)
+                for name, kinds in SLOTS.items():
+                    if kind in kinds:
+                        self._put(changed, name, seq, payload)
+                if candidate is not None and kind in WORDS:
+                    if candidate not in words:
+                        words[candidate] = self.words.getValue((candidate,)) if self.words.containsKey((candidate,)) else (-1, None, None, None)
+                    if seq > words[candidate][0]:
+                        words[candidate] = (seq, kind, _number(v), None if pd.isna(complexity) else int(complexity))
+        if not changed:
+            return
+        for name, entry in changed.items():
+            self.slots.updateValue((name,), entry)
+        for candidate, entry in words.items():
+            self.words.updateValue((candidate,), entry)
+        if self.keep_ms and "summary" in changed:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_ms)
+        known = {k[0]: v for k, v in self.slots.iterator()}
+        yield self._row(key, known)
+
+    def _row(self, key: tuple, known: dict[str, tuple]) -> pd.DataFrame:
+        sign = -1.0 if self.direction == "max" else 1.0
+        done = [(sign * v, 999 if c is None else c, k[0]) for k, (_, kind, v, c) in self.words.iterator() if kind == "candidate_completed" and v is not None]
+        text = lambda name: known[name][1] if name in known else None
+        row = {"run_id": key[0], **{c: text(c) for c in ("active_candidate", "active_unit", *SLOTS)}}
+        row |= {"confirming": text("confirming") == "confirmation_started", "last_seq": known["last_seq"][0], "ranking": [c for *_, c in sorted(done)]}
+        order = [c.strip().split()[0] for c in RUN_OUTPUT.split(",")]
+        return pd.DataFrame({c: [row[c]] for c in order})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """An ended run keeps the number of its last event only."""
+        last = self.slots.getValue(("last_seq",))[0] if self.slots.containsKey(("last_seq",)) else None
+        if last is not None:
+            self.cleared.update((last,))
+            self.slots.clear()
+            self.words.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
 
-    known = events.where(F.col("candidate_id").isNotNull())
-    return known.groupBy("run_id", "candidate_id").applyInPandasWithState(_fold, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+def run_state_stream(events: DataFrame, direction: str = "min", keep_ms: int = KEEP_MS) -> DataFrame:
+    """A stream of events (run_id, seq, event_type, candidate_id, unit_id, value, complexity, payload) → a run's updated state, as
+    ``operators.events.run_state`` has it of all events so far. ``keep_ms`` after a run's snapshot its state is cleared (0: never). Timers
+    make batches without end, so a stream that is to end by itself (``availableNow``) takes 0."""
+    known = events.select("run_id", "seq", "event_type", "candidate_id", "unit_id", "value", F.col("complexity").cast("long").alias("complexity"), "payload")
+    return known.groupBy("run_id").transformWithStateInPandas(RunFold(direction, keep_ms), RUN_OUTPUT, "Update", "ProcessingTime" if keep_ms else "None")
 
 
 def clean_stream(df: DataFrame, recipe: Recipe, row_id: str, clean_path: str, quarantine_path: str, checkpoint: str) -> StreamingQuery:
