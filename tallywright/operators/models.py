@@ -6,11 +6,15 @@ Everything learned (medians, modes, category lists, scales, constants) is learne
 from __future__ import annotations
 
 import json
+import threading
 import time
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -20,7 +24,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions.hashing import seed_of
@@ -29,6 +33,7 @@ from tallywright.operators.quantiles import exact_quantiles
 from tallywright.staging import materialize
 
 MOST_CATEGORIES, MOST_FEATURES, RARE = 1000, 5000, "__rare__"
+AT_ONCE, ROWS_PER_PART, MOST_PARTS = 5, 25_000, 64  # fits at the same time; rows that a task of a fit reads, where tables are small
 
 
 @dataclass(frozen=True)
@@ -43,14 +48,20 @@ class ModelSpec:
     balanced: bool = False
 
 
+def _forest(estimator):
+    """A hundred trees, twelve deep. The nodes that rows are in stay at the executors, or all trees would be sent out at each level, and
+    more nodes than by default are split in one pass over the rows."""
+    return estimator.setNumTrees(100).setMaxDepth(12).setMinInstancesPerNode(2).setCacheNodeIds(True).setMaxMemoryInMB(512)
+
+
 MODELS = (
     # the solver divides the penalty by the label's deviation: with this factor it is the closed-form ridge with penalty 1
     ModelSpec("ridge", 1, "regression", 2, True, lambda seed, n, sd: LinearRegression(labelCol="__y", elasticNetParam=0.0, regParam=sd / n, standardization=False, solver="l-bfgs", maxIter=200, tol=1e-10), scale=True),
-    ModelSpec("random_forest_regressor", 4, "regression", 20, False, lambda seed, n, sd: RandomForestRegressor(labelCol="__y", numTrees=100, maxDepth=12, minInstancesPerNode=2, featureSubsetStrategy="all", seed=seed)),
+    ModelSpec("random_forest_regressor", 4, "regression", 20, False, lambda seed, n, sd: _forest(RandomForestRegressor(labelCol="__y", featureSubsetStrategy="all", seed=seed))),
     ModelSpec("logistic_regression", 1, "classification", 2, True, lambda seed, n, sd: LogisticRegression(labelCol="__y", regParam=1.0 / n, elasticNetParam=0.0, standardization=False), scale=True),
     ModelSpec("logistic_regression_balanced", 2, "classification", 2, True, lambda seed, n, sd: LogisticRegression(labelCol="__y", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, weightCol="__w"), scale=True, balanced=True),
-    ModelSpec("random_forest_classifier", 4, "classification", 20, False, lambda seed, n, sd: RandomForestClassifier(labelCol="__y", numTrees=100, maxDepth=12, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed)),
-    ModelSpec("random_forest_classifier_balanced", 5, "classification", 20, False, lambda seed, n, sd: RandomForestClassifier(labelCol="__y", numTrees=100, maxDepth=12, minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="__w", seed=seed), balanced=True),
+    ModelSpec("random_forest_classifier", 4, "classification", 20, False, lambda seed, n, sd: _forest(RandomForestClassifier(labelCol="__y", featureSubsetStrategy="sqrt", seed=seed))),
+    ModelSpec("random_forest_classifier_balanced", 5, "classification", 20, False, lambda seed, n, sd: _forest(RandomForestClassifier(labelCol="__y", featureSubsetStrategy="sqrt", weightCol="__w", seed=seed)), balanced=True),
 )
 
 
@@ -137,36 +148,79 @@ def predicted(model: PipelineModel, df: DataFrame, labels: list[str] | None = No
     return out.withColumn("predicted", F.col("prediction") if labels is None else F.element_at(F.array(*map(F.lit, labels)), (F.col("prediction") + 1).cast("int")))
 
 
-def evaluate(df: DataFrame, folds: DataFrame, block: str, row_id: str, target: str, problem: str, specs: list[ModelSpec], numeric: list[str], categorical: list[str], k: int, root_seed: int = 42, most_seconds: float | None = None) -> tuple[DataFrame, dict[tuple[str, str], PipelineModel], DataFrame]:
+class OverTime(Exception):
+    pass
+
+
+def _within(spark: SparkSession, seconds: float | None, work: Callable[[], PipelineModel]) -> PipelineModel:
+    """What ``work`` returns. Its Spark jobs are cancelled once ``seconds`` have passed, and OverTime is raised."""
+    if seconds is None:
+        return work()
+    sc, tag, over = spark.sparkContext, f"fit-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        over.set()
+        sc.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        model = work()
+    except (PySparkException, Py4JJavaError) as e:
+        if over.is_set():
+            raise OverTime from e
+        raise
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)
+    if over.is_set():
+        raise OverTime
+    return model
+
+
+def evaluate(df: DataFrame, folds: DataFrame, block: str, row_id: str, target: str, problem: str, specs: list[ModelSpec], numeric: list[str], categorical: list[str], k: int, root_seed: int = 42, most_seconds: float | None = None, at_once: int = AT_ONCE) -> tuple[DataFrame, dict[tuple[str, str], PipelineModel], DataFrame]:
     """(predictions: candidate_id, unit_id, row_id, actual, predicted; fitted models; outcomes: candidate_id, unit_id, status, reason,
-    seconds). A candidate that fails or takes over ``most_seconds`` in a unit has no predictions there, so it is never complete; the
-    others go on. Without any fitted model the predictions are empty."""
+    seconds). A candidate that fails or takes over ``most_seconds`` in a unit (its jobs are cancelled then) has no predictions there, so
+    it is never complete; the others go on. Without any fitted model the predictions are empty.
+
+    ``at_once`` candidates and units are fitted at the same time, in threads: a fit on few rows has tasks for a few cores only. Rows are
+    written once for all, a small table in parts of ``ROWS_PER_PART``: each part counts all nodes of all trees."""
+    spark = df.sparkSession
     labels = class_labels(df, target) if problem == "classification" else None
-    rows = materialize(with_inputs(df, numeric, problem, target, labels).join(folds.select(F.col("block").alias(block), "fold"), block), "rows")
+    rows = with_inputs(df, numeric, problem, target, labels).join(folds.select(F.col("block").alias(block), "fold"), block)
+    parts = -(-df.count() // ROWS_PER_PART)
+    rows = materialize(rows.repartition(max(1, parts)) if parts <= MOST_PARTS else rows, "rows")
     kind = "double" if problem == "regression" else "string"
-    out, fitted, outcomes = None, {}, []
-    for spec in specs:
-        for u in range(1, k + 1):
-            unit = f"fold-{u}"
-            began = time.monotonic()
-            try:
-                model = fit_model(spec, rows.where(F.col("fold") != u), numeric, categorical, seed_of(root_seed, spec.id, unit), labels)
-            except (ValueError, PySparkException, Py4JJavaError) as e:
-                outcomes.append((spec.id, unit, "failed", str(e).strip().split("\n")[0][:200], time.monotonic() - began))
-                continue
-            took = time.monotonic() - began
-            if most_seconds is not None and took > most_seconds:
-                outcomes.append((spec.id, unit, "timed_out", f"over {most_seconds:g} s", took))
-                continue
-            outcomes.append((spec.id, unit, "completed", None, took))
-            fitted[spec.id, unit] = model
-            p = predicted(model, rows.where(F.col("fold") == u), labels).select(F.lit(spec.id).alias("candidate_id"), F.lit(unit).alias("unit_id"), F.col(row_id).alias("row_id"), F.col(f"`{target}`").cast(kind).alias("actual"), "predicted")
-            out = p if out is None else out.unionByName(p)
-    told = df.sparkSession.createDataFrame(outcomes, "candidate_id string, unit_id string, status string, reason string, seconds double")
+
+    def fit(job: tuple[ModelSpec, int]) -> tuple[PipelineModel | None, tuple]:
+        spec, u = job
+        unit = f"fold-{u}"
+        train = rows.where(F.col("fold") != u)
+        began = time.monotonic()
+        try:
+            model = _within(spark, most_seconds, lambda: fit_model(spec, train, numeric, categorical, seed_of(root_seed, spec.id, unit), labels))
+        except OverTime:
+            return None, (spec.id, unit, "timed_out", f"over {most_seconds:g} s", time.monotonic() - began)
+        except (ValueError, PySparkException, Py4JJavaError) as e:
+            return None, (spec.id, unit, "failed", str(e).strip().split("\n")[0][:200], time.monotonic() - began)
+        return model, (spec.id, unit, "completed", None, time.monotonic() - began)
+
+    jobs = [(spec, u) for spec in specs for u in range(1, k + 1)]
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        told = list(pool.map(inheritable_thread_target(spark)(fit), jobs))
+    out, fitted = None, {}
+    for (spec, u), (model, outcome) in zip(jobs, told, strict=True):
+        if model is None:
+            continue
+        fitted[spec.id, outcome[1]] = model
+        p = predicted(model, rows.where(F.col("fold") == u), labels).select(F.lit(spec.id).alias("candidate_id"), F.lit(outcome[1]).alias("unit_id"), F.col(row_id).alias("row_id"), F.col(f"`{target}`").cast(kind).alias("actual"), "predicted")
+        out = p if out is None else out.unionByName(p)
+    outcomes = spark.createDataFrame([o for _, o in told], "candidate_id string, unit_id string, status string, reason string, seconds double")
     if out is None:
         none = F.lit(None).cast(kind)
         out = rows.where(F.lit(False)).select(F.lit("").alias("candidate_id"), F.lit("").alias("unit_id"), F.col(row_id).alias("row_id"), none.alias("actual"), none.alias("predicted"))
-    return out, fitted, told
+    return out, fitted, outcomes
 
 
 def score(pred: DataFrame, problem: str, keys: list[str], labels: DataFrame | None = None) -> DataFrame:

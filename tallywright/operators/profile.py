@@ -16,9 +16,10 @@ from tallywright.functions.numbers import CURRENCIES, has_currency
 from tallywright.functions.text import looks_like_id, safe_example, trim_text
 from tallywright.operators.quantiles import exact_quantiles, stacked
 from tallywright.operators.tables import even_sample
+from tallywright.staging import materialize
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
-CHUNK = 8  # columns per wide aggregate with exact distinct counts
+CHUNK = 50  # columns per wide aggregate
 ISO = r"^\d{4}[-/]\d{1,2}([-/]\d{1,2})?$"
 DAY_FIRST = r"^\d{1,2}[-/]\d{1,2}[-/]\d{2,4}$"
 
@@ -67,34 +68,56 @@ def semantic_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return _unpivot(df, columns or df.columns, stats)
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column_id, exact: different non-null cells of each column. Each column is read by itself and tasks count first, so no pass holds
+    rows times columns; texts are told by 128-bit hashes."""
+    kinds, out = dict(df.dtypes), None
+    for c in columns:
+        cell = _cell(df, c)
+        plain = is_numeric(kinds[c]) or is_date(kinds[c]) or kinds[c] == "boolean"
+        cells = df.select(cell.alias("v")).where(F.col("v").isNotNull()).select(F.col("v") if plain else row_mark(F.col("v")).alias("v")).distinct()
+        row = cells.agg(F.count(F.lit(1)).alias("exact")).select(F.lit(c).alias("column_id"), "exact")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+NEAR_ID = 0.9  # share of different cells from which a sketch is not trusted to tell whether there are 98 %
+
+
 def column_profile(df: DataFrame, roles: dict[str, str] | None = None, exact: bool = True) -> DataFrame:
-    """column_id, position, semantic_type, role, non_null, null_count, distinct_count, possible_id, issues."""
+    """column_id, position, semantic_type, role, non_null, null_count, distinct_count, possible_id, issues.
+
+    One pass over all columns takes counts, extremes and, unless ``exact``, sketches. Exact distinct counts follow column by column: of
+    all columns where ``exact``, else only of those whose sketch is near the share that makes an identifier, so that its rule is decided
+    exactly; elsewhere ``distinct_count`` is then the sketch's (within 3 %)."""
     roles, kinds = roles or {}, dict(df.dtypes)
-    distinct = F.count_distinct if exact else F.approx_count_distinct
 
     def stats(c: str) -> dict[str, Column]:
         cell = _cell(df, c)
         text = trim_text(cell.cast("string"))
         share = F.greatest(F.avg(text.rlike(ISO).cast("double")), F.avg(text.rlike(DAY_FIRST).cast("double"))) if kinds[c] == "string" else F.max(F.lit(0.0))
-        return {"non_null": F.count(cell), "null_count": F.count(F.lit(1)) - F.count(cell), "distinct_count": distinct(cell), "mean_length": F.avg(F.length(text)), "share": share}
-
-    rows = None
-    for k in range(0, len(df.columns), CHUNK):
-        part = df.columns[k : k + CHUNK]
-        named = {c: stats(c) for c in part}
-        wide = df.agg(*[v.alias(f"{i}_{n}") for i, c in enumerate(part) for n, v in named[c].items()])
-        structs = []
-        for i, c in enumerate(part):
-            g = {n: F.col(f"{i}_{n}") for n in named[c]}
-            kind = F.lit("numeric") if is_numeric(kinds[c]) else F.lit("datetime") if is_date(kinds[c]) else F.when(g["share"] >= 0.9, "datetime").otherwise("categorical")
-            named_id = F.lit(looks_like_id(c))
-            ratio = g["distinct_count"] / F.nullif(g["non_null"], F.lit(0))
-            possible = F.coalesce((g["non_null"] >= 10) & (kind != "datetime") & (ratio >= 0.98) & (named_id | (F.lit(not is_numeric(kinds[c])) & (g["mean_length"] >= 8))), F.lit(False))
-            issues = F.array_compact(F.array(F.when(g["null_count"] > 0, "MISSING_VALUES"), F.when(g["distinct_count"] <= 1, "CONSTANT_OR_EMPTY"), F.when(possible, "POSSIBLE_IDENTIFIER")))
-            structs.append(F.struct(F.lit(c).alias("column_id"), F.lit(df.columns.index(c)).alias("position"), kind.alias("semantic_type"), F.lit(roles.get(c, "variable")).alias("role"), g["non_null"].alias("non_null"), g["null_count"].alias("null_count"), g["distinct_count"].alias("distinct_count"), possible.alias("possible_id"), issues.alias("issues")))
-        part_rows = wide.select(F.explode(F.array(*structs)).alias("x")).select("x.*")
-        rows = part_rows if rows is None else rows.unionByName(part_rows)
-    return rows
+        value = cell + F.lit(0.0) if kinds[c] in ("double", "float") else cell.cast("string")  # -0.0 is 0.0
+        sketch = F.lit(None).cast("long") if exact else F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(F.when(cell.isNotNull(), value)), F.lit(14)))
+        some = F.xxhash64(value)
+        return {"non_null": F.count(cell), "null_count": F.count(F.lit(1)) - F.count(cell), "mean_length": F.avg(F.length(text)), "share": share, "sketch": F.max(sketch) if exact else sketch - F.when(F.count(cell) < F.count(F.lit(1)), 1).otherwise(0), "one_value": F.coalesce(F.min(F.when(cell.isNotNull(), some)) == F.max(F.when(cell.isNotNull(), some)), F.lit(True))}
+
+    rows = _unpivot(df, df.columns, stats)
+    if exact:
+        asked = df.columns
+    else:
+        rows = materialize(rows, "profile")
+        near = rows.where((F.col("non_null") >= 10) & (F.col("sketch") >= NEAR_ID * F.col("non_null")))
+        asked = sorted((r["column_id"] for r in near.select("column_id").collect()), key=df.columns.index)  # a row per column
+    known = distinct_counts(df, asked) if asked else df.sparkSession.createDataFrame([], "column_id string, exact long")
+    rows = rows.join(known, "column_id", "left").withColumn("distinct_count", F.coalesce("exact", F.when(F.col("one_value"), F.least("non_null", F.lit(1))).otherwise(F.greatest("sketch", F.lit(2)))))
+    named = {c: (is_numeric(kinds[c]), is_date(kinds[c]), looks_like_id(c), roles.get(c, "variable")) for c in df.columns}
+    told = F.element_at(F.array(*[F.struct(F.lit(a).alias("numeric"), F.lit(d).alias("date"), F.lit(i).alias("id"), F.lit(r).alias("role")) for a, d, i, r in named.values()]), F.col("position") + 1)
+    rows = rows.withColumn("told", told)
+    kind = F.when(F.col("told.numeric"), "numeric").when(F.col("told.date") | F.coalesce(F.col("share") >= 0.9, F.lit(False)), "datetime").otherwise("categorical")
+    ratio = F.col("distinct_count") / F.nullif(F.col("non_null"), F.lit(0))
+    possible = F.coalesce((F.col("non_null") >= 10) & (kind != "datetime") & (ratio >= 0.98) & (F.col("told.id") | (~F.col("told.numeric") & (F.col("mean_length") >= 8))), F.lit(False))
+    issues = F.array_compact(F.array(F.when(F.col("null_count") > 0, "MISSING_VALUES"), F.when(F.col("distinct_count") <= 1, "CONSTANT_OR_EMPTY"), F.when(possible, "POSSIBLE_IDENTIFIER")))
+    return rows.select("column_id", "position", kind.alias("semantic_type"), F.col("told.role").alias("role"), "non_null", "null_count", "distinct_count", possible.alias("possible_id"), issues.alias("issues"))
 
 
 def examples(df: DataFrame, column: str, order_by: str, k: int = 4) -> DataFrame:
