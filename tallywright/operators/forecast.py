@@ -80,7 +80,27 @@ def _paths(values: np.ndarray, lengths: np.ndarray, steps: int, season: int, p:
     return sse, out
 
 
-def _fit_smoothing(histories: list[np.ndarray], steps: int, season: int, most: int = 250) -> list[np.ndarray]:
+# a search has converged once no step of FINAL_STEP in any parameter helps: lowers the error by one part in 1 / LEAST_GAIN
+FINAL_STEP, LEAST_GAIN, MOST_ROUNDS = 1e-4, 1e-6, 3000
+
+
+@dataclass(frozen=True)
+class Smoothed:
+    """Of one history: forecasts, the least squared error of one step (of values in units of their deviation), the parameters it is
+    reached with, and the last step size and rounds of the search."""
+
+    forecast: np.ndarray
+    error: float
+    parameters: np.ndarray
+    step: float
+    rounds: int
+
+    @property
+    def reason(self) -> str | None:
+        return "NOT_FINITE" if not np.isfinite(self.error) else "NOT_CONVERGED" if self.step >= FINAL_STEP else None
+
+
+def fit_smoothing(histories: list[np.ndarray], steps: int, season: int, most: int = MOST_ROUNDS) -> list[Smoothed]:
     """For each history the forecasts under the parameters of least squared one-step error, found by pattern search within bounds (phi
     in 0.80 to 0.98) from three starts; all histories, starts and moves are evaluated together."""
     free = 4 if season else 3
@@ -101,45 +121,83 @@ def _fit_smoothing(histories: list[np.ndarray], steps: int, season: int, most: i
         grid[: len(y), k] = y
     step = np.tile(np.concatenate([(high - low) / 4, np.full(n - free, 0.3)]), (len(p), 1))
     value = _paths(grid[:, of], lengths[of], 0, season, p)[0]
+    rounds, moved = np.zeros(len(p), int), np.zeros_like(p)
     for _ in range(most):
-        open_ = np.flatnonzero(step.max(1) >= 1e-4)
+        open_ = np.flatnonzero(step.max(1) >= FINAL_STEP)
         if not len(open_):
             break
+        rounds[open_] += 1
         moves = p[open_, None, :] + np.concatenate([np.eye(n), -np.eye(n)])[None] * step[open_, None, :]
         moves[..., :free] = np.clip(moves[..., :free], low, high)
         own = of[open_]
         tried = _paths(grid[:, np.repeat(own, 2 * n)], np.repeat(lengths[own], 2 * n), 0, season, moves.reshape(-1, n))[0].reshape(len(open_), 2 * n)
         tried = np.where(np.isfinite(tried), tried, np.inf)
-        better = tried < value[open_, None] - 1e-12
+        enough = value[open_] * (1 - LEAST_GAIN) - 1e-12
+        better = tried < enough[:, None]
         up = better[:, :n] & (tried[:, :n] <= tried[:, n:])
         down = better[:, n:] & ~up
         together = p[open_] + (up.astype(float) - down) * step[open_]  # all moves that help, at once
         together[:, :free] = np.clip(together[:, :free], low, high)
         joint = _paths(grid[:, own], lengths[own], 0, season, together)[0]
         joint = np.where(np.isfinite(joint), joint, np.inf)
+        leap = p[open_] + 2 * moved[open_]  # twice the last move again: along a valley steps grow
+        leap[:, :free] = np.clip(leap[:, :free], low, high)
+        far = _paths(grid[:, own], lengths[own], 0, season, leap)[0]
+        far = np.where(np.isfinite(far) & moved[open_].any(1), far, np.inf)
         best = tried.argmin(1)
-        alone = tried[np.arange(len(open_)), best]
+        places = np.stack([moves[np.arange(len(open_)), best], together, leap], 1)
+        reached = np.stack([tried[np.arange(len(open_)), best], joint, far], 1)
+        which = reached.argmin(1)
         for r, k in enumerate(open_):
-            if min(joint[r], alone[r]) < value[k] - 1e-12:
-                p[k], value[k] = (together[r], joint[r]) if joint[r] <= alone[r] else (moves[r, best[r]], alone[r])
+            if reached[r, which[r]] < enough[r]:
+                moved[k] = places[r, which[r]] - p[k]
+                p[k], value[k] = places[r, which[r]], reached[r, which[r]]
             else:
+                moved[k] = 0
                 step[k] /= 2
     out = []
     for h, values in enumerate(histories):
         rows = np.flatnonzero(of == h)
         k = rows[np.argmin(np.where(np.isfinite(value[rows]), value[rows], np.inf))]
         guess = _paths(grid[:, [h]], lengths[[h]], steps, season, p[[k]])[1][0]
-        out.append(guess * (float(values.std()) or 1.0) + values.mean() if np.isfinite(value[k]) else np.full(steps, np.nan))
+        forecast = guess * (float(values.std()) or 1.0) + values.mean() if np.isfinite(value[k]) else np.full(steps, np.nan)
+        out.append(Smoothed(forecast, float(value[k]), p[k], float(step[k].max()), int(rounds[k])))
     return out
 
 
 def _smoothing(season: int):
     def many(histories: list[np.ndarray], steps: int) -> list[np.ndarray]:
-        return _fit_smoothing(histories, steps, season)
+        """Forecasts; of a search that has not converged none."""
+        return [f.forecast if f.reason is None else np.full(steps, np.nan) for f in fit_smoothing(histories, steps, season)]
 
     return many
 
 
+SEASONS = {"holt_damped": 0, "holt_winters_add_damped": 12}
+
+
+def smoothing_status(series: DataFrame, origins: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, role, unit_id, origin, candidate_id, status, reason, rounds, final_step: how the search of each smoothing method ended at each
+    origin. What has failed there has null predictions in ``grouped_forecasts``, so the candidate is not complete."""
+    kinds = {f.name: f.dataType.simpleString() for f in series.schema}
+    names = [*keys, "role", "unit_id", "origin", "candidate_id", "status", "reason", "rounds", "final_step"]
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", role string, unit_id string, origin int, candidate_id string, status string, reason string, rounds int, final_step double"
+
+    def run(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        values = rows.sort_values("t")["value"].to_numpy(float)
+        asked = list(wanted.itertuples(index=False)) if len(values) else []
+        for name, season in SEASONS.items():
+            needs = next(m.needs for m in METHODS if m.id == name)
+            able = [r for r in asked if needs <= r.origin <= len(values)]
+            for r, f in zip(able, fit_smoothing([values[: r.origin] for r in able], 1, season) if able else (), strict=True):
+                out.append((*(rows[k].iloc[0] for k in keys), r.role, r.unit_id, r.origin, name, "failed" if f.reason else "converged", f.reason, f.rounds, f.step))
+        return pd.DataFrame(out, columns=names)
+
+    wanted = origins.select(*[F.col(k).alias(f"__{k}") for k in keys], "role", "unit_id", "origin")
+    return series.groupBy(*keys).cogroup(wanted.groupBy(*[f"__{k}" for k in keys])).applyInPandas(run, schema)
+
+
 METHODS = (
     ForecastMethod("last_value", 0, 2, True, True),
     ForecastMethod("historical_mean", 1, 2, True, True),

@@ -169,3 +169,11 @@ def extrapolation_flags(spark, sf, methods):
 def prediction_roles(spark, sf, methods):
     series, _, pred, decision = _decided(spark, sf, methods)
     return fc.prediction_roles(series, pred, decision, KEYS).groupBy("series_id", "role").agg(F.count(F.lit(1)).alias("rows"), F.count("predicted").alias("predicted_rows"))
+
+
+@query("smoothing_status", _q("SELECT series_id, role, unit_id, origin, m.candidate_id, 'converged' AS status, CAST(NULL AS VARCHAR) AS reason FROM o JOIN (VALUES ('holt_damped', 12), ('holt_winters_add_damped', 36)) m(candidate_id, needs) ON origin >= needs"))
+def smoothing_status(spark, sf):
+    """How the parameter search of the smoothing methods ended for each series and origin."""
+    series = _series(spark, sf)
+    plan = fc.backtest_plan(series.groupBy(*KEYS).agg((F.max("t") + 1).alias("n")), KEYS, H)
+    return fc.smoothing_status(series, fc.plan_origins(plan, KEYS, H), KEYS).drop("rounds", "final_step")
