@@ -29,6 +29,11 @@ def encoder():
     return bpe_trie.TrieEncoder(PATH)
 
 
+@pytest.fixture(scope="module")
+def decoder():
+    return bpe_trie.Decoder(PATH)
+
+
 def merged(word, rank):
     """Plain merging: the lowest-ranked pair, the leftmost first, until none is left."""
     parts = list(word)
@@ -95,18 +100,18 @@ pieces = st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["<|endoftext|
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(pieces.map("".join), min_size=1, max_size=5))
-def test_any_text(library, encoder, texts):
+def test_any_text(library, encoder, decoder, texts):
     ids, counts = encoder.encode(texts)
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
-    assert bpe_trie.Decoder(PATH).decode(ids, counts) == texts
+    assert decoder.decode(ids, counts) == texts
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 50256), max_size=20), min_size=1, max_size=5))
-def test_any_ids_decode_as_the_library_has_it(library, ids):
+def test_any_ids_decode_as_the_library_has_it(library, decoder, ids):
     flat, counts = np.array([i for x in ids for i in x], np.uint32), np.array(list(map(len, ids)))
-    assert bpe_trie.Decoder(PATH).decode(flat, counts) == library.decode_batch(ids, skip_special_tokens=False)
+    assert decoder.decode(flat, counts) == library.decode_batch(ids, skip_special_tokens=False)
 
 
 def test_tables(spark, library):
