@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from tallywright.functions.hashing import seed_of
 from tallywright.operators.metrics import MINIMISED, class_metrics, classification_metrics, confusion_matrix, regression_metrics
 from tallywright.operators.quantiles import exact_quantiles
+from tallywright.operators.tables import numbered
 from tallywright.staging import materialize
 
 MOST_CATEGORIES, MOST_FEATURES, RARE = 1000, 5000, "__rare__"
@@ -229,28 +230,34 @@ def score(pred: DataFrame, problem: str, keys: list[str], labels: DataFrame | No
     return classification_metrics(class_metrics(confusion_matrix(pred, labels, keys), keys), keys)
 
 
+def permuted(rows: DataFrame, row_id: str, values: list[str], repeats: int, seed: int = 42) -> DataFrame:
+    """row_id, repeat, donor_id and the donor's ``values``: in each repeat every row gets the values of one row, and every row gives its
+    values once. Rows are ranked twice, by independent seeded hashes of their ids, over all rows; equal ranks are a pair. No task ranks
+    all rows: positions come from ranges. ``row_id`` names each row."""
+    again = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
+    order = lambda s: F.sha2(F.concat_ws(":", F.lit(str(s)), F.col("repeat").cast("string"), F.col(row_id).cast("string")), 256).alias("order")
+    takers = numbered(rows.select(row_id, again).select(row_id, "repeat", order(seed)), ["repeat", "order", row_id])
+    givers = numbered(rows.select(row_id, *values, again).select(F.col(row_id), "repeat", *[F.col(f"`{v}`") for v in values], order(seed + 1)), ["repeat", "order", row_id])
+    return takers.select(row_id, "repeat", "position").join(givers.select(F.col(row_id).alias("donor_id"), *[F.col(f"`{v}`") for v in values], "position"), "position").drop("position")
+
+
 def permutation_importance(models: dict[str, PipelineModel], rows: DataFrame, features: list[str], numeric: list[str], problem: str, target: str, metric: str | None = None, repeats: int = 3, most_folds: int = 3, seed: int = 42, labels: list[str] | None = None, least_rows: int = 10) -> DataFrame:
     """feature, importance, std, n: mean loss of the primary metric (mae, rmse or r2; accuracy, balanced_accuracy or macro_f1) when a
-    feature's values trade places among the validation rows of a unit. ``rows`` carry ``unit_id``, ``row_id`` and inputs; units of under
-    ``least_rows`` rows are left out.
-
-    Rows are re-paired by hash: each gets the value of the row that follows it in a seeded order, within buckets of about 4,000 rows.
-    A unit's features and repeats are scored in one pass over its rows, each copied once for every feature and repeat."""
+    feature's values trade places among the validation rows of a unit, as ``permuted`` deals them. ``rows`` carry ``unit_id``, ``row_id``
+    and inputs; units of under ``least_rows`` rows are left out. A unit's features and repeats are scored in one pass over its rows, each
+    copied once for every feature and repeat."""
     metric = metric or ("mae" if problem == "regression" else "accuracy")
     out = None
     for unit in sorted(models)[:most_folds]:
         part = rows.where(F.col("unit_id") == unit)
-        n = part.count()
-        if n < least_rows:
+        if part.limit(least_rows).count() < least_rows:
             continue
-        buckets = -(-n // 4000)
-        jobs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in features for r in range(repeats)], F.struct(F.lit("").alias("feature"), F.lit(0).alias("repeat"))))
-        copied = part.withColumn("__job", jobs)
-        order = F.xxhash64(F.lit(seed), "__job.repeat", F.col("row_id"))
-        w = Window.partitionBy("__job.feature", "__job.repeat", F.pmod(F.xxhash64(F.lit(seed + 1), "__job.repeat", F.col("row_id")), F.lit(buckets))).orderBy(order, "row_id")
-        mixed = copied.withColumns({f: F.when(F.col("__job.feature") == f, F.coalesce(F.lead(F.struct(F.col(f"`{f}`").alias("v"))).over(w), F.first(F.struct(F.col(f"`{f}`").alias("v"))).over(w))["v"]).otherwise(F.col(f"`{f}`")) for f in features})
+        donors = permuted(part, "row_id", features, repeats, seed).withColumnsRenamed({f: f"__new_{f}" for f in features}).drop("donor_id")
+        copied = part.join(donors, "row_id").withColumn("__feature", F.explode(F.array(*map(F.lit, features))))
+        mixed = copied.withColumns({f: F.when(F.col("__feature") == f, F.col(f"`__new_{f}`")).otherwise(F.col(f"`{f}`")) for f in features}).drop(*[f"__new_{f}" for f in features])
+        mixed = mixed.unionByName(part.withColumns({"repeat": F.lit(0), "__feature": F.lit("")}))
         kind = "double" if problem == "regression" else "string"
-        scored = predicted(models[unit], with_inputs(mixed, numeric, problem, target, labels), labels).select(F.col("__job.feature").alias("feature"), F.col("__job.repeat").alias("repeat"), F.col(f"`{target}`").cast(kind).alias("actual"), "predicted")
+        scored = predicted(models[unit], with_inputs(mixed, numeric, problem, target, labels), labels).select(F.col("__feature").alias("feature"), "repeat", F.col(f"`{target}`").cast(kind).alias("actual"), "predicted")
         known = None if labels is None else rows.sparkSession.createDataFrame([(x,) for x in labels], "label string")
         values = score(scored, problem, ["feature", "repeat"], known).select("feature", "repeat", F.col(metric).alias("value"))
         plain = values.where(F.col("feature") == "").select(F.col("value").alias("plain"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.functions.hashing import row_mark
 from tallywright.operators.profile import usable_features
 from tallywright.operators.temporal import missing_months
 
@@ -72,7 +73,7 @@ def preflight(df: DataFrame, profile: DataFrame, request: Request) -> DataFrame:
         ]
         return out.unionByName(_found(sums.join(gaps, F.lit(True)), checks))
     usable = usable_features(profile, request.target, list(request.include) if request.include is not None else None, list(request.exclude)).agg(F.count(F.lit(1)).alias("features"))
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("c"))
+    groups = df.select(row_mark(*[F.col(f"`{c}`") for c in df.columns]).alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("c"))
     copies = groups.agg(F.coalesce(F.max("c"), F.lit(0)).alias("copies"))
     ok = number.isNotNull() if request.problem == "regression" else y.isNotNull()
     sums = df.agg(F.count_if(ok).alias("rows"), F.count_if(y.isNotNull()).alias("present"), F.count_if(number.isNotNull()).alias("numbers"), F.count_distinct(y).alias("values"))

@@ -93,6 +93,15 @@ def permutation_importance(spark, sf):
     return ml.permutation_importance({u: m for (_, u), m in models.items()}, held, [*NUMERIC, *CATEGORICAL], NUMERIC, "regression", "l_extendedprice").orderBy(F.desc("importance")).limit(20)
 
 
+_RANKED = "SELECT r AS repeat, o_orderkey, o_custkey, row_number() OVER (PARTITION BY r ORDER BY sha256('{seed}:' || r || ':' || o_orderkey)) AS place FROM orders, (SELECT CAST(unnest(range(3)) AS INTEGER) AS r)"
+
+
+@query("permutation_pairs", f"SELECT a.o_orderkey, a.repeat, b.o_orderkey AS donor_id, b.o_custkey FROM ({_RANKED.format(seed=42)}) a JOIN ({_RANKED.format(seed=43)}) b USING (repeat, place)")
+def permutation_pairs(spark, sf):
+    """Whose customer each order gets when customers trade places, in three repeats."""
+    return ml.permuted(read(spark, sf, "orders"), "o_orderkey", ["o_custkey"], 3)
+
+
 @query("final_test")
 def final_test(spark, sf):
     lines = _lines(spark, sf)

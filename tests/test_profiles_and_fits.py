@@ -64,3 +64,18 @@ def test_a_fit_over_its_time_is_cancelled(spark):
     assert pred.count() == 0
     pred, fitted, told = models.evaluate(df, folds, "block", "row_id", "y", "regression", [specs["ridge"]], ["a"], [], 2)
     assert len(fitted) == 2 and pred.count() == 400 and {r.status for r in told.collect()} == {"completed"}
+
+
+def test_every_value_is_given_once_across_all_rows(spark):
+    n = 5000
+    rows = spark.range(n).select(F.col("id").alias("row_id"), (F.col("id") * 2).alias("a"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("b")).repartition(6)
+    got = models.permuted(rows, "row_id", ["a", "b"], 3).collect()
+    by = {k: {r.row_id: r for r in got if r.repeat == k} for k in range(3)}
+    for k in range(3):
+        assert sorted(by[k]) == sorted(r.donor_id for r in by[k].values()) == list(range(n))
+        assert all(r.a == 2 * r.donor_id and r.b == f"v{r.donor_id}" for r in by[k].values())
+        far = sum(abs(i - r.donor_id) for i, r in by[k].items()) / n
+        assert abs(far - n / 3) < n / 30  # as far apart as two rows drawn at random
+        assert sum(i == r.donor_id for i, r in by[k].items()) < 10
+    assert sum(by[0][i].donor_id == by[1][i].donor_id for i in range(n)) < 10
+    assert {(r.row_id, r.repeat, r.donor_id) for r in models.permuted(rows.repartition(3), "row_id", ["a"], 3).collect()} == {(r.row_id, r.repeat, r.donor_id) for r in got}
