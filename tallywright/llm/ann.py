@@ -12,8 +12,8 @@
 
 Inner products are computed in double precision on the original vectors, each in one fixed order, so equal vectors score equally; ties
 go to the smaller id. Defined results: rows whose vector is null, zero, of another length than most, or holds a null or non-finite
-number take no part, nor do rows with a null id; repeated rows count once; a query never finds rows of its own id; with fewer than k
-candidates all are returned; an empty table gives no row.
+number take no part, nor do rows with a null id; repeated rows are rows each, as candidates and as queries (an id's answers are ranked
+together); a query never finds rows of its own id; with fewer than k candidates all are returned; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -104,8 +104,7 @@ def clean(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str) ->
             keys = [curve_keys(m, c) if len(m) else np.zeros(0, np.int64) for c in range(CURVES)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in m], pa.binary()), *map(pa.array, keys)], names=["vec_id", "is_query", "vec", *[f"key{c}" for c in range(CURVES)]])
 
-    packed = rows.where(F.size("v") == dim).mapInArrow(pack, "vec_id long, is_query boolean, vec binary, " + ", ".join(f"key{c} long" for c in range(CURVES)))
-    return packed.dropDuplicates(["vec_id", "vec"])
+    return rows.where(F.size("v") == dim).mapInArrow(pack, "vec_id long, is_query boolean, vec binary, " + ", ".join(f"key{c} long" for c in range(CURVES)))
 
 
 def _matrix(vecs: list[bytes]) -> np.ndarray:
