@@ -98,7 +98,7 @@ def test_a_full_trie_starts_anew(monkeypatch, library, encoder):
 pieces = st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["<|endoftext|>", "  ", "\n\n", "'s", " the", "aaaa", "====", " ", "\x85", "\x1c"])), max_size=12)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=120, deadline=None)
 @given(st.lists(pieces.map("".join), min_size=1, max_size=5))
 def test_any_text(library, encoder, decoder, texts):
     ids, counts = encoder.encode(texts)
@@ -107,7 +107,7 @@ def test_any_text(library, encoder, decoder, texts):
     assert decoder.decode(ids, counts) == texts
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 50256), max_size=20), min_size=1, max_size=5))
 def test_any_ids_decode_as_the_library_has_it(library, decoder, ids):
     flat, counts = np.array([i for x in ids for i in x], np.uint32), np.array(list(map(len, ids)))

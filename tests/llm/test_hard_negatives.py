@@ -87,7 +87,7 @@ def side(m):
     return H._Side(pd.DataFrame({"n": range(len(m)), "vec_id": range(len(m)), "label": 0, "d": m.shape[1], "vec": [r.tobytes() for r in m], "summary": [np.stack([a, b]).tobytes() for a, b in zip(means, deviations, strict=True)]}))
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=100, deadline=None)
 @given(st.integers(1, 70), st.integers(0, 2**32 - 1), st.sampled_from([1, 300, 2**25]))
 def test_bounds_hold_and_tighten(d, seed, size):
     rng = np.random.default_rng(seed)
