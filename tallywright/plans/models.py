@@ -64,7 +64,7 @@ def oof_forest_cls_balanced(spark, sf):
     return _scored(spark, sf, "random_forest_classifier_balanced", "l_linestatus", "classification")
 
 
-@query("candidate_outcomes")
+@query("candidate_outcomes", "SELECT candidate_id, 'fold-' || k AS unit_id, status, explained FROM (VALUES ('ridge', 'completed', false), ('refuses', 'failed', true)) c(candidate_id, status, explained), range(1, 6) f(k) WHERE EXISTS (SELECT 1 FROM lineitem)")
 def candidate_outcomes(spark, sf):
     """What became of each candidate in each unit; one that cannot be fitted (a label it does not take) stands with its reason."""
     lines = _lines(spark, sf)

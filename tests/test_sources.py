@@ -30,7 +30,7 @@ def cell(rng):
 def test_split_files_hold_the_records_of_a_plain_reader(spark, tmp_path, small_splits, seed, size, end):
     rng = random.Random(seed)
     for name in ("a", "b"):
-        rows = [["n", "t", "u"]] + [[str(k), cell(rng), cell(rng)] for k in range(25)]
+        rows = [["n", "t", "u"]] + [[str(k), cell(rng), cell(rng)] for k in range(14)]
         with (tmp_path / f"{name}.csv").open("w", newline="", encoding="utf-8") as f:
             csv.writer(f, lineterminator=end).writerows(rows)
             f.write(end + end)  # blank lines are no records
@@ -55,14 +55,14 @@ def test_quotes_that_open_nothing(spark, tmp_path, small_splits):
     text = 'n,t\n1,5" pipe\n2,"a ""b"" c\n\nd"\n3,x "y" z\n4,"",\n5,"e\n,""\nf",g\n'
     (tmp_path / "q.csv").write_text(text)
     want = [r for r in csv.reader(io.StringIO(text)) if r]
-    for size in (7, 30, 1000):
+    for size in (11, 1000):
         small_splits(size)
         got = {r.number: next(csv.reader(io.StringIO(r.text, newline=""))) for r in records(spark, str(tmp_path), "UTF-8", ",").collect()}
         assert [got[k] for k in range(len(got))] == want
 
 
 def test_a_record_over_many_splits_and_one_that_never_ends(spark, tmp_path, small_splits):
-    inner = "\n".join(f"line {k}" for k in range(60))
+    inner = "\n".join(f"line {k}" for k in range(40))
     (tmp_path / "r.csv").write_text(f'n,t\n1,"{inner}"\n2,b\n3,"open\nto the end')
     small_splits(64)
     got = {r.number: r.text for r in records(spark, str(tmp_path), "UTF-8", ",").collect()}
