@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.llm.common import materialize
+from tallywright.operators.tables import numbered
 
 CURVES, AXES, BITS, WINDOW = 3, 8, 7, 256
 GROUP_ROWS, BLOCK_QUERIES, STEP = 8192, 4096, 512
@@ -163,19 +164,6 @@ def _spheres(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(at, *sphere(parts))], columns=["g", "centre", "radius"])
 
 
-def _numbered(most: int):
-    """Queries of one range → the same with the number of their block, of at most ``most``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = 0
-        for b in batches:
-            block = (b.column(0).to_numpy() << 32) + (seen + np.arange(b.num_rows)) // most
-            seen += b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), b.column(1), b.column(2), b.column(3)], names=["block", "query_id", "vec", "floor"])
-
-    return run
-
-
 def _live(centres: np.ndarray, radii: np.ndarray, groups: np.ndarray):
     """Queries → the pairs of their block with groups that may hold a row for them."""
 
@@ -236,14 +224,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         near = part if near is None else near.unionByName(part)
     floors = _top(near.distinct(), k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("floor"))
     queries = rows.where("is_query").select(F.col("vec_id").alias("query_id"), "vec", "key0").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    groups = max(1, -(-n // group_rows))
-    grouped = rows.select("vec_id", "vec", "key0").repartitionByRange(groups, "key0", "vec_id").select(F.spark_partition_id().alias("g"), "vec_id", "vec")
+    # groups and blocks are cut by position, so that their number follows the rows and not the partitions
+    grouped = numbered(rows.select("vec_id", "vec", "key0"), ["key0", "vec_id"]).select(F.floor(F.col("position") / group_rows).alias("g"), "vec_id", "vec")
     grouped = materialize(grouped, "groups")
     spheres = grouped.select("g", "vec").repartition("g").sortWithinPartitions("g").mapInPandas(_spheres, "g long, centre binary, radius double").orderBy("g").collect()
-    queries = materialize(queries, "queries")
-    # blocks: ranges of the first curve, cut where they are too long
-    asked = queries.repartitionByRange(max(1, -(-queries.count() // block_queries)), "key0", "query_id").select(F.spark_partition_id().cast("long").alias("range"), "query_id", "vec", "floor", "key0")
-    asked = materialize(asked.sortWithinPartitions("key0", "query_id").mapInArrow(_numbered(block_queries), "block long, query_id long, vec binary, floor double"), "asked")
+    asked = numbered(queries, ["key0", "query_id"]).select(F.floor(F.col("position") / block_queries).alias("block"), "query_id", "vec", "floor")
+    asked = materialize(asked, "asked")
     if not spheres:
         return _top(near, k).select("query_id", "rank", "vec_id", "score")
     live = _live(_matrix([r["centre"] for r in spheres]), np.array([r["radius"] for r in spheres]), np.array([r["g"] for r in spheres], np.int64))
