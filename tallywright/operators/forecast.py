@@ -81,7 +81,7 @@ def _paths(values: np.ndarray, lengths: np.ndarray, steps: int, season: int, p:
 
 
 # a search has converged once no step of FINAL_STEP in any parameter helps: lowers the error by one part in 1 / LEAST_GAIN
-FINAL_STEP, LEAST_GAIN, MOST_ROUNDS = 1e-4, 1e-6, 3000
+FINAL_STEP, LEAST_GAIN, MOST_ROUNDS = 1e-4, 1e-5, 3000
 
 
 @dataclass(frozen=True)

@@ -31,7 +31,7 @@ def test_no_grid_point_is_better(k):
     y = (values - values.mean()) / values.std()
     axes = [np.linspace(0.01, 0.99, 8), np.linspace(0, 0.99, 7), np.linspace(0.8, 0.98, 4), y[0] + np.linspace(-1.2, 1.2, 9), np.linspace(-0.6, 0.6, 9)]
     grid = np.array(list(itertools.product(*axes)))
-    assert errors(values, 0, grid).min() >= found.error * 0.998 - 1e-9  # a search that ends at gains of one in a million
+    assert errors(values, 0, grid).min() >= found.error * 0.998 - 1e-9  # a search that ends at gains of one in a hundred thousand
     assert np.isclose(errors(values, 0, found.parameters[None])[0], found.error)
 
 
