@@ -208,15 +208,20 @@ def score_texts(df: DataFrame, model: ToxicityModel, text_col: str = "text", out
 
 def fit_on(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
     """Fit on at most ``sample`` labelled ids of each class, and ``SAMPLE_BYTES`` of their texts, among those where ``usable`` (an
-    expression over ``id_col``) holds. An id with labels of both kinds counts as toxic."""
+    expression over ``id_col``) holds. An id with labels of both kinds counts as toxic; equal rows of an id count once."""
     marked = labels.where(usable & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__label"))
     order = F.xxhash64(F.lit(7), id_col)
     chosen = [marked.where(F.col("__label") == k).orderBy(order, id_col).limit(sample) for k in (1, 0)]
     picked = chosen[0].unionByName(chosen[1])  # at most 2 x sample ids and labels
-    found = docs.select(id_col, text_or_empty(text_col).alias("__text")).join(F.broadcast(picked), id_col)
-    found = found.select("__label", "__text", order.alias("__order"), F.xxhash64("__text").alias("__hash")).where(F.octet_length("__text") <= SAMPLE_BYTES)
-    found = found.orderBy("__order", "__hash").limit(4 * sample)
+    text = text_or_empty(text_col)
+    slim = docs.select(id_col, F.xxhash64(text).alias("__hash"), F.octet_length(text).alias("__size")).join(F.broadcast(picked), id_col)
+    slim = slim.where(F.col("__size") <= SAMPLE_BYTES).groupBy(id_col, "__hash").agg(F.max("__label").alias("__label"), F.max("__size").alias("__size"))
+    slim = slim.withColumn("__order", order).orderBy("__order", "__hash").limit(4 * sample)
     upto = Window.partitionBy("__label").orderBy("__order", "__hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = found.withColumn("__bytes", F.sum(F.octet_length("__text")).over(upto)).where(F.col("__bytes") <= SAMPLE_BYTES)
-    rows = found.orderBy("__order", "__hash").select("__label", "__text").collect()
+    slim = slim.withColumn("__bytes", F.sum("__size").over(upto)).where(F.col("__bytes") <= SAMPLE_BYTES)
+    # texts are fetched last, for the rows that stay: at most 4 x sample of them
+    wanted = slim.select(F.col(id_col).alias("__id"), F.col("__hash").alias("__h"), "__label", "__order")
+    found = docs.select(id_col, text.alias("__text")).join(F.broadcast(wanted), (F.col(id_col) == F.col("__id")) & (F.xxhash64("__text") == F.col("__h")))
+    found = found.dropDuplicates([id_col, "__h"]).select("__label", "__order", "__h", "__text").collect()
+    rows = sorted(found, key=lambda r: (r["__order"], r["__h"]))
     return fit([r["__text"] for r in rows if r["__label"] == 1], [r["__text"] for r in rows if r["__label"] == 0])
