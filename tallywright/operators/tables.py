@@ -106,18 +106,27 @@ def lineage(before: DataFrame, after: DataFrame, quarantine: DataFrame, recipe_d
 
 
 # fixed values: what may leave with a shared result, by table
-SHARED_FIELDS = {"candidates": ("candidate_id", "primary_value", "complexity", "status"), "unit_metrics": ("candidate_id", "unit_id", "value"), "splits": ("unit_id", "part", "rows"), "columns": ("position", "column_name", "kind")}
+SHARED_FIELDS = {
+    "candidates": ("candidate_id", "primary_value", "complexity", "status", "reason", "baseline_id", "joint_gain", "pairs", "wins", "median_gain"),
+    "unit_metrics": ("candidate_id", "unit_id", "value"),
+    "splits": ("unit_id", "part", "rows"),
+    "columns": ("position", "column_name", "kind"),
+    "decision": ("selected_id", "best_observed_id", "baseline_id", "passing"),
+    "confirmation": ("confirmed", "pairs", "wins", "middle_gain", "reason"),
+    "plan": ("plan_version", "plan_sha256", "primary_metric", "metric_direction", "population_count", "validation_strategy", "evaluation_unit_count"),
+}
+SUMMARY_FIELDS = ("candidate_id", "primary_value", "status", "reason")  # of a candidate
 
 
 def share_projection(tables: dict[str, DataFrame], level: int = 1, detail: str = "full") -> dict[str, DataFrame]:
-    """Allow-listed fields only; column names from level 2 on; ``summary`` keeps a candidate's id and value. Never rows or cells."""
+    """Allow-listed fields only; column names from level 2 on; ``summary`` keeps SUMMARY_FIELDS of a candidate. Never rows or cells."""
     out = {}
     for name, df in tables.items():
         allowed = [c for c in SHARED_FIELDS.get(name, ()) if c in df.columns]
         if name == "columns" and level < 2:
             allowed = [c for c in allowed if c != "column_name"]
         if name == "candidates" and detail == "summary":
-            allowed = [c for c in allowed if c in ("candidate_id", "primary_value")]
+            allowed = [c for c in allowed if c in SUMMARY_FIELDS]
         if allowed:
             out[name] = df.select(*allowed)
     return out
