@@ -14,6 +14,7 @@ a time, each chunk's last window being carried into the next.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,15 +42,17 @@ def sentence_end_table(tokenizer) -> np.ndarray:
 
 def best_cuts(cuts: np.ndarray, penalty: np.ndarray, limit: int) -> list[int]:
     """Indices of the chosen cuts, first and last included. ``cuts`` ascends, with no gap over ``limit``."""
-    pos, pen, m = cuts.tolist(), penalty.tolist(), len(cuts)
+    m = len(cuts)
+    pos, pen = array("q", cuts.astype(np.int64).tobytes()), array("d", penalty.astype(np.float64).tobytes())  # eight bytes a number, not an object
     exact = []
     for size in (limit >> 1, limit >> 2, limit >> 3):  # shorter powers of two are not worth a window
         at = np.minimum(np.searchsorted(cuts, cuts - size), m - 1)
         exact.append(np.where(cuts[at] == cuts - size, at, -1))
     exact = np.stack(exact, 1) if m else np.zeros((0, 3), int)
-    has_exact, exact = (exact >= 0).any(1).tolist(), exact.tolist()
-    cost, back, reach = [0.0] * m, [0] * m, [0.0] * m
-    queue, head = [0], 0
+    has_exact = (exact >= 0).any(1)
+    exact = dict(zip(np.flatnonzero(has_exact).tolist(), map(tuple, exact[has_exact].tolist()), strict=True)) if m else {}
+    cost, back, reach = array("d", bytes(8 * m)), array("q", bytes(8 * m)), array("d", bytes(8 * m))
+    queue, head = array("q", [0]), 0
     reach[0] = pos[0]
     for j in range(1, m):
         at = pos[j]
@@ -58,10 +61,9 @@ def best_cuts(cuts: np.ndarray, penalty: np.ndarray, limit: int) -> list[int]:
             head += 1
         i = queue[head]
         best = reach[i] - least
-        if has_exact[j]:
-            for e in exact[j]:
-                if e >= 0 and cost[e] < best:
-                    best, i = cost[e], e
+        for e in exact.get(j, ()):
+            if e >= 0 and cost[e] < best:
+                best, i = cost[e], e
         best += pen[j]
         cost[j], back[j] = best, i
         g = reach[j] = best + at
