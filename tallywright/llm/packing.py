@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import encoder_of, narrow, text_or_empty
+from tallywright.llm.common import encoder_of, narrow, release, text_or_empty
 
 STRIDE, CHUNK = 64, 1 << 20
+ENCODED_BYTES = 1_000_000  # of texts encoded at once: a few arrays of eight bytes a token are held for them
 SENTENCE_PENALTY, MIDDLE_PENALTY = 2.0, 16.0
 SENTENCE_ENDS = (".", "!", "?", "…", "。", "！", "？", "\n")
 
@@ -44,13 +45,14 @@ def best_cuts(cuts: np.ndarray, penalty: np.ndarray, limit: int) -> list[int]:
     """Indices of the chosen cuts, first and last included. ``cuts`` ascends, with no gap over ``limit``."""
     m = len(cuts)
     pos, pen = array("q", cuts.astype(np.int64).tobytes()), array("d", penalty.astype(np.float64).tobytes())  # eight bytes a number, not an object
-    exact = []
+    exact, has_exact = [], np.zeros(m, bool)
     for size in (limit >> 1, limit >> 2, limit >> 3):  # shorter powers of two are not worth a window
         at = np.minimum(np.searchsorted(cuts, cuts - size), m - 1)
-        exact.append(np.where(cuts[at] == cuts - size, at, -1))
-    exact = np.stack(exact, 1) if m else np.zeros((0, 3), int)
-    has_exact = (exact >= 0).any(1)
-    exact = dict(zip(np.flatnonzero(has_exact).tolist(), map(tuple, exact[has_exact].tolist()), strict=True)) if m else {}
+        at = np.where(cuts[at] == cuts - size, at, -1)
+        has_exact |= at >= 0
+        exact.append(array("q", at.astype(np.int64).tobytes()))
+    half, quarter, eighth = exact
+    has_exact = has_exact.tobytes()
     cost, back, reach = array("d", bytes(8 * m)), array("q", bytes(8 * m)), array("d", bytes(8 * m))
     queue, head = array("q", [0]), 0
     reach[0] = pos[0]
@@ -61,9 +63,10 @@ def best_cuts(cuts: np.ndarray, penalty: np.ndarray, limit: int) -> list[int]:
             head += 1
         i = queue[head]
         best = reach[i] - least
-        for e in exact.get(j, ()):
-            if e >= 0 and cost[e] < best:
-                best, i = cost[e], e
+        if has_exact[j]:
+            for e in (half[j], quarter[j], eighth[j]):
+                if e >= 0 and cost[e] < best:
+                    best, i = cost[e], e
         best += pen[j]
         cost[j], back[j] = best, i
         g = reach[j] = best + at
@@ -142,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_
         base, encoder = TaskContext.get().partitionId() << 40, encoder_of(tokenizer)
 
         def chunks():
-            for batch in narrow(batches):
+            for batch in narrow(batches, ENCODED_BYTES):
                 flat, counts = encoder.encode(batch.column(1).to_pylist())
                 yield batch.column(0).to_pylist(), np.insert(flat, np.cumsum(counts), end_id), counts + 1
 
@@ -152,6 +155,8 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_
             raw = [p.astype("<u4").tobytes() for p in pieces]
             columns = [pa.array(key, pa.int64()), pa.array(start), pa.array(length), pa.array(list(map(zlib.crc32, raw)), pa.int64()), pa.array(total), pa.array(base + window), pa.array(offset), *([pa.array(raw, pa.binary())] if with_ids else [])]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            del key, start, length, total, window, offset, pieces, raw, columns
+            release()
 
     slim = docs.select(F.col(id_col).cast("long").alias("__id"), text_or_empty(text_col).alias("__text"))
     return slim.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
