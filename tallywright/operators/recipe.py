@@ -1,7 +1,8 @@
 """Declarative cleaning: a recipe compiles to column expressions; rejected rows go to a quarantine table with a reason.
 
 Order of work: per column trim → blanks to null → category merges → type conversion → invalid handling; then exact duplicates, filters
-in order, and an optional monthly aggregation. Nothing runs until a result table is read, but for the checks of ``invalid="block"``.
+in order, and an optional monthly aggregation. Rows are converted once, into a table that all results are read from, and the checks of
+``invalid="block"`` run on it; nothing else runs until a result is read.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from tallywright.functions import dates, numbers
 from tallywright.functions.hashing import canonical_hash, row_mark
 from tallywright.functions.text import empty_to_null, merge_categories, to_text, trim_text
+from tallywright.operators.tables import even_parts
+from tallywright.staging import materialize
 
 DATE_ORDERS = ("DMY", "MDY", "YMD", "UNAMBIGUOUS", "SERIAL")
 
@@ -163,14 +166,18 @@ def compile_rows(df: DataFrame, recipe: Recipe) -> DataFrame:
 
 def blocked_values(df: DataFrame, recipe: Recipe) -> DataFrame:
     """column, invalid: how many values of each typed column fail, among rows that no earlier column has quarantined."""
-    rows, done, found = compile_rows(df, recipe), F.lit(False), []
+    return _blocked(compile_rows(df, recipe), recipe)
+
+
+def _blocked(rows: DataFrame, recipe: Recipe) -> DataFrame:
+    done, found = F.lit(False), []
     for r in recipe.columns:
         bad = F.col(f"invalid_{r.column}")
         found.append(F.count_if(bad & ~done).alias(r.column))
         if r.invalid == "segregate":
             done = done | bad
     if not found:
-        return df.sparkSession.createDataFrame([], "column string, invalid long")
+        return rows.sparkSession.createDataFrame([], "column string, invalid long")
     wide = rows.agg(*found)
     return wide.select(F.explode(F.array(*[F.struct(F.lit(r.column).alias("column"), F.col(f"`{r.column}`").alias("invalid")) for r in recipe.columns])).alias("x")).select("x.*")
 
@@ -191,11 +198,13 @@ def dedupe_exact(df: DataFrame, row_id: str) -> tuple[DataFrame, DataFrame]:
 
 def apply_recipe(df: DataFrame, recipe: Recipe, row_id: str) -> Prepared:
     """Apply a recipe. Duplicates are judged on all converted rows, then taken from the active ones: a copy goes even if the first of its
-    group sits in quarantine for another reason."""
-    rows = compile_rows(df, recipe)
+    group sits in quarantine for another reason. Converting a cell costs far more than reading it, and all outputs need all cells: rows are
+    spread over the cores, converted once and written as a table."""
+    check_compatible(df, recipe)
+    rows = materialize(compile_rows(even_parts(df, df.count()), recipe), "converted")
     blocking = [r for r in recipe.columns if r.invalid == "block" and r.type in ("numeric", "date")]
     if blocking:
-        counts = {r["column"]: r["invalid"] for r in blocked_values(df, recipe).collect()}  # a row per column
+        counts = {r["column"]: r["invalid"] for r in _blocked(rows, recipe).collect()}  # a row per column
         for r in blocking:
             if counts[r.column]:
                 shown = rows.where(F.col(f"invalid_{r.column}")).select(F.col(f"before_{r.column}").cast("string")).limit(3).collect()
